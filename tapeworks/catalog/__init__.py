@@ -11,7 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("core",)
+MODULES = ("core", "enhanced")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:

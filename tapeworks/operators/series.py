@@ -340,15 +340,16 @@ def fold_series(
     )
 
 
-def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> DataFrame:
+def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> Frame:
     """y = alpha * x + (1 - alpha) * y_prev with y_0 = x_0 (exponential mean, unadjusted).
 
     Within a segment the recurrence is one vectorised pandas pass; a segment's influence on later ones is
-    only its last value scaled by a power of (1 - alpha), so segments are chained on one row each.
+    only its last value scaled by a power of (1 - alpha), so segments are chained on one row each.  The
+    returned frame has no halo rows: apply bounded ROWS windows before this, not after.
     """
     df, part, order = frame.df, list(frame.part), list(frame.order)
     if frame.split:
-        df = df.where(frame.core).drop(_HALO)
+        df = df.where(frame.core)
     schema = T.StructType(
         [*df.schema.fields, T.StructField("_y", T.DoubleType()), T.StructField("_k", T.LongType())]
     )
@@ -361,7 +362,7 @@ def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> DataFrame
 
     y = df.groupBy(*part).applyInPandas(local, schema)
     if not frame.split:
-        return y.withColumnRenamed("_y", out).drop("_k")
+        return replace(frame, df=y.withColumnRenamed("_y", out).drop("_k"))
 
     keys = list(frame.keys)
     # The local pass starts at x_0 of the segment; the true value differs by
@@ -383,8 +384,21 @@ def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> DataFrame
         return rows[[*keys, _SEG]].assign(_gap=gaps)
 
     gaps = ends.groupBy(*keys).applyInPandas(chain, carry_schema)
-    return (
+    joined = (
         y.join(gaps, [*keys, _SEG])
         .withColumn(out, F.col("_y") + F.pow(F.lit(1 - alpha), F.col("_k")) * F.col("_gap"))
-        .drop("_y", "_k", "_gap", _SEG)
+        .drop("_y", "_k", "_gap")
     )
+    return replace(frame, df=joined)
+
+
+def ema(frame: Frame, x: str, span: int, out: str, adjust: bool = False) -> Frame:
+    """Exponential mean with alpha = 2 / (span + 1); ``adjust`` divides by the sum of the weights so far."""
+    alpha = 2.0 / (span + 1)
+    if not adjust:
+        return linear_recurrence(frame, x, alpha, out)
+    f = frame.running({"_t": ("count", F.lit(1)), "_x0": ("first", F.col(x))})
+    f = linear_recurrence(f, x, alpha, "_v")
+    # The unadjusted mean equals the weighted sum plus the decayed first value; remove the latter.
+    decay = F.pow(F.lit(1 - alpha), F.col("_t"))
+    return f.with_cols(**{out: (F.col("_v") - decay * F.col("_x0")) / (1 - decay)}).drop("_t", "_x0", "_v")
