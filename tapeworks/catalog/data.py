@@ -58,12 +58,13 @@ def bench(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fixed(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded half up, integers as LONG: the form both engines agree on."""
+    """Doubles rounded half up (coarser when large), integers as LONG: the form both engines agree on."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = half_up(c.cast("double"), digits)
+            x = c.cast("double")
+            c = F.when(F.abs(x) < 1e4, half_up(x, digits)).when(F.abs(x) < 1e10, half_up(x, 2)).otherwise(half_up(x, 0))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, T.DateType):
@@ -96,7 +97,9 @@ BENCH = _bars("bench", "tk", 60 * MINUTE_NS, "'MKT'", "event_id")
 
 def rounded(cols: str, sql: str, digits: int = 6) -> str:
     s = f"1e{digits}"
-    parts = ", ".join(f"floor({c} * {s} + 0.5) / {s} AS {c}" for c in cols.split())
+    parts = ", ".join(
+        f"CASE WHEN abs({c}) < 1e4 THEN floor({c} * {s} + 0.5) / {s} WHEN abs({c}) < 1e10 THEN floor({c} * 100 + 0.5) / 100 "
+        f"ELSE floor({c} + 0.5) END AS {c}" for c in cols.split())
     return f"SELECT * REPLACE ({parts}) FROM ({sql})"
 
 
