@@ -76,6 +76,22 @@ def lookup_join(df: DataFrame, small: DataFrame, on: list[str], how: str = "left
     return df.join(small, on, how)
 
 
+def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table (a global aggregate) on every row."""
+    return df.withColumn("_one", F.lit(1)).join(
+        F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def with_grid(df: DataFrame, grid: dict[str, list]) -> DataFrame:
+    """Every row once per combination of the (few) parameter values, with a combination id."""
+    names = list(grid)
+    combos = [
+        F.struct(F.lit(i).alias("combo"), *[F.lit(v).alias(n) for n, v in zip(names, combo, strict=True)])
+        for i, combo in enumerate(product(*grid.values()))
+    ]
+    return df.withColumn("_g", F.explode(F.array(*combos))).select("*", "_g.*").drop("_g")
+
+
 def parameter_grid(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
     """Every combination of the parameter values, one row each, with a combination id."""
     names = list(grid)
