@@ -7,9 +7,9 @@ inside a bucket are resolved by sorting; the answer is exact and equals linear i
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 200
@@ -17,6 +17,21 @@ BUCKETS = 200
 
 def exact_percentiles(df: DataFrame, keys: Iterable[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with the linearly interpolated quantiles named in ``probs``; NULLs are ignored."""
+    return order_statistics(
+        df, keys, value, {name: (lambda total, p=p: (total - 1) * F.lit(float(p))) for name, p in probs.items()})
+
+
+def kth_largest(df: DataFrame, keys: Iterable[str], value: str, k: Column, name: str) -> DataFrame:
+    """The k-th largest value per group (the smallest one where a group has fewer); k may use key columns."""
+    return order_statistics(df, keys, value, {name: lambda total: F.greatest(total - k, F.lit(0)).cast("double")})
+
+
+def order_statistics(df: DataFrame, keys: Iterable[str], value: str,
+                     positions: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at (fractional) zero-based positions of each group's sorted values.
+
+    A position is a function of the group size; between two ranks the value is interpolated linearly.
+    """
     keys = list(keys)
     by = keys or ["_all"]
     rows = df.where(F.col(value).isNotNull())
@@ -36,26 +51,19 @@ def exact_percentiles(df: DataFrame, keys: Iterable[str], value: str, probs: dic
         "_before": F.sum("_bn").over(of_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bn"),
         "_total": F.sum("_bn").over(of_key),
     })
+    pos = {name: fn(F.col("_total")) for name, fn in positions.items()}
     # Only buckets that hold a wanted rank need their values ordered.
-    def holds(p: float):
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        return (F.ceil(pos) >= F.col("_before")) & (F.floor(pos) < F.col("_before") + F.col("_bn"))
-
     wanted = F.lit(False)
-    for p in probs.values():
-        wanted = wanted | holds(p)
+    for at in pos.values():
+        wanted = wanted | ((F.ceil(at) >= F.col("_before")) & (F.floor(at) < F.col("_before") + F.col("_bn")))
+    in_bucket = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.join(totals.where(wanted), [*by, "_b"]).withColumn(
-        "_end",
-        F.col("_before") + F.sum("_n").over(
-            Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)),
-    )
+        "_end", F.col("_before") + F.sum("_n").over(in_bucket))
     start, end = F.col("_end") - F.col("_n"), F.col("_end")
     aggs = []
-    for name, p in probs.items():
-        pos = (F.col("_total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
+    for name, at in pos.items():
+        lo, hi = F.floor(at), F.ceil(at)
         low = F.max(F.when((lo >= start) & (lo < end), cur))
         high = F.max(F.when((hi >= start) & (hi < end), cur))
-        frac = F.max(pos - lo)
-        aggs.append((low + (high - low) * frac).alias(name))
+        aggs.append((low + (high - low) * F.max(at - lo)).alias(name))
     return ranked.groupBy(*by).agg(*aggs).drop("_all")

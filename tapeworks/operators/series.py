@@ -266,8 +266,8 @@ class Fold:
     """A state machine over the rows of one series.
 
     ``run(rows, state) -> (output rows, state)`` consumes a pandas frame sorted by the order columns.
-    ``entries(rows)`` lists every state in which these rows can possibly be entered, and
-    ``match(state, entries)`` picks the one that behaves like ``state``.  They are needed only for keys
+    ``entries(rows, before)`` lists every state in which these rows can possibly be entered, given the
+    ``lookback`` rows before them, and ``match(state, entries)`` picks the one that behaves like ``state``.  They are needed only for keys
     that are split: each segment is then run once per entry state, the segment results are chained on a
     table with a few rows per segment, and a last pass runs every segment with its true entry state.
     States are strings.
@@ -275,7 +275,8 @@ class Fold:
 
     run: Callable[[pd.DataFrame, str], tuple[pd.DataFrame, str]]
     start: str
-    entries: Callable[[pd.DataFrame], list[str]]
+    entries: Callable[[pd.DataFrame, pd.DataFrame], list[str]]
+    lookback: int = 0
     match: Callable[[str, list[str]], str] = lambda state, entries: state
 
 
@@ -290,7 +291,7 @@ def fold_series(
 ) -> DataFrame:
     """Run a fold per key; output = whatever ``fold.run`` returns, with schema ``out_fields``."""
     keys, order = list(keys), list(order)
-    frame = split_series(df, keys, order, max_rows=max_rows, bucket=bucket)
+    frame = split_series(df, keys, order, lookback=fold.lookback, max_rows=max_rows, bucket=bucket)
     names = [f.name for f in out_fields.fields]
 
     if not frame.split:
@@ -301,7 +302,7 @@ def fold_series(
 
         return frame.df.groupBy(*keys).applyInPandas(whole, out_fields)
 
-    seg_rows = frame.df.drop(_HALO)
+    seg_rows = frame.df
     key_fields = [df.schema[k] for k in keys]
     map_schema = T.StructType(
         [*key_fields, T.StructField(_SEG, T.LongType()),
@@ -310,8 +311,9 @@ def fold_series(
 
     def transitions(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(order).reset_index(drop=True)
-        states = fold.entries(rows)
-        first = {c: rows[c].iloc[0] for c in [*keys, _SEG]}
+        before, rows = rows[rows[_HALO]], rows[~rows[_HALO]].reset_index(drop=True)
+        states = fold.entries(rows, before) if len(rows) else []
+        first = {c: pdf[c].iloc[0] for c in [*keys, _SEG]}
         return pd.DataFrame(
             [{**first, "state_in": s, "state_out": fold.run(rows, s)[1]} for s in states],
             columns=[f.name for f in map_schema.fields],
@@ -332,12 +334,11 @@ def fold_series(
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(order).reset_index(drop=True)
-        out, _ = fold.run(rows.drop(columns=[_SEG, "_entry"]), rows["_entry"].iloc[0])
+        out, _ = fold.run(rows.drop(columns=[_SEG, _HALO, "_entry"]), rows["_entry"].iloc[0])
         return out[names]
 
-    return (
-        seg_rows.join(entry, [*keys, _SEG]).groupBy(*keys, _SEG).applyInPandas(final, out_fields)
-    )
+    core = seg_rows.where(frame.core).join(entry, [*keys, _SEG])
+    return core.groupBy(*keys, _SEG).applyInPandas(final, out_fields)
 
 
 def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> Frame:
