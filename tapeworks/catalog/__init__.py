@@ -11,7 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("core", "enhanced", "mlfeatures", "tables", "screening", "regimes", "labelling", "datasets")
+MODULES = ("core", "enhanced", "mlfeatures", "tables", "screening", "regimes", "labelling", "datasets", "signalling")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:

@@ -393,6 +393,48 @@ def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> Frame:
     return replace(frame, df=joined)
 
 
+def affine_recurrence(frame: Frame, a: str, b: str, out: str) -> Frame:
+    """y = a * y_prev + b, starting from 0, with a and b columns.
+
+    Every segment is one pass that yields its rows' values as "slope * entry value + offset"; segments are
+    chained on their last slope and offset.  No division is involved, so it is stable for any factors.
+    """
+    df, order = frame.df, list(frame.order)
+    if frame.split:
+        df = df.where(frame.core)
+    extra = [T.StructField(c, T.DoubleType()) for c in ("_slope", "_offset")]
+    schema = T.StructType([*df.schema.fields, *extra])
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(order).reset_index(drop=True)
+        slope, offset, slopes, offsets = 1.0, 0.0, [], []
+        for f, c in zip(rows[a].tolist(), rows[b].tolist(), strict=True):
+            slope, offset = slope * f, offset * f + c
+            slopes.append(slope)
+            offsets.append(offset)
+        return rows.assign(_slope=slopes, _offset=offsets)
+
+    y = df.groupBy(*frame.part).applyInPandas(local, schema)
+    if not frame.split:
+        return replace(frame, df=y.withColumnRenamed("_offset", out).drop("_slope"))
+    keys = list(frame.keys)
+    pos = F.struct(*order)
+    ends = y.groupBy(*keys, _SEG).agg(F.max_by("_slope", pos).alias("s"), F.max_by("_offset", pos).alias("o"))
+    entry_schema = T.StructType(
+        [*[df.schema[k] for k in keys], T.StructField(_SEG, T.LongType()), T.StructField("_in", T.DoubleType())])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, value, entries = pdf.sort_values(_SEG), 0.0, []
+        for s, o in zip(rows["s"], rows["o"], strict=True):
+            entries.append(value)
+            value = s * value + o
+        return rows[[*keys, _SEG]].assign(_in=entries)
+
+    joined = y.join(ends.groupBy(*keys).applyInPandas(chain, entry_schema), [*keys, _SEG])
+    return replace(frame, df=joined.withColumn(out, F.col("_slope") * F.col("_in") + F.col("_offset")).drop(
+        "_slope", "_offset", "_in"))
+
+
 def ema(frame: Frame, x: str, span: int, out: str, adjust: bool = False) -> Frame:
     """Exponential mean with alpha = 2 / (span + 1); ``adjust`` divides by the sum of the weights so far."""
     alpha = 2.0 / (span + 1)
