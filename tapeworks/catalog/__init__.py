@@ -11,7 +11,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("core", "enhanced", "mlfeatures", "tables", "screening", "regimes", "labelling", "datasets", "signalling")
+MODULES = ("core", "enhanced", "mlfeatures", "tables", "screening", "regimes", "labelling", "datasets", "signalling",
+           "trading", "risking", "monitoring", "learning", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:

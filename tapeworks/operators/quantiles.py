@@ -67,3 +67,25 @@ def order_statistics(df: DataFrame, keys: Iterable[str], value: str,
         high = F.max(F.when((hi >= start) & (hi < end), cur))
         aggs.append((low + (high - low) * F.max(at - lo)).alias(name))
     return ranked.groupBy(*by).agg(*aggs).drop("_all")
+
+
+def running_by_value(df: DataFrame, value: str, measures: dict[str, Column]) -> DataFrame:
+    """One row per distinct value with each measure's sum at the value and over all smaller values.
+
+    The global order of values is cut at sketch quantiles, so no task orders more than its share; what lies
+    in earlier buckets is a sum over at most ``BUCKETS`` rows.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    grid = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    cuts = rows.agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), grid, F.lit(2000))).alias("_cuts"))
+    per = rows.groupBy(F.col(value).cast("double").alias("value")).agg(*[F.sum(x).alias(n) for n, x in measures.items()])
+    cur = F.col("value")
+    per = per.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").withColumn(
+        "_b", F.size(F.filter("_cuts", lambda c: c < cur))).drop("_cuts")
+    early = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy("_k", "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in measures])
+    carry = totals.select("_b", *[F.coalesce(F.sum(f"_t_{n}").over(early), F.lit(0)).alias(f"_c_{n}") for n in measures])
+    inside = Window.partitionBy("_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    local = per.withColumns({f"_l_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in measures})
+    out = local.join(F.broadcast(carry), "_b")
+    return out.select("value", *measures, *[(F.col(f"_c_{n}") + F.col(f"_l_{n}")).alias(f"{n}_below") for n in measures])

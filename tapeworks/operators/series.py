@@ -341,31 +341,55 @@ def fold_series(
     return core.groupBy(*keys, _SEG).applyInPandas(final, out_fields)
 
 
+def _scan(frame: Frame, update: Callable[[pd.DataFrame, list], list[list[float]]], out: list[str]) -> DataFrame:
+    """Run a sequential update over every window partition, streaming through it batch by batch.
+
+    The row number makes Spark deliver each partition's rows together and in order; it also tells where the
+    next one starts, and is checked, so a plan that did not keep the order would fail rather than give
+    wrong values.  Only one batch is in memory at a time and there is no cost per group.
+    ``update(batch, carry)`` returns one list per output column and leaves its state in ``carry``.
+    """
+    df = frame.df.where(frame.core) if frame.split else frame.df
+    df = df.withColumn("_k", F.row_number().over(frame.w()))
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in out]])
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        carry: list = []
+        last = 0
+        for rows in batches:
+            if rows.empty:
+                continue
+            k = rows["_k"].to_numpy()
+            before = [last, *k[:-1]]
+            if not all(n == 1 or n == m + 1 for n, m in zip(k, before, strict=True)):
+                raise RuntimeError("rows of a series arrived out of order")
+            last = int(k[-1])
+            yield rows.assign(**dict(zip(out, update(rows, carry), strict=True)))
+
+    return df.mapInPandas(run, schema)
+
+
 def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> Frame:
-    """y = alpha * x + (1 - alpha) * y_prev with y_0 = x_0 (exponential mean, unadjusted).
+    """y = alpha * x + (1 - alpha) * y_prev with y_0 = x_0 (exponential mean, unadjusted); x has no NULLs.
 
-    Within a segment the recurrence is one vectorised pandas pass; a segment's influence on later ones is
-    only its last value scaled by a power of (1 - alpha), so segments are chained on one row each.  The
-    returned frame has no halo rows: apply bounded ROWS windows before this, not after.
+    A segment's influence on later ones is only its last value scaled by a power of (1 - alpha), so
+    segments are chained on one row each.  The returned frame has no halo rows: apply bounded ROWS windows
+    before this, not after.
     """
-    df, part, order = frame.df, list(frame.part), list(frame.order)
-    if frame.split:
-        df = df.where(frame.core)
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("_y", T.DoubleType()), T.StructField("_k", T.LongType())]
-    )
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order).reset_index(drop=True)
-        rows["_y"] = rows[x].ewm(alpha=alpha, adjust=False).mean()
-        rows["_k"] = range(1, len(rows) + 1)
-        return rows
+    def update(rows: pd.DataFrame, carry: list) -> list[list[float]]:
+        y, ys = carry[0] if carry else 0.0, []
+        for k, v in zip(rows["_k"].tolist(), rows[x].tolist(), strict=True):
+            y = v if k == 1 else alpha * v + (1 - alpha) * y
+            ys.append(y)
+        carry[:] = [y]
+        return [ys]
 
-    y = df.groupBy(*part).applyInPandas(local, schema)
+    y = _scan(frame, update, ["_y"])
     if not frame.split:
         return replace(frame, df=y.withColumnRenamed("_y", out).drop("_k"))
 
-    keys = list(frame.keys)
+    keys, df = list(frame.keys), frame.df
     # The local pass starts at x_0 of the segment; the true value differs by
     # (1-alpha)^k * (carry - x_0), where carry is the true last value of the segment before.
     ends = y.groupBy(*keys, _SEG).agg(
@@ -399,27 +423,24 @@ def affine_recurrence(frame: Frame, a: str, b: str, out: str) -> Frame:
     Every segment is one pass that yields its rows' values as "slope * entry value + offset"; segments are
     chained on their last slope and offset.  No division is involved, so it is stable for any factors.
     """
-    df, order = frame.df, list(frame.order)
-    if frame.split:
-        df = df.where(frame.core)
-    extra = [T.StructField(c, T.DoubleType()) for c in ("_slope", "_offset")]
-    schema = T.StructType([*df.schema.fields, *extra])
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order).reset_index(drop=True)
-        slope, offset, slopes, offsets = 1.0, 0.0, [], []
-        for f, c in zip(rows[a].tolist(), rows[b].tolist(), strict=True):
+    def update(rows: pd.DataFrame, carry: list) -> list[list[float]]:
+        slope, offset = carry or (1.0, 0.0)
+        slopes, offsets = [], []
+        for k, f, c in zip(rows["_k"].tolist(), rows[a].tolist(), rows[b].tolist(), strict=True):
+            if k == 1:
+                slope, offset = 1.0, 0.0
             slope, offset = slope * f, offset * f + c
             slopes.append(slope)
             offsets.append(offset)
-        return rows.assign(_slope=slopes, _offset=offsets)
+        carry[:] = [slope, offset]
+        return [slopes, offsets]
 
-    y = df.groupBy(*frame.part).applyInPandas(local, schema)
+    y = _scan(frame, update, ["_slope", "_offset"])
     if not frame.split:
-        return replace(frame, df=y.withColumnRenamed("_offset", out).drop("_slope"))
-    keys = list(frame.keys)
-    pos = F.struct(*order)
-    ends = y.groupBy(*keys, _SEG).agg(F.max_by("_slope", pos).alias("s"), F.max_by("_offset", pos).alias("o"))
+        return replace(frame, df=y.withColumnRenamed("_offset", out).drop("_slope", "_k"))
+    keys, df = list(frame.keys), frame.df
+    ends = y.groupBy(*keys, _SEG).agg(F.max_by("_slope", "_k").alias("s"), F.max_by("_offset", "_k").alias("o"))
     entry_schema = T.StructType(
         [*[df.schema[k] for k in keys], T.StructField(_SEG, T.LongType()), T.StructField("_in", T.DoubleType())])
 
@@ -432,7 +453,7 @@ def affine_recurrence(frame: Frame, a: str, b: str, out: str) -> Frame:
 
     joined = y.join(ends.groupBy(*keys).applyInPandas(chain, entry_schema), [*keys, _SEG])
     return replace(frame, df=joined.withColumn(out, F.col("_slope") * F.col("_in") + F.col("_offset")).drop(
-        "_slope", "_offset", "_in"))
+        "_slope", "_offset", "_in", "_k"))
 
 
 def ema(frame: Frame, x: str, span: int, out: str, adjust: bool = False) -> Frame:
