@@ -12,7 +12,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("core", "enhanced", "mlfeatures", "tables", "screening", "regimes", "labelling", "datasets", "signalling",
-           "trading", "risking", "monitoring", "learning", "streams")
+           "trading", "risking", "monitoring", "learning", "streams", "jobs")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:

@@ -72,3 +72,14 @@ def with_time_bars(df: DataFrame, width_ns: int) -> DataFrame:
     return df.withColumns(
         {"bar_start": start, "bar_end": start + F.lit(width_ns).cast("long"), "bar_offset": F.col("ts") - start}
     )
+
+
+def session_ranges(bars: DataFrame) -> DataFrame:
+    """First and last bar of every (symbol, session), and rows before, in and after regular hours."""
+    from ..functions.timecols import SESSION_CLOSE, SESSION_OPEN, market_minute, session_date
+
+    m = market_minute("ts")
+    n = lambda c: F.sum(c.cast("long"))
+    return bars.groupBy("symbol", session_date("ts").alias("session_date")).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), n(m < SESSION_OPEN).alias("pre_rows"),
+        n((m >= SESSION_OPEN) & (m < SESSION_CLOSE)).alias("regular_rows"), n(m >= SESSION_CLOSE).alias("post_rows"))
