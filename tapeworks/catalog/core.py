@@ -54,7 +54,7 @@ def flagship(spark, sf):
   THEN sum(close * volume) OVER {roll(20)} / sum(volume) OVER {roll(20)} ELSE close END AS f__ta__vwap_20 FROM bars"""))
 def vwap(spark, sf):
     f = split_series(bars_e(spark, sf), lookback=20)
-    return fixed(f.with_cols(f__ta__vwap_20=features_core.vwap(f, 20)).finish().select("symbol", "ts", "f__ta__vwap_20"))
+    return fixed(features_core.add_vwap(f, {"f__ta__vwap_20": 20}).finish().select("symbol", "ts", "f__ta__vwap_20"))
 
 
 @query("e02_rel_volume", sql(BARS_E, "f__vol__rel_volume_30", f"""SELECT symbol, ts, volume,
@@ -68,8 +68,7 @@ def rvol(spark, sf):
   FROM (SELECT *, {TR} AS tr FROM bars {WINDOW})"""))
 def atr(spark, sf):
     f = split_series(bars_l(spark, sf), lookback=15)
-    f = f.with_cols(_tr=features_core.true_range(f))
-    return fixed(f.with_cols(f__vol__atr_14=features_core.atr(f, 14)).finish().select("symbol", "ts", "f__vol__atr_14"))
+    return fixed(features_core.add_atr(f, {"f__vol__atr_14": 14}).finish().select("symbol", "ts", "f__vol__atr_14"))
 
 
 @query("b20_warmup_mask", sql(BARS_L, "", """SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) > 60

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import probability as pr
 from ..functions.timecols import idiv, market_minute
 from ..operators import labels
-from ..operators.features_core import core_pack, true_range
+from ..operators.features_core import add_atr, core_pack
 from ..operators.series import split_series
 from . import query
 from .core import CORE, TR, WINDOW
@@ -59,8 +59,7 @@ def big_sql():
 @query("j06_big_move_labels", sql(BARS_L, "forward_return big_move_threshold", big_sql()))
 def big_moves(spark, sf):
     f = split_series(bars_l(spark, sf), lookback=16, lookahead=5)
-    f = f.with_cols(_tr=true_range(f))
-    f = f.with_cols(atr=F.avg("_tr").over(f.roll(14)))
+    f = add_atr(f, {"atr": 14})
     f = labels.big_move_labels(f, 5, "atr", 0.8, 0.01)
     return fixed(f.finish().select("symbol", "ts", "forward_return", "big_move_threshold", "big_move", "direction"))
 

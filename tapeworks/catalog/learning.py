@@ -8,7 +8,7 @@ from ..operators import datasets as ds
 from ..operators import features_ml as fm
 from ..operators import labels
 from ..operators import modeling as md
-from ..operators.features_core import true_range
+from ..operators.features_core import add_atr
 from ..operators.series import split_series
 from . import query
 from .data import bars_l, fixed, sql, table
@@ -93,8 +93,7 @@ def correlations(spark, sf):
 def training_rows(spark, sf):
     """Weekly bars with a few features, the big-move label and a reward."""
     f = split_series(bars_l(spark, sf), lookback=40, lookahead=5)
-    f = f.with_cols(_tr=true_range(f))
-    f = f.with_cols(atr=F.avg("_tr").over(f.roll(14)))
+    f = add_atr(f, {"atr": 14})
     f = labels.big_move_labels(f, 5, "atr", 0.8, 0.01)
     f = fm.returns_trend(f, (1, 5))
     f = fm.price_momentum(f, (1,), (14,), (5, 20))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timecols import idiv
 from ..operators import risk
-from ..operators.features_core import true_range
+from ..operators.features_core import add_atr
 from ..operators.series import split_series
 from . import query
 from .core import TR, WINDOW
@@ -20,10 +20,10 @@ ATR = f"""ba AS (SELECT symbol, ts, close, volume, avg(tr) OVER {roll(14)} AS at
 
 def with_atr(spark, sf):
     f = split_series(bars_e(spark, sf), lookback=16)
-    f = f.with_cols(_tr=true_range(f))
+    f = add_atr(f, {"atr": 14})
     v = F.col("volume")
     r = F.when(v % 5 == 0, "BULL").when(v % 5 == 1, "BEAR").when(v % 5 == 2, "SIDEWAYS").when(v % 5 == 3, "STRESS").otherwise("OFF")
-    return f.with_cols(atr=F.avg("_tr").over(f.roll(14)), regime=r, side=F.when(v % 2 == 0, "long").otherwise("short")).finish()
+    return f.with_cols(regime=r, side=F.when(v % 2 == 0, "long").otherwise("short")).finish()
 
 
 @query("o01_atr_quantity", sql(BARS_E + ",\n" + ATR, "", """SELECT symbol, ts, CASE WHEN atr > 0 AND floor(1e6 / close) > 0 THEN CAST(greatest(least(floor(0.02::DOUBLE * 1e6 / (atr * 1.0)), floor(1e6 / close)), 1) AS BIGINT) END AS qty,

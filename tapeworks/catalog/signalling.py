@@ -8,7 +8,7 @@ from ..functions import probability as pr
 from ..functions.timecols import utc_minute
 from ..operators import features_vpa, signals
 from ..operators.features_anchored import avwap_pack
-from ..operators.features_core import core_pack, true_range
+from ..operators.features_core import add_atr, core_pack
 from ..operators.features_profile import profile_pack
 from ..operators.series import split_series
 from . import query
@@ -79,8 +79,7 @@ def levels(spark, sf):
     df = avwap_pack(b).select("symbol", "ts", "close", "low", "high", "f__anchor__session_avwap")
     df = df.join(profile_pack(b, step=STEP).select("symbol", "ts", "f__profile__val", "f__profile__vah"), ["symbol", "ts"])
     f = split_series(b, lookback=16)
-    f = f.with_cols(_tr=true_range(f))
-    atr = f.with_cols(f__vol__atr_14=F.avg("_tr").over(f.roll(14))).finish().select("symbol", "ts", "f__vol__atr_14")
+    atr = add_atr(f, {"f__vol__atr_14": 14}).finish().select("symbol", "ts", "f__vol__atr_14")
     return df.join(atr, ["symbol", "ts"])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mathcols import div_or, flag, zero_to
+from ..functions.mathcols import div_or, zero_to
 from ..functions.timecols import utc_minute
 from .series import Frame, split_series
 
@@ -22,19 +22,30 @@ def true_range(f: Frame, signed: bool = False) -> Column:
     return F.greatest(F.col("high") - F.col("low"), up, down)
 
 
-def vwap(f: Frame, n: int) -> Column:
-    pv = F.sum(F.col("close") * F.col("volume")).over(f.roll(n))
-    vol = F.sum("volume").over(f.roll(n))
-    return F.when(vol > 0, pv / F.nullif(vol, F.lit(0))).otherwise(F.col("close"))
+def _vwap(f: Frame, n: int) -> Column:
+    vol = f.total("vol", n, 1)
+    return F.when(vol > 0, f.total("pv", n, 1) / F.nullif(vol, F.lit(0))).otherwise(F.col("close"))
 
 
-def atr(f: Frame, n: int, tr: str = "_tr") -> Column:
-    return F.avg(tr).over(f.roll(n))
+def _price_volume(f: Frame) -> dict[str, Column]:
+    return {"pv": F.col("close") * F.col("volume"), "vol": F.col("volume")}
+
+
+def add_vwap(f: Frame, windows: dict[str, int]) -> Frame:
+    """Rolling volume-weighted close per output name; the close itself where nothing traded."""
+    f = f.sums(**_price_volume(f))
+    return f.with_cols(**{out: _vwap(f, n) for out, n in windows.items()}).drop_sums()
+
+
+def add_atr(f: Frame, windows: dict[str, int], signed_range: bool = False) -> Frame:
+    """Rolling mean of the true range per output name."""
+    f = f.with_cols(_range=true_range(f, signed_range)).sums(tr="_range")
+    return f.with_cols(**{out: f.mean("tr", n, 1) for out, n in windows.items()}).drop("_range").drop_sums()
 
 
 def warmed_up(frame: Frame, n: int) -> Frame:
     """f__warmup_ok: at least n earlier rows exist, whatever segment they fell into."""
-    return frame.with_cols(f__warmup_ok=flag(F.count(F.lit(1)).over(frame.prior(max(n, 1))) >= n))
+    return frame.with_cols(f__warmup_ok=frame.has_rows(max(n, 1)))
 
 
 def rel_volume(bars: DataFrame, n: int = 30) -> DataFrame:
@@ -62,12 +73,11 @@ def _divide(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn(f"f__vol__rel_volume_{n}", value.cast("double")).drop("_tod", "_tod_mean")
 
 
-def add_vwap_atr(frame: Frame, vwap_n: int, atr_n: int, signed_range: bool = False) -> Frame:
-    return (
-        frame.with_cols(_tr=true_range(frame, signed_range))
-        .with_cols(**{f"f__ta__vwap_{vwap_n}": vwap(frame, vwap_n), f"f__vol__atr_{atr_n}": atr(frame, atr_n)})
-        .drop("_tr")
-    )
+def add_core(f: Frame, vwap_n: int, atr_n: int, warm_n: int, signed_range: bool = False) -> Frame:
+    f = f.with_cols(_range=true_range(f, signed_range)).sums(tr="_range", **_price_volume(f))
+    return f.with_cols(**{
+        f"f__ta__vwap_{vwap_n}": _vwap(f, vwap_n), f"f__vol__atr_{atr_n}": f.mean("tr", atr_n, 1), "f__warmup_ok": f.has_rows(max(warm_n, 1)),
+    }).drop("_range").drop_sums()
 
 
 def core_pack(bars: DataFrame, vwap_n: int = 30, rvol_n: int = 30, atr_n: int = 30,
@@ -76,4 +86,4 @@ def core_pack(bars: DataFrame, vwap_n: int = 30, rvol_n: int = 30, atr_n: int =
     widest = max(vwap_n, rvol_n, atr_n)
     with_rvol = rel_volume_market(bars, rvol_n)
     frame = split_series(with_rvol, lookback=widest + 1, max_rows=max_rows, count_from=bars)
-    return warmed_up(add_vwap_atr(frame, vwap_n, atr_n, signed_range), widest).finish()
+    return add_core(frame, vwap_n, atr_n, widest, signed_range).finish()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mathcols import div, flag, pct_change, zero_to
 from ..functions.timecols import event_time
-from .features_core import true_range, vwap
+from .features_core import add_vwap, true_range
 from .joins import asof_backward
 from .series import Frame, ema, split_series
 
@@ -34,29 +34,29 @@ def returns_trend(f: Frame, windows: Iterable[int] = (1, 5, 10, 20, 30)) -> Fram
 
 
 def volatility_ranges(f: Frame, atr_n=(5, 14, 30), vol_n=(5, 10, 20, 30), ratios=(0.5, 1.0, 2.0)) -> Frame:
-    f = f.with_cols(_tr=true_range(f), _r1=pct_change(c("close"), f.lag("close")), _rng=c("high") - c("low"))
-    cols = {f"f__vol__atr_{n}": F.avg("_tr").over(f.roll(n)) for n in atr_n}
+    f = f.with_cols(_tr=true_range(f), _r1=pct_change(c("close"), f.lag("close")), _rng=c("high") - c("low")).sums(tr="_tr", rng="_rng")
+    cols = {f"f__vol__atr_{n}": f.mean("tr", n, 1) for n in atr_n}
     cols |= {f"f__vol__rolling_std_{n}": f.agg(F.stddev_samp, "_r1", n) * math.sqrt(390) for n in vol_n}
-    avg = f.agg(F.avg, "_rng", 20)
+    avg = f.mean("rng", 20)
     cols |= {f"f__range__ratio_{r}": c("_rng") / (avg * r + EPS) for r in ratios}
-    return f.with_cols(**cols).drop("_tr", "_r1", "_rng")
+    return f.with_cols(**cols).drop("_tr", "_r1", "_rng").drop_sums()
 
 
 def volume_flow(f: Frame, sum_n=(5, 10, 20), vwap_n=(5, 10, 20, 30)) -> Frame:
-    cols = {f"f__vol__sum_{n}": f.agg(F.sum, "volume", n) for n in sum_n}
-    cols |= {f"f__vwap__value_{n}": vwap(f, n) for n in vwap_n}
-    return f.with_cols(**cols)
+    f = add_vwap(f, {f"f__vwap__value_{n}": n for n in vwap_n}).sums(v="volume")
+    return f.with_cols(**{f"f__vol__sum_{n}": f.total("v", n) for n in sum_n}).drop_sums()
 
 
 def vwap_distance(f: Frame, vwap_n=(5, 10, 20, 30), z_n=(20, 30, 60)) -> Frame:
-    f = f.with_cols(**{f"_w{n}": vwap(f, n) for n in vwap_n})
+    f = add_vwap(f, {f"_w{n}": n for n in vwap_n})
     f = f.with_cols(**{f"_x{n}": div(c("close") - c(f"_w{n}"), c(f"_w{n}")) for n in vwap_n})
+    f = f.sums(**{f"x{n}": f"_x{n}" for n in vwap_n})
     cols = {f"f__vwap__dist_{n}": div(c("close") - c(f"_w{n}"), c("close")) for n in vwap_n}
     for n in vwap_n:
         for z in z_n:
             x = f"_x{n}"
-            cols[f"f__vwap__z_{n}_{z}"] = (c(x) - f.agg(F.avg, x, z)) / (f.agg(F.stddev_samp, x, z) + EPS)
-    return f.with_cols(**cols).drop(*[f"_{p}{n}" for p in "wx" for n in vwap_n])
+            cols[f"f__vwap__z_{n}_{z}"] = (c(x) - f.mean(f"x{n}", z)) / (f.agg(F.stddev_samp, x, z) + EPS)
+    return f.with_cols(**cols).drop(*[f"_{p}{n}" for p in "wx" for n in vwap_n]).drop_sums()
 
 
 def time_seasonality(df: DataFrame, cyclical: bool = True) -> DataFrame:
@@ -91,8 +91,7 @@ def cross_section(f: Frame, windows=(5, 20)) -> DataFrame:
 
 
 def _rsi(f: Frame, n: int, eps: float) -> Column:
-    gain = f.agg(F.avg, "_gain", n)
-    loss = f.agg(F.avg, "_loss", n)
+    gain, loss = f.mean("gain", n), f.mean("loss", n)
     if eps:
         return 100 - 100 / (1 + gain / (loss + eps))
     # Without the small constant: no losses at all means 100, no movement at all is undefined.
@@ -101,23 +100,23 @@ def _rsi(f: Frame, n: int, eps: float) -> Column:
 
 def _with_moves(f: Frame) -> Frame:
     d = c("close") - f.lag("close")
-    return f.with_cols(_gain=F.when(flag(d > 0), d).otherwise(F.lit(0.0)), _loss=F.when(flag(d < 0), -d).otherwise(F.lit(0.0)))
+    return f.with_cols(_gain=F.when(flag(d > 0), d).otherwise(F.lit(0.0)), _loss=F.when(flag(d < 0), -d).otherwise(F.lit(0.0))).sums(
+        gain="_gain", loss="_loss", close="close")
 
 
 def price_momentum(f: Frame, roc_n=(1, 5, 10, 20), rsi_n=(14, 30), ma_n=(5, 10, 20, 30)) -> Frame:
     f = _with_moves(f)
     cols = {f"f__mom__roc_{n}": pct_change(c("close"), f.lag("close", n)) * 100 for n in roc_n}
     cols |= {f"f__mom__rsi_{n}": _rsi(f, n, EPS) for n in rsi_n}
-    cols |= {f"f__ma__ratio_{n}": div(c("close"), f.agg(F.avg, "close", n)) for n in ma_n}
-    return f.with_cols(**cols).drop("_gain", "_loss")
+    cols |= {f"f__ma__ratio_{n}": div(c("close"), f.mean("close", n)) for n in ma_n}
+    return f.with_cols(**cols).drop("_gain", "_loss").drop_sums()
 
 
 def microstructure(f: Frame, spread_n=(1, 5, 10), imbalance_n=(1, 5, 10)) -> Frame:
-    f = f.with_cols(_sp=div(c("high") - c("low"), c("close")), _im=(c("close") - f.lag("close")) * c("volume"))
-    cols = {f"f__micro__spread_{n}": f.agg(F.avg, "_sp", n) for n in spread_n}
-    cols |= {f"f__micro__imbalance_{n}": f.agg(F.sum, "_im", n) for n in imbalance_n}
-    cols["f__vwap__5m"] = vwap(f, 5)
-    return f.with_cols(**cols).drop("_sp", "_im")
+    f = f.with_cols(_sp=div(c("high") - c("low"), c("close")), _im=(c("close") - f.lag("close")) * c("volume")).sums(sp="_sp", im="_im")
+    cols = {f"f__micro__spread_{n}": f.mean("sp", n) for n in spread_n}
+    cols |= {f"f__micro__imbalance_{n}": f.total("im", n) for n in imbalance_n}
+    return add_vwap(f.with_cols(**cols).drop("_sp", "_im").drop_sums(), {"f__vwap__5m": 5})
 
 
 def conviction(f: Frame, windows=(3, 6, 12)) -> Frame:
@@ -128,22 +127,22 @@ def conviction(f: Frame, windows=(3, 6, 12)) -> Frame:
     f = f.with_cols(
         _body=(cl - o) / rng, _wick=((lower - lo) - (h - upper)) / rng,
         _adl=((cl - lo) - (h - cl)) / rng * v, _rng=h - lo, _sv=step * v,
-    )
+    ).sums(close="close", v="volume", body="_body", wick="_wick", adl="_adl", rng="_rng", sv="_sv")
     cols = {}
     for n in windows:
         sd = F.nullif(f.agg(F.stddev_pop, "close", n), F.lit(0.0))
-        vol = f.agg(F.sum, "volume", n)
-        cols[f"f__conv__zscore_{n}"] = (cl - f.agg(F.avg, "close", n)) / (sd + EPS)
-        cols[f"f__conv__mom_vol_{n}"] = pct_change(cl, f.lag("close", n)) * (v / (f.agg(F.avg, "volume", n) + EPS))
-        cols[f"f__conv__range_pos_{n}"] = (cl - f.agg(F.min, "low", n)) / (f.agg(F.sum, "_rng", n) + EPS)
-        cols[f"f__conv__body_strength_{n}"] = f.agg(F.avg, "_body", n)
-        cols[f"f__conv__wick_skew_{n}"] = f.agg(F.avg, "_wick", n)
-        cols[f"f__conv__adl_strength_{n}"] = f.agg(F.sum, "_adl", n) / (vol + EPS)
+        vol = f.total("v", n)
+        cols[f"f__conv__zscore_{n}"] = (cl - f.mean("close", n)) / (sd + EPS)
+        cols[f"f__conv__mom_vol_{n}"] = pct_change(cl, f.lag("close", n)) * (v / (f.mean("v", n) + EPS))
+        cols[f"f__conv__range_pos_{n}"] = (cl - f.agg(F.min, "low", n)) / (f.total("rng", n) + EPS)
+        cols[f"f__conv__body_strength_{n}"] = f.mean("body", n)
+        cols[f"f__conv__wick_skew_{n}"] = f.mean("wick", n)
+        cols[f"f__conv__adl_strength_{n}"] = f.total("adl", n) / (vol + EPS)
         # A running signed volume differenced over n rows is just the signed volume of those n rows;
         # it needs n earlier rows to exist.
         had = f.lag("close", n).isNotNull()
-        cols[f"f__conv__obv_mom_{n}"] = F.when(had, F.sum("_sv").over(f.roll(n)) / (vol + EPS))
-    return f.with_cols(**cols).drop("_body", "_wick", "_adl", "_rng", "_sv")
+        cols[f"f__conv__obv_mom_{n}"] = F.when(had, f.total("sv", n) / (vol + EPS))
+    return f.with_cols(**cols).drop("_body", "_wick", "_adl", "_rng", "_sv").drop_sums()
 
 
 def price_volume_proxy(f: Frame) -> Frame:
@@ -178,12 +177,13 @@ def market_strength(f: Frame, market_close: str = "MKT_close", n: int = 15, beta
 
 
 def market_regime(f: Frame, level: str = "VIX_close", index: str = "SPY_close", n: int = 60) -> Frame:
-    ma = f.agg(F.avg, index, n)
+    f = f.sums(ix=index)
+    ma = f.mean("ix", n)
     return f.with_cols(
         f__regime__vix_level=c(level),
         **{f"f__regime__vix_roc_{n}m": pct_change(c(level), f.lag(level, n)),
            f"f__regime__spy_dist_ma{n}": div(c(index) - ma, ma)},
-    )
+    ).drop_sums()
 
 
 FAMILIES: dict[str, Callable[[Frame], Frame]] = {
@@ -249,7 +249,7 @@ def technical_indicators(f: Frame) -> Frame:
     """Strength index, Bollinger bands, stochastic and Williams; ``macd`` is separate as it is recursive."""
     f = _with_moves(f)
     hi, lo = f.agg(F.max, "high", 14), f.agg(F.min, "low", 14)
-    ma, sd = f.agg(F.avg, "close", 20), f.agg(F.stddev_samp, "close", 20)
+    ma, sd = f.mean("close", 20), f.agg(F.stddev_samp, "close", 20)
     f = f.with_cols(
         close_rsi=_rsi(f, 14, 0.0), close_bb_upper=ma + sd * 2, close_bb_lower=ma - sd * 2,
         close_stoch_k=div(c("close") - lo, hi - lo) * 100, close_williams_r=div(hi - c("close"), hi - lo) * -100,
@@ -257,7 +257,7 @@ def technical_indicators(f: Frame) -> Frame:
     return f.with_cols(
         close_bb_position=div(c("close") - c("close_bb_lower"), c("close_bb_upper") - c("close_bb_lower")),
         close_stoch_d=f.agg(F.avg, "close_stoch_k", 3),
-    ).drop("_gain", "_loss")
+    ).drop("_gain", "_loss").drop_sums()
 
 
 def macd(f: Frame, fast: int = 12, slow: int = 26, signal: int = 9) -> Frame:

@@ -13,7 +13,8 @@ from .series import Frame, split_series
 
 def _with_range(f: Frame) -> Frame:
     tr = true_range(f)
-    return f.with_cols(_tr=tr, _vol=div(tr, F.col("close")), _tod=utc_minute("ts"))
+    f = f.with_cols(_tr=tr, _vol=div(tr, F.col("close")), _tod=utc_minute("ts"))
+    return f.sums(tr="_tr", rel="_vol", v="volume", close="close")
 
 
 def mod_volatility(f: Frame, n: int = 30, mp: int = 5) -> Frame:
@@ -22,7 +23,7 @@ def mod_volatility(f: Frame, n: int = 30, mp: int = 5) -> Frame:
     The past mean uses earlier rows only; before the minute was ever seen, the symbol's past mean stands
     in.  That leaves just the first row of a symbol without a value, so no forward fill is needed.
     """
-    f = f.with_cols(_rv=f.agg(F.avg, "_vol", n, mp))
+    f = f.with_cols(_rv=f.mean("rel", n, mp))
     vol = F.col("_vol")
     f = f.running({"_ts": ("sum", vol), "_tc": ("count", vol)}, extra=("_tod",), inclusive=False)
     f = f.running({"_ss": ("sum", vol), "_sc": ("count", vol)}, inclusive=False)
@@ -45,19 +46,21 @@ def adx_proxy(f: Frame, n: int = 14, mp: int = 3) -> Frame:
         _pdm=F.when(flag((up > down) & (up > 0)), up).otherwise(F.lit(0.0)),
         _mdm=F.when(flag((down > up) & (down > 0)), down).otherwise(F.lit(0.0)),
     )
-    tr = zero_to(f.agg(F.avg, "_tr", n, mp), 1.0)
-    plus = F.lit(100.0) * (f.agg(F.avg, "_pdm", n, mp) / tr)
-    minus = F.lit(100.0) * (f.agg(F.avg, "_mdm", n, mp) / tr)
+    f = f.sums(pdm="_pdm", mdm="_mdm")
+    tr = zero_to(f.mean("tr", n, mp), 1.0)
+    plus = F.lit(100.0) * (f.mean("pdm", n, mp) / tr)
+    minus = F.lit(100.0) * (f.mean("mdm", n, mp) / tr)
     f = f.with_cols(_pdi=plus, _mdi=minus)
     pdi, mdi = F.col("_pdi"), F.col("_mdi")
     f = f.with_cols(_dx=F.lit(100.0) * F.abs(pdi - mdi) / zero_to(pdi + mdi, 1.0))
-    return f.with_cols(**{f"f__regime__adx_proxy_{n}": f.agg(F.avg, "_dx", n, mp)}).drop(
+    f = f.sums(dx="_dx")
+    return f.with_cols(**{f"f__regime__adx_proxy_{n}": f.mean("dx", n, mp)}).drop(
         "_pdm", "_mdm", "_pdi", "_mdi", "_dx"
     )
 
 
 def band_position(f: Frame, n: int = 20, k: float = 2.0, mp: int = 5) -> Frame:
-    f = f.with_cols(_ma=f.agg(F.avg, "close", n, mp), _sd=f.agg(F.stddev_samp, "close", n, mp))
+    f = f.with_cols(_ma=f.mean("close", n, mp), _sd=f.agg(F.stddev_samp, "close", n, mp))
     lower, upper = F.col("_ma") - F.col("_sd") * k, F.col("_ma") + F.col("_sd") * k
     pos = (F.col("close") - lower) / zero_to(upper - lower, 1.0)
     return f.with_cols(**{f"f__regime__band_pos_{n}_{k}": clip(pos, -0.5, 1.5)}).drop("_ma", "_sd")
@@ -66,8 +69,8 @@ def band_position(f: Frame, n: int = 20, k: float = 2.0, mp: int = 5) -> Frame:
 def stress(f: Frame, vol_n: int = 10, volume_n: int = 10, vol_cut: float = 2.0, volume_cut: float = 3.0,
            mp: int = 3) -> Frame:
     """Largest excess of recent volatility or volume over its own longer mean, once above the cuts."""
-    a = div_zero_one(f.agg(F.avg, "_vol", vol_n, mp), f.agg(F.avg, "_vol", max(vol_n * 6, 30), mp))
-    b = div_zero_one(f.agg(F.avg, "volume", volume_n, mp), f.agg(F.avg, "volume", max(volume_n * 6, 30), mp))
+    a = div_zero_one(f.mean("rel", vol_n, mp), f.mean("rel", max(vol_n * 6, 30), mp))
+    b = div_zero_one(f.mean("v", volume_n, mp), f.mean("v", max(volume_n * 6, 30), mp))
     f = f.with_cols(_vs=a, _ws=b)
     va = F.when(F.col("_vs") >= vol_cut, F.col("_vs") - 1).otherwise(F.lit(0.0))
     vb = F.when(F.col("_ws") >= volume_cut, F.col("_ws") - 1).otherwise(F.lit(0.0))
@@ -89,8 +92,8 @@ def add_regime_features(f: Frame, vol_n: int = 30, short: int = 10, long: int =
     f = band_position(f, band_n, band_k)
     f = stress(f, stress_n, stress_n, vol_cut, volume_cut)
     warm = max(vol_n, long, adx_n, band_n)
-    f = f.with_cols(f__regime__warmup_ok=flag(F.count(F.lit(1)).over(f.prior(warm)) >= warm))
-    return f.drop("_tr", "_vol", "_tod")
+    f = f.with_cols(f__regime__warmup_ok=f.has_rows(warm))
+    return f.drop("_tr", "_vol", "_tod").drop_sums()
 
 
 # Windows and cuts of the named variants.

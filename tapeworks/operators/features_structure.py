@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathcols import div, flag, zero_to
-from .features_core import atr, rel_volume, true_range
+from .features_core import add_atr, rel_volume
 from .features_vpa import rank_share
 from .series import Frame, ema, split_series
 
@@ -94,8 +94,9 @@ def add_flow(f: Frame, absorb_range: float = 0.6, absorb_body: float = 0.25, cli
     o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
     tr = h - lo
     safe = zero_to(tr, TICK)
+    f = f.sums(v="volume")
     f = f.with_cols(
-        _ofi=(v * (c - o) / safe), _va=f.agg(F.avg, "volume", 20, 5), _vr=rank_share("volume", f.roll(50), 20),
+        _ofi=(v * (c - o) / safe), _va=f.mean("v", 20, 5), _vr=rank_share("volume", f.roll(50), 20),
         _h1=f.lag("high"), _l1=f.lag("low"), _c1=f.lag("close"), _c3=f.lag("close", 3),
     )
     va = F.col("_va")
@@ -109,7 +110,7 @@ def add_flow(f: Frame, absorb_range: float = 0.6, absorb_body: float = 0.25, cli
         f__vpa__downthrust=flag(heavy & (c < o) & (c < F.col("_l1")) & (F.col("_ofi") < 0)),
         # Whatever branch the upstream test takes, it holds exactly when the three earlier closes moved.
         f__vpa__stopping_volume=flag((v > 2.0 * va) & (F.col("_c1") != F.col("_c3"))),
-    ).drop("_va", "_vr", "_h1", "_l1", "_c1", "_c3")
+    ).drop("_va", "_vr", "_h1", "_l1", "_c1", "_c3").drop_sums()
 
 
 def add_flow_trend(f: Frame, span: int = 8) -> Frame:
@@ -122,16 +123,11 @@ def add_stress_contraction(f: Frame, stress: str = "f__regime__stress_10_10") ->
     return f.with_cols(f__stress__contraction=flag((f.lag(stress) >= 1.0) & (F.col(stress) < 1.0)))
 
 
-def _with_atr(f: Frame, *windows: int) -> Frame:
-    f = f.with_cols(_tr=true_range(f))
-    return f.with_cols(**{f"f__vol__atr_{n}": atr(f, n) for n in windows}).drop("_tr")
-
-
 def structure_and_flow_pack(bars: DataFrame, atr_cut: float = 0.8, volume_cut: float = 1.0,
                             max_rows: int | None = None) -> DataFrame:
     """Gaps, displacement, sweeps, order flow and its trend over one shared exchange."""
     f = split_series(rel_volume(bars, 30), lookback=60, max_rows=max_rows, count_from=bars)
-    f = _with_atr(f, 14, 30)
+    f = add_atr(f, {"f__vol__atr_14": 14, "f__vol__atr_30": 30})
     f = add_fair_value_gaps(f)
     f = add_displacement(f, atr_cut, volume_cut)
     f = add_sweeps(f)

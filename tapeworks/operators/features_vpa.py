@@ -34,8 +34,9 @@ def growth(x: Column, prev: Column) -> Column:
 
 def add_vpa(f: Frame, spike: float = 2.0, breakout_n: int = 20, absorb_n: int = 5, climax: float = 0.95) -> Frame:
     high, low, close, volume = (F.col(c) for c in ("high", "low", "close", "volume"))
+    f = f.sums(v="volume")
     f = f.with_cols(
-        _va=f.agg(F.avg, "volume", 20, 10),
+        _va=f.mean("v", 20, 10),
         _ph=f.prior_agg(F.max, "high", breakout_n, 10),
         _pl=f.prior_agg(F.min, "low", breakout_n, 10),
         _pc=growth(close, f.lag("close")),
@@ -43,8 +44,9 @@ def add_vpa(f: Frame, spike: float = 2.0, breakout_n: int = 20, absorb_n: int =
         _body=F.abs(close - F.col("open")),
     )
     f = f.with_cols(_ratio=div(volume, F.col("_va")), _vpr=volume / (F.col("_body") + 1e-8))
+    f = f.sums(b="_body")
     f = f.with_cols(
-        _bodyavg=f.agg(F.avg, "_body", absorb_n, 3),
+        _bodyavg=f.mean("b", absorb_n, 3),
         _q80=f.agg(lambda x: F.percentile(x, 0.8), "_vpr", 20, 10),
         _vprank=rank_share("_vpr", f.roll(50), 20),
         _vrank=rank_share("volume", f.roll(50), 20),
@@ -70,7 +72,7 @@ def add_vpa(f: Frame, spike: float = 2.0, breakout_n: int = 20, absorb_n: int =
         p__vpa__climax=flag(F.col("_vrank") > climax),
         conf__vpa__climax=clip((F.col("_vrank") - climax) / (1.0 - climax), 0, 1),
     )
-    return f.drop("_va", "_ph", "_pl", "_pc", "_vc", "_body", "_ratio", "_vpr", "_bodyavg", "_q80", "_vprank", "_vrank")
+    return f.drop("_va", "_ph", "_pl", "_pc", "_vc", "_body", "_ratio", "_vpr", "_bodyavg", "_q80", "_vprank", "_vrank").drop_sums()
 
 
 def vpa_pack(bars: DataFrame, max_rows: int | None = None, **params: float) -> DataFrame:

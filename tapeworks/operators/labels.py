@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mathcols import clip, div, flag
 from ..functions.timecols import MINUTE_NS, SESSION_CLOSE, SESSION_OPEN, market_minute, session_date
-from .features_core import true_range
+from .features_core import add_atr
 from .quantiles import exact_percentiles
 from .series import Frame, ensure_checkpoint_dir, settle, split_series
 
@@ -55,14 +55,13 @@ def _threshold(cfg: FirstHitConfig, mult: Column) -> Column:
 
 
 def _with_atr_return(f: Frame, cfg: FirstHitConfig) -> Frame:
-    f = f.with_cols(_tr=true_range(f))
+    f = add_atr(f, {"_atr": cfg.atr_window})
     floor_atr = max(cfg.min_atr, 1e-6)
-    f = f.with_cols(_atr=F.avg("_tr").over(f.roll(cfg.atr_window)))
     fallback = F.greatest(F.lit(floor_atr) / F.greatest(F.col("close"), F.lit(1e-6)), F.lit(1e-6))
     ret = F.greatest(F.col("_atr"), F.lit(floor_atr)) / F.greatest(F.col("close"), F.lit(1e-6))
     lo = max(cfg.atr_return_min, 1e-6)
     return f.with_cols(_fallback=fallback, _atr_ret=F.greatest(
-        clip(F.greatest(ret, fallback), lo, max(cfg.atr_return_max, lo + 1e-6)), fallback)).drop("_tr")
+        clip(F.greatest(ret, fallback), lo, max(cfg.atr_return_max, lo + 1e-6)), fallback))
 
 
 def _frame(bars: DataFrame, cfg: FirstHitConfig, max_rows: int | None) -> Frame:
@@ -100,8 +99,7 @@ def volatility_multipliers(bars: DataFrame, cfg: FirstHitConfig, target_move: fl
                            max_rows: int | None = None) -> DataFrame:
     """Per symbol: base^(1-mix) * (target * price quantile / ATR quantile)^mix, within bounds."""
     f = split_series(bars, lookback=cfg.atr_window + 2, max_rows=max_rows)
-    f = f.with_cols(_tr=true_range(f))
-    df = f.with_cols(_atr=F.avg("_tr").over(f.roll(cfg.atr_window))).finish().where((F.col("close") > 0) & (F.col("_atr") > 0))
+    df = add_atr(f, {"_atr": cfg.atr_window}).finish().where((F.col("close") > 0) & (F.col("_atr") > 0))
     q = exact_percentiles(df, ["symbol"], "close", {"close_ref": price_q}).join(
         exact_percentiles(df, ["symbol"], "_atr", {"atr_ref": atr_q}), "symbol")
     mix = min(max(mix, 0.0), 1.0)

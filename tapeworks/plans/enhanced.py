@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features_structure as st
 from ..operators.features_anchored import avwap_pack
-from ..operators.features_core import add_vwap_atr, atr, rel_volume, true_range, warmed_up
+from ..operators.features_core import add_atr, add_core, rel_volume
 from ..operators.features_profile import add_profile
 from ..operators.features_regime import add_regime_features
 from ..operators.series import split_series
@@ -23,9 +23,8 @@ def enhanced_pack(bars: DataFrame, step: float = 0.1, profile_window: int = 100,
     reach = max(profile_window + 20, 130)
     f = split_series(bars, lookback=reach, max_rows=max_rows)
     f = add_profile(f, step, profile_window)
-    f = f.with_cols(_tr=true_range(f))
-    f = f.with_cols(f__vol__atr_14=atr(f, 14)).drop("_tr")
-    f = warmed_up(add_vwap_atr(f, 30, 30), 30)
+    f = add_core(f, 30, 30, 30)
+    f = add_atr(f, {"f__vol__atr_14": 14})
     if with_regime:
         f = st.add_stress_contraction(add_regime_features(f))
     df = avwap_pack(rel_volume(f.finish(), 30))
