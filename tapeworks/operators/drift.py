@@ -67,14 +67,14 @@ def log_loss(df: DataFrame, prob: str, label: str, eps: float = 1e-15) -> DataFr
 def rolling_errors(f: Frame, pred: str, actual: str, n: int = 30) -> DataFrame:
     """Rolling mean squared and absolute error; only rows with a full window."""
     e = F.col(pred) - F.col(actual)
-    f = f.sums(sq=e * e, ab=F.abs(e))
+    f = f.sums((n,), sq=e * e, ab=F.abs(e))
     f = f.with_cols(rolling_mse=f.mean("sq", n), rolling_mae=f.mean("ab", n)).drop_sums()
     return f.finish().where(F.col("rolling_mse").isNotNull())
 
 
 def concept_drift(f: Frame, pred: str, actual: str, n: int = 50, threshold: float = 0.05) -> DataFrame:
     """Rows where the rolling mean absolute error jumped by more than the threshold."""
-    f = f.sums(ab=F.abs(F.col(pred) - F.col(actual)))
+    f = f.sums((n,), ab=F.abs(F.col(pred) - F.col(actual)))
     f = f.with_cols(rolling_error=f.mean("ab", n)).drop_sums()
     f = f.with_cols(jump=F.col("rolling_error") - f.lag("rolling_error"))
     return f.finish().where(F.col("jump") > threshold)

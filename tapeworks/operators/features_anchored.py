@@ -10,20 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathcols import div, flag
-from ..functions.timecols import (
-    FIRST_HOUR_END, PREMARKET_OPEN, SESSION_OPEN, local_clock_ns, market_minute, session_date,
-)
+from ..functions.timecols import FIRST_HOUR_END, MARKET_TZ, MINUTE_NS, PREMARKET_OPEN, SESSION_OPEN, market_time, to_ns
 
 
 def session_anchors(bars: DataFrame) -> DataFrame:
-    return bars.withColumns(
-        {
-            "session_date": session_date("ts"),
-            "session_start_ns": local_clock_ns("ts", SESSION_OPEN),
-            "premarket_start_ns": local_clock_ns("ts", PREMARKET_OPEN),
-            "first_hour_ns": local_clock_ns("ts", FIRST_HOUR_END),
-        }
-    )
+    """Local session date and the ns of 09:30, 04:00 and 10:30, counted from local midnight."""
+    df = bars.withColumn("_mt", market_time("ts"))
+    df = df.withColumns({"session_date": F.to_date("_mt"), "_mid": to_ns(F.to_utc_timestamp(F.date_trunc("day", "_mt"), MARKET_TZ))})
+    at = lambda minute: F.col("_mid") + F.lit(minute * MINUTE_NS).cast("long")
+    return df.withColumns({
+        "session_start_ns": at(SESSION_OPEN), "premarket_start_ns": at(PREMARKET_OPEN), "first_hour_ns": at(FIRST_HOUR_END),
+    }).drop("_mt", "_mid")
 
 
 def _session():
@@ -96,8 +93,3 @@ def avwap_pack(bars: DataFrame) -> DataFrame:
 def _held_first_hour(hour1: Column) -> Column:
     """Running value inside the first hour, its last value afterwards."""
     return _hold(F.when(hour1, F.struct(F.col("_fh").alias("v"))))["v"]
-
-
-def tod_session_mask(bars: DataFrame) -> DataFrame:
-    """Minute-of-day columns in market time, for session predicates."""
-    return bars.withColumns({"market_minute": market_minute("ts"), "session_date": session_date("ts")})

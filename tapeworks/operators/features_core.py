@@ -33,13 +33,13 @@ def _price_volume(f: Frame) -> dict[str, Column]:
 
 def add_vwap(f: Frame, windows: dict[str, int]) -> Frame:
     """Rolling volume-weighted close per output name; the close itself where nothing traded."""
-    f = f.sums(**_price_volume(f))
+    f = f.sums(windows.values(), **_price_volume(f))
     return f.with_cols(**{out: _vwap(f, n) for out, n in windows.items()}).drop_sums()
 
 
 def add_atr(f: Frame, windows: dict[str, int], signed_range: bool = False) -> Frame:
     """Rolling mean of the true range per output name."""
-    f = f.with_cols(_range=true_range(f, signed_range)).sums(tr="_range")
+    f = f.with_cols(_range=true_range(f, signed_range)).sums(windows.values(), tr="_range")
     return f.with_cols(**{out: f.mean("tr", n, 1) for out, n in windows.items()}).drop("_range").drop_sums()
 
 
@@ -74,7 +74,7 @@ def _divide(df: DataFrame, n: int) -> DataFrame:
 
 
 def add_core(f: Frame, vwap_n: int, atr_n: int, warm_n: int, signed_range: bool = False) -> Frame:
-    f = f.with_cols(_range=true_range(f, signed_range)).sums(tr="_range", **_price_volume(f))
+    f = f.with_cols(_range=true_range(f, signed_range)).sums((vwap_n, atr_n), tr="_range", **_price_volume(f))
     return f.with_cols(**{
         f"f__ta__vwap_{vwap_n}": _vwap(f, vwap_n), f"f__vol__atr_{atr_n}": f.mean("tr", atr_n, 1), "f__warmup_ok": f.has_rows(max(warm_n, 1)),
     }).drop("_range").drop_sums()

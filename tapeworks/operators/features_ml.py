@@ -26,15 +26,15 @@ def c(name: str) -> Column:
 
 def returns_trend(f: Frame, windows: Iterable[int] = (1, 5, 10, 20, 30)) -> Frame:
     cols = {}
+    f = f.with_cols(**{f"_p{n}": f.lag("close", n) for n in windows})
     for n in windows:
-        prev = f.lag("close", n)
-        cols[f"f__ret__simple_{n}"] = pct_change(c("close"), prev)
-        cols[f"f__ret__log_{n}"] = F.ln(div(c("close"), prev))
-    return f.with_cols(**cols)
+        cols[f"f__ret__simple_{n}"] = pct_change(c("close"), c(f"_p{n}"))
+        cols[f"f__ret__log_{n}"] = F.ln(div(c("close"), c(f"_p{n}")))
+    return f.with_cols(**cols).drop(*[f"_p{n}" for n in windows])
 
 
 def volatility_ranges(f: Frame, atr_n=(5, 14, 30), vol_n=(5, 10, 20, 30), ratios=(0.5, 1.0, 2.0)) -> Frame:
-    f = f.with_cols(_tr=true_range(f), _r1=pct_change(c("close"), f.lag("close")), _rng=c("high") - c("low")).sums(tr="_tr", rng="_rng")
+    f = f.with_cols(_tr=true_range(f), _r1=pct_change(c("close"), f.lag("close")), _rng=c("high") - c("low")).sums({*atr_n, 20}, tr="_tr", rng="_rng")
     cols = {f"f__vol__atr_{n}": f.mean("tr", n, 1) for n in atr_n}
     cols |= {f"f__vol__rolling_std_{n}": f.agg(F.stddev_samp, "_r1", n) * math.sqrt(390) for n in vol_n}
     avg = f.mean("rng", 20)
@@ -43,14 +43,14 @@ def volatility_ranges(f: Frame, atr_n=(5, 14, 30), vol_n=(5, 10, 20, 30), ratios
 
 
 def volume_flow(f: Frame, sum_n=(5, 10, 20), vwap_n=(5, 10, 20, 30)) -> Frame:
-    f = add_vwap(f, {f"f__vwap__value_{n}": n for n in vwap_n}).sums(v="volume")
+    f = add_vwap(f, {f"f__vwap__value_{n}": n for n in vwap_n}).sums(sum_n, v="volume")
     return f.with_cols(**{f"f__vol__sum_{n}": f.total("v", n) for n in sum_n}).drop_sums()
 
 
 def vwap_distance(f: Frame, vwap_n=(5, 10, 20, 30), z_n=(20, 30, 60)) -> Frame:
     f = add_vwap(f, {f"_w{n}": n for n in vwap_n})
     f = f.with_cols(**{f"_x{n}": div(c("close") - c(f"_w{n}"), c(f"_w{n}")) for n in vwap_n})
-    f = f.sums(**{f"x{n}": f"_x{n}" for n in vwap_n})
+    f = f.sums(z_n, **{f"x{n}": f"_x{n}" for n in vwap_n})
     cols = {f"f__vwap__dist_{n}": div(c("close") - c(f"_w{n}"), c("close")) for n in vwap_n}
     for n in vwap_n:
         for z in z_n:
@@ -98,14 +98,15 @@ def _rsi(f: Frame, n: int, eps: float) -> Column:
     return F.when(loss == 0, F.when(gain > 0, F.lit(100.0))).otherwise(100 - 100 / (1 + div(gain, loss)))
 
 
-def _with_moves(f: Frame) -> Frame:
-    d = c("close") - f.lag("close")
-    return f.with_cols(_gain=F.when(flag(d > 0), d).otherwise(F.lit(0.0)), _loss=F.when(flag(d < 0), -d).otherwise(F.lit(0.0))).sums(
-        gain="_gain", loss="_loss", close="close")
+def _with_moves(f: Frame, windows: Iterable[int]) -> Frame:
+    f = f.with_cols(_d=c("close") - f.lag("close"))
+    d = c("_d")
+    return f.with_cols(_gain=F.when(flag(d > 0), d).otherwise(F.lit(0.0)), _loss=F.when(flag(d < 0), -d).otherwise(F.lit(0.0))).drop("_d").sums(
+        windows, gain="_gain", loss="_loss", close="close")
 
 
 def price_momentum(f: Frame, roc_n=(1, 5, 10, 20), rsi_n=(14, 30), ma_n=(5, 10, 20, 30)) -> Frame:
-    f = _with_moves(f)
+    f = _with_moves(f, {*rsi_n, *ma_n})
     cols = {f"f__mom__roc_{n}": pct_change(c("close"), f.lag("close", n)) * 100 for n in roc_n}
     cols |= {f"f__mom__rsi_{n}": _rsi(f, n, EPS) for n in rsi_n}
     cols |= {f"f__ma__ratio_{n}": div(c("close"), f.mean("close", n)) for n in ma_n}
@@ -113,7 +114,7 @@ def price_momentum(f: Frame, roc_n=(1, 5, 10, 20), rsi_n=(14, 30), ma_n=(5, 10,
 
 
 def microstructure(f: Frame, spread_n=(1, 5, 10), imbalance_n=(1, 5, 10)) -> Frame:
-    f = f.with_cols(_sp=div(c("high") - c("low"), c("close")), _im=(c("close") - f.lag("close")) * c("volume")).sums(sp="_sp", im="_im")
+    f = f.with_cols(_sp=div(c("high") - c("low"), c("close")), _im=(c("close") - f.lag("close")) * c("volume")).sums({*spread_n, *imbalance_n}, sp="_sp", im="_im")
     cols = {f"f__micro__spread_{n}": f.mean("sp", n) for n in spread_n}
     cols |= {f"f__micro__imbalance_{n}": f.total("im", n) for n in imbalance_n}
     return add_vwap(f.with_cols(**cols).drop("_sp", "_im").drop_sums(), {"f__vwap__5m": 5})
@@ -127,7 +128,7 @@ def conviction(f: Frame, windows=(3, 6, 12)) -> Frame:
     f = f.with_cols(
         _body=(cl - o) / rng, _wick=((lower - lo) - (h - upper)) / rng,
         _adl=((cl - lo) - (h - cl)) / rng * v, _rng=h - lo, _sv=step * v,
-    ).sums(close="close", v="volume", body="_body", wick="_wick", adl="_adl", rng="_rng", sv="_sv")
+    ).sums(windows, close="close", v="volume", body="_body", wick="_wick", adl="_adl", rng="_rng", sv="_sv")
     cols = {}
     for n in windows:
         sd = F.nullif(f.agg(F.stddev_pop, "close", n), F.lit(0.0))
@@ -177,7 +178,7 @@ def market_strength(f: Frame, market_close: str = "MKT_close", n: int = 15, beta
 
 
 def market_regime(f: Frame, level: str = "VIX_close", index: str = "SPY_close", n: int = 60) -> Frame:
-    f = f.sums(ix=index)
+    f = f.sums((n,), ix=index)
     ma = f.mean("ix", n)
     return f.with_cols(
         f__regime__vix_level=c(level),
@@ -247,7 +248,7 @@ def add_differences(f: Frame, cols: Iterable[str], periods: Iterable[int] = (1,)
 
 def technical_indicators(f: Frame) -> Frame:
     """Strength index, Bollinger bands, stochastic and Williams; ``macd`` is separate as it is recursive."""
-    f = _with_moves(f)
+    f = _with_moves(f, {14, 20})
     hi, lo = f.agg(F.max, "high", 14), f.agg(F.min, "low", 14)
     ma, sd = f.mean("close", 20), f.agg(F.stddev_samp, "close", 20)
     f = f.with_cols(

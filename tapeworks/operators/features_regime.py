@@ -11,10 +11,11 @@ from .features_core import true_range
 from .series import Frame, split_series
 
 
-def _with_range(f: Frame) -> Frame:
-    tr = true_range(f)
-    f = f.with_cols(_tr=tr, _vol=div(tr, F.col("close")), _tod=utc_minute("ts"))
-    return f.sums(tr="_tr", rel="_vol", v="volume", close="close")
+def _with_range(f: Frame, windows: set[int]) -> Frame:
+    f = f.with_cols(_tr=true_range(f))
+    tr = F.col("_tr")
+    f = f.with_cols(_vol=div(tr, F.col("close")), _tod=utc_minute("ts"))
+    return f.sums(windows, tr="_tr", rel="_vol", v="volume", close="close")
 
 
 def mod_volatility(f: Frame, n: int = 30, mp: int = 5) -> Frame:
@@ -32,30 +33,32 @@ def mod_volatility(f: Frame, n: int = 30, mp: int = 5) -> Frame:
 
 
 def variance_ratio(f: Frame, short: int = 10, long: int = 60, mp: int = 3) -> Frame:
-    f = f.with_cols(_ret=pct_change(F.col("close"), f.lag("close")))
-    s, lo = f.agg(F.var_samp, "_ret", short, mp), f.agg(F.var_samp, "_ret", long, mp)
+    f = f.with_cols(_pc=f.lag("close"))
+    f = f.with_cols(_ret=pct_change(F.col("close"), F.col("_pc")))
+    f = f.with_cols(_vshort=f.agg(F.var_samp, "_ret", short, mp), _vlong=f.agg(F.var_samp, "_ret", long, mp))
+    s, lo = F.col("_vshort"), F.col("_vlong")
     ratio = F.when(lo > 0, div(s, lo)).otherwise(F.lit(1.0))
-    return f.with_cols(**{f"f__regime__var_ratio_{short}_{long}": clip(ratio, 0.1, 10.0)}).drop("_ret")
+    return f.with_cols(**{f"f__regime__var_ratio_{short}_{long}": clip(ratio, 0.1, 10.0)}).drop("_pc", "_ret", "_vshort", "_vlong")
 
 
 def adx_proxy(f: Frame, n: int = 14, mp: int = 3) -> Frame:
     """Directional index from plain rolling means, then its rolling mean (two passes over one sort)."""
-    up = F.col("high") - f.lag("high")
-    down = f.lag("low") - F.col("low")
+    f = f.with_cols(_up=F.col("high") - f.lag("high"), _down=f.lag("low") - F.col("low"))
+    up, down = F.col("_up"), F.col("_down")
     f = f.with_cols(
         _pdm=F.when(flag((up > down) & (up > 0)), up).otherwise(F.lit(0.0)),
         _mdm=F.when(flag((down > up) & (down > 0)), down).otherwise(F.lit(0.0)),
     )
-    f = f.sums(pdm="_pdm", mdm="_mdm")
+    f = f.sums((n,), pdm="_pdm", mdm="_mdm")
     tr = zero_to(f.mean("tr", n, mp), 1.0)
     plus = F.lit(100.0) * (f.mean("pdm", n, mp) / tr)
     minus = F.lit(100.0) * (f.mean("mdm", n, mp) / tr)
     f = f.with_cols(_pdi=plus, _mdi=minus)
     pdi, mdi = F.col("_pdi"), F.col("_mdi")
     f = f.with_cols(_dx=F.lit(100.0) * F.abs(pdi - mdi) / zero_to(pdi + mdi, 1.0))
-    f = f.sums(dx="_dx")
+    f = f.sums((n,), dx="_dx")
     return f.with_cols(**{f"f__regime__adx_proxy_{n}": f.mean("dx", n, mp)}).drop(
-        "_pdm", "_mdm", "_pdi", "_mdi", "_dx"
+        "_up", "_down", "_pdm", "_mdm", "_pdi", "_mdi", "_dx"
     )
 
 
@@ -85,7 +88,7 @@ def div_zero_one(a, b):
 def add_regime_features(f: Frame, vol_n: int = 30, short: int = 10, long: int = 60, adx_n: int = 14,
                         band_n: int = 20, band_k: float = 2.0, stress_n: int = 10,
                         vol_cut: float = 2.0, volume_cut: float = 3.0) -> Frame:
-    f = _with_range(f)
+    f = _with_range(f, {vol_n, adx_n, band_n, stress_n, max(stress_n * 6, 30)})
     f = mod_volatility(f, vol_n)
     f = variance_ratio(f, short, long)
     f = adx_proxy(f, adx_n)

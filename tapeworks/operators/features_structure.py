@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mathcols import div, flag, zero_to
 from .features_core import add_atr, rel_volume
-from .features_vpa import rank_share
+from .features_vpa import rank_share, recent
 from .series import Frame, ema, split_series
 
 TICK = 0.01
@@ -20,8 +20,8 @@ def add_fair_value_gaps(f: Frame) -> Frame:
     same direction are ignored, as the tracker upstream never unlocks.  Give a frame keyed by
     (symbol, session_date) to track the first gap of each session instead.
     """
-    h2, l2 = f.lag("high", 2), f.lag("low", 2)
-    c1, c2 = f.lag("close", 1), f.lag("close", 2)
+    f = f.with_cols(_h2=f.lag("high", 2), _l2=f.lag("low", 2), _c1=f.lag("close", 1), _c2=f.lag("close", 2))
+    h2, l2, c1, c2 = (F.col(x) for x in ("_h2", "_l2", "_c1", "_c2"))
     f = f.with_cols(
         _bull=F.when(flag((F.col("low") > h2) & (c1 > c2)), F.struct(F.col("low").alias("lo"), h2.alias("hi"))),
         _bear=F.when(flag((F.col("high") < l2) & (c1 < c2)), F.struct(l2.alias("lo"), F.col("high").alias("hi"))),
@@ -40,7 +40,7 @@ def add_fair_value_gaps(f: Frame) -> Frame:
         f__ict__fvg_bull_upper=F.when(bull, bg["hi"]),
         f__ict__fvg_bear_active=bear, f__ict__fvg_bear_lower=F.when(bear, sg["lo"]),
         f__ict__fvg_bear_upper=F.when(bear, sg["hi"]),
-    ).drop("_bull", "_bear", "_bg", "_sg", "_bfill", "_sfill", "_bdone", "_sdone")
+    ).drop("_h2", "_l2", "_c1", "_c2", "_bull", "_bear", "_bg", "_sg", "_bfill", "_sfill", "_bdone", "_sdone")
 
 
 def add_displacement(f: Frame, atr_cut: float = 0.8, volume_cut: float = 1.0) -> Frame:
@@ -69,13 +69,12 @@ def add_displacement(f: Frame, atr_cut: float = 0.8, volume_cut: float = 1.0) ->
 
 def add_sweeps(f: Frame, n: int = 20, tight: float = 0.0002) -> Frame:
     """Break of a near-flat high or low that closes back inside; the swept level is held."""
-    hmax, hmin = f.agg(F.max, "high", n, 10), f.agg(F.min, "high", n, 10)
-    lmax, lmin = f.agg(F.max, "low", n, 10), f.agg(F.min, "low", n, 10)
     f = f.with_cols(
-        _eh=flag((hmax - hmin) / F.greatest(hmax, F.lit(1e-6)) <= tight),
-        _el=flag((lmax - lmin) / F.greatest(lmax, F.lit(1e-6)) <= tight),
+        _hx=f.agg(F.max, "high", n, 10), _hn=f.agg(F.min, "high", n, 10), _lx=f.agg(F.max, "low", n, 10), _ln=f.agg(F.min, "low", n, 10),
         _hm=f.prior_agg(F.max, "high", n, 10), _lm=f.prior_agg(F.min, "low", n, 10),
     )
+    spread = lambda hi, lo: (F.col(hi) - F.col(lo)) / F.greatest(F.col(hi), F.lit(1e-6))
+    f = f.with_cols(_eh=flag(spread("_hx", "_hn") <= tight), _el=flag(spread("_lx", "_ln") <= tight))
     hm, lm, close = F.col("_hm"), F.col("_lm"), F.col("close")
     f = f.with_cols(
         f__ict__liq_sweep_high=F.col("_eh") & flag((F.col("high") > hm) & (close < hm)),
@@ -85,7 +84,7 @@ def add_sweeps(f: Frame, n: int = 20, tight: float = 0.0002) -> Frame:
         "f__ict__liq_sweep_high_level": ("last", F.when(F.col("f__ict__liq_sweep_high"), hm)),
         "f__ict__liq_sweep_low_level": ("last", F.when(F.col("f__ict__liq_sweep_low"), lm)),
     })
-    return f.drop("_eh", "_el", "_hm", "_lm")
+    return f.drop("_eh", "_el", "_hm", "_lm", "_hx", "_hn", "_lx", "_ln")
 
 
 def add_flow(f: Frame, absorb_range: float = 0.6, absorb_body: float = 0.25, climax_pct: float = 0.95,
@@ -94,11 +93,12 @@ def add_flow(f: Frame, absorb_range: float = 0.6, absorb_body: float = 0.25, cli
     o, h, lo, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
     tr = h - lo
     safe = zero_to(tr, TICK)
-    f = f.sums(v="volume")
+    f = f.sums((20,), v="volume")
     f = f.with_cols(
-        _ofi=(v * (c - o) / safe), _va=f.mean("v", 20, 5), _vr=rank_share("volume", f.roll(50), 20),
+        _ofi=(v * (c - o) / safe), _va=f.mean("v", 20, 5), _seen=recent(f, "volume", 50),
         _h1=f.lag("high"), _l1=f.lag("low"), _c1=f.lag("close"), _c3=f.lag("close", 3),
     )
+    f = f.with_cols(_vr=rank_share("volume", "_seen", 20))
     va = F.col("_va")
     body, wick = F.abs(c - o), ((h - F.greatest(o, c)) + (F.least(o, c) - lo)) / safe
     heavy = v > 1.5 * va
@@ -110,7 +110,7 @@ def add_flow(f: Frame, absorb_range: float = 0.6, absorb_body: float = 0.25, cli
         f__vpa__downthrust=flag(heavy & (c < o) & (c < F.col("_l1")) & (F.col("_ofi") < 0)),
         # Whatever branch the upstream test takes, it holds exactly when the three earlier closes moved.
         f__vpa__stopping_volume=flag((v > 2.0 * va) & (F.col("_c1") != F.col("_c3"))),
-    ).drop("_va", "_vr", "_h1", "_l1", "_c1", "_c3").drop_sums()
+    ).drop("_va", "_vr", "_seen", "_h1", "_l1", "_c1", "_c3").drop_sums()
 
 
 def add_flow_trend(f: Frame, span: int = 8) -> Frame:

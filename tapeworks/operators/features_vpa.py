@@ -5,7 +5,7 @@ All windows are per symbol.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathcols import clip, div, flag
@@ -14,13 +14,14 @@ from .series import Frame, split_series
 INF = float("inf")
 
 
-def rank_share(x: str, frame: WindowSpec, need: int) -> Column:
-    """Average rank of the current value within its frame, as a share of the frame's values.
+def recent(f: Frame, x: str, n: int) -> Column:
+    """The last n non-missing values as a list: n bounds its length."""
+    return F.collect_list(x).over(f.roll(n))
 
-    The frame is a bounded ROWS window, so the list it collects has at most that many elements.
-    """
-    seen = F.collect_list(x).over(frame)
-    cur = F.col(x)
+
+def rank_share(x: str, values: str, need: int) -> Column:
+    """Average rank of the current value within the list column ``values``, as a share of its length."""
+    cur, seen = F.col(x), F.col(values)
     below = F.size(F.filter(seen, lambda v: v < cur))
     same = F.size(F.filter(seen, lambda v: v == cur))
     n = F.size(seen)
@@ -34,23 +35,22 @@ def growth(x: Column, prev: Column) -> Column:
 
 def add_vpa(f: Frame, spike: float = 2.0, breakout_n: int = 20, absorb_n: int = 5, climax: float = 0.95) -> Frame:
     high, low, close, volume = (F.col(c) for c in ("high", "low", "close", "volume"))
-    f = f.sums(v="volume")
+    f = f.sums((20,), v="volume")
     f = f.with_cols(
         _va=f.mean("v", 20, 10),
         _ph=f.prior_agg(F.max, "high", breakout_n, 10),
         _pl=f.prior_agg(F.min, "low", breakout_n, 10),
-        _pc=growth(close, f.lag("close")),
-        _vc=growth(volume.cast("double"), f.lag("volume").cast("double")),
-        _body=F.abs(close - F.col("open")),
+        _c1=f.lag("close"), _v1=f.lag("volume"), _body=F.abs(close - F.col("open")),
     )
+    f = f.with_cols(_pc=growth(close, F.col("_c1")), _vc=growth(volume.cast("double"), F.col("_v1").cast("double")))
     f = f.with_cols(_ratio=div(volume, F.col("_va")), _vpr=volume / (F.col("_body") + 1e-8))
-    f = f.sums(b="_body")
+    f = f.sums((absorb_n,), b="_body")
     f = f.with_cols(
         _bodyavg=f.mean("b", absorb_n, 3),
         _q80=f.agg(lambda x: F.percentile(x, 0.8), "_vpr", 20, 10),
-        _vprank=rank_share("_vpr", f.roll(50), 20),
-        _vrank=rank_share("volume", f.roll(50), 20),
+        _lp=recent(f, "_vpr", 50), _lv=recent(f, "volume", 50),
     )
+    f = f.with_cols(_vprank=rank_share("_vpr", "_lp", 20), _vrank=rank_share("volume", "_lv", 20))
     ratio = F.col("_ratio")
     up, down = flag(close > F.col("_ph")), flag(close < F.col("_pl"))
     width = F.col("_ph") - F.col("_pl")
@@ -72,7 +72,7 @@ def add_vpa(f: Frame, spike: float = 2.0, breakout_n: int = 20, absorb_n: int =
         p__vpa__climax=flag(F.col("_vrank") > climax),
         conf__vpa__climax=clip((F.col("_vrank") - climax) / (1.0 - climax), 0, 1),
     )
-    return f.drop("_va", "_ph", "_pl", "_pc", "_vc", "_body", "_ratio", "_vpr", "_bodyavg", "_q80", "_vprank", "_vrank").drop_sums()
+    return f.drop("_c1", "_v1", "_va", "_ph", "_pl", "_pc", "_vc", "_body", "_ratio", "_vpr", "_bodyavg", "_q80", "_vprank", "_vrank", "_lp", "_lv").drop_sums()
 
 
 def vpa_pack(bars: DataFrame, max_rows: int | None = None, **params: float) -> DataFrame:

@@ -97,29 +97,33 @@ class Frame:
         x = F.col(c) if isinstance(c, str) else c
         return F.when(F.count(x).over(self.prior(n)) >= mp, fn(x).over(self.prior(n)))
 
-    def sums(self, **cols: Column | str) -> Frame:
-        """Running sums and counts, from which ``total`` and ``mean`` read any trailing window.
+    def sums(self, windows: Iterable[int], **cols: Column | str) -> Frame:
+        """Running sums and counts, from which ``total`` and ``mean`` read the trailing ``windows``.
 
         A sliding frame re-adds its n rows for every row; the difference of two running sums costs the same
         for every n.  Running sums restart in every window partition, which bounds their size, and are
         exact for whole numbers.  (Variances keep sliding frames: differences of sums of squares cancel.)
+        Window values are columns of their own here, because Spark evaluates a window expression again for
+        every place it is written; combinations that are not read are pruned by the optimizer.
         """
         hist = self.w().rowsBetween(Window.unboundedPreceding, 0)
-        made = {}
+        now, then = {}, {}
         for name, x in cols.items():
             x = F.col(x) if isinstance(x, str) else x
-            made[f"_sum_{name}"], made[f"_cnt_{name}"] = F.sum(x).over(hist), F.count(x).over(hist)
-        return self.with_cols(**made)
+            now[f"_sum_{name}"], now[f"_cnt_{name}"] = F.sum(x).over(hist), F.count(x).over(hist)
+            for n in set(windows):
+                for kind in ("sum", "cnt"):
+                    then[f"_{kind}_{name}_{n}"] = F.lag(f"_{kind}_{name}", n).over(self.w())
+        return self.with_cols(**now).with_cols(**then)
 
     def seen(self, name: str, n: int) -> Column:
         """Non-missing values of a summed column in the last n rows."""
-        c = f"_cnt_{name}"
-        return F.col(c) - F.coalesce(F.lag(c, n).over(self.w()), F.lit(0))
+        return F.col(f"_cnt_{name}") - F.coalesce(F.col(f"_cnt_{name}_{n}"), F.lit(0))
 
     def total(self, name: str, n: int, mp: int | None = None) -> Column:
         """Sum over the last n rows, NULL until ``mp`` (default n) non-missing values are seen."""
-        c = f"_sum_{name}"
-        return F.when(self.seen(name, n) >= (n if mp is None else mp), F.col(c) - F.coalesce(F.lag(c, n).over(self.w()), F.lit(0)))
+        value = F.col(f"_sum_{name}") - F.coalesce(F.col(f"_sum_{name}_{n}"), F.lit(0))
+        return F.when(self.seen(name, n) >= (n if mp is None else mp), value)
 
     def mean(self, name: str, n: int, mp: int | None = None) -> Column:
         return self.total(name, n, mp) / F.nullif(self.seen(name, n), F.lit(0))
