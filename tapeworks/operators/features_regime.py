@@ -35,7 +35,9 @@ def mod_volatility(f: Frame, n: int = 30, mp: int = 5) -> Frame:
 def variance_ratio(f: Frame, short: int = 10, long: int = 60, mp: int = 3) -> Frame:
     f = f.with_cols(_pc=f.lag("close"))
     f = f.with_cols(_ret=pct_change(F.col("close"), F.col("_pc")))
-    f = f.with_cols(_vshort=f.agg(F.var_samp, "_ret", short, mp), _vlong=f.agg(F.var_samp, "_ret", long, mp))
+    f = f.sums((short, long), ret="_ret")
+    var = lambda n: F.when(f.seen("ret", n) >= mp, F.var_samp("_ret").over(f.roll(n)))
+    f = f.with_cols(_vshort=var(short), _vlong=var(long))
     s, lo = F.col("_vshort"), F.col("_vlong")
     ratio = F.when(lo > 0, div(s, lo)).otherwise(F.lit(1.0))
     return f.with_cols(**{f"f__regime__var_ratio_{short}_{long}": clip(ratio, 0.1, 10.0)}).drop("_pc", "_ret", "_vshort", "_vlong")
@@ -63,7 +65,7 @@ def adx_proxy(f: Frame, n: int = 14, mp: int = 3) -> Frame:
 
 
 def band_position(f: Frame, n: int = 20, k: float = 2.0, mp: int = 5) -> Frame:
-    f = f.with_cols(_ma=f.mean("close", n, mp), _sd=f.agg(F.stddev_samp, "close", n, mp))
+    f = f.with_cols(_ma=f.mean("close", n, mp), _sd=F.when(f.seen("close", n) >= mp, F.stddev_samp("close").over(f.roll(n))))
     lower, upper = F.col("_ma") - F.col("_sd") * k, F.col("_ma") + F.col("_sd") * k
     pos = (F.col("close") - lower) / zero_to(upper - lower, 1.0)
     return f.with_cols(**{f"f__regime__band_pos_{n}_{k}": clip(pos, -0.5, 1.5)}).drop("_ma", "_sd")

@@ -69,10 +69,11 @@ def add_displacement(f: Frame, atr_cut: float = 0.8, volume_cut: float = 1.0) ->
 
 def add_sweeps(f: Frame, n: int = 20, tight: float = 0.0002) -> Frame:
     """Break of a near-flat high or low that closes back inside; the swept level is held."""
-    f = f.with_cols(
-        _hx=f.agg(F.max, "high", n, 10), _hn=f.agg(F.min, "high", n, 10), _lx=f.agg(F.max, "low", n, 10), _ln=f.agg(F.min, "low", n, 10),
-        _hm=f.prior_agg(F.max, "high", n, 10), _lm=f.prior_agg(F.min, "low", n, 10),
-    )
+    f = f.sums((n,), hi="high")
+    ready = lambda fn, x: F.when(f.seen("hi", n) >= 10, fn(x).over(f.roll(n)))
+    f = f.with_cols(_hx=ready(F.max, "high"), _hn=ready(F.min, "high"), _lx=ready(F.max, "low"), _ln=ready(F.min, "low")).drop_sums()
+    # The window as of the previous row is the previous row's window.
+    f = f.with_cols(_hm=f.lag("_hx"), _lm=f.lag("_ln"))
     spread = lambda hi, lo: (F.col(hi) - F.col(lo)) / F.greatest(F.col(hi), F.lit(1e-6))
     f = f.with_cols(_eh=flag(spread("_hx", "_hn") <= tight), _el=flag(spread("_lx", "_ln") <= tight))
     hm, lm, close = F.col("_hm"), F.col("_lm"), F.col("close")

@@ -35,19 +35,20 @@ def growth(x: Column, prev: Column) -> Column:
 
 def add_vpa(f: Frame, spike: float = 2.0, breakout_n: int = 20, absorb_n: int = 5, climax: float = 0.95) -> Frame:
     high, low, close, volume = (F.col(c) for c in ("high", "low", "close", "volume"))
-    f = f.sums((20,), v="volume")
+    f = f.sums({20, breakout_n}, v="volume", h="high")
     f = f.with_cols(
         _va=f.mean("v", 20, 10),
-        _ph=f.prior_agg(F.max, "high", breakout_n, 10),
-        _pl=f.prior_agg(F.min, "low", breakout_n, 10),
+        _hx=F.when(f.seen("h", breakout_n) >= 10, F.max("high").over(f.roll(breakout_n))),
+        _ln=F.when(f.seen("h", breakout_n) >= 10, F.min("low").over(f.roll(breakout_n))),
         _c1=f.lag("close"), _v1=f.lag("volume"), _body=F.abs(close - F.col("open")),
     )
     f = f.with_cols(_pc=growth(close, F.col("_c1")), _vc=growth(volume.cast("double"), F.col("_v1").cast("double")))
+    f = f.with_cols(_ph=f.lag("_hx"), _pl=f.lag("_ln"))
     f = f.with_cols(_ratio=div(volume, F.col("_va")), _vpr=volume / (F.col("_body") + 1e-8))
-    f = f.sums((absorb_n,), b="_body")
+    f = f.sums({absorb_n, 20}, b="_body")
     f = f.with_cols(
         _bodyavg=f.mean("b", absorb_n, 3),
-        _q80=f.agg(lambda x: F.percentile(x, 0.8), "_vpr", 20, 10),
+        _q80=F.when(f.seen("b", 20) >= 10, F.percentile("_vpr", 0.8).over(f.roll(20))),
         _lp=recent(f, "_vpr", 50), _lv=recent(f, "volume", 50),
     )
     f = f.with_cols(_vprank=rank_share("_vpr", "_lp", 20), _vrank=rank_share("volume", "_lv", 20))
@@ -72,7 +73,7 @@ def add_vpa(f: Frame, spike: float = 2.0, breakout_n: int = 20, absorb_n: int =
         p__vpa__climax=flag(F.col("_vrank") > climax),
         conf__vpa__climax=clip((F.col("_vrank") - climax) / (1.0 - climax), 0, 1),
     )
-    return f.drop("_c1", "_v1", "_va", "_ph", "_pl", "_pc", "_vc", "_body", "_ratio", "_vpr", "_bodyavg", "_q80", "_vprank", "_vrank", "_lp", "_lv").drop_sums()
+    return f.drop("_c1", "_v1", "_hx", "_ln", "_va", "_ph", "_pl", "_pc", "_vc", "_body", "_ratio", "_vpr", "_bodyavg", "_q80", "_vprank", "_vrank", "_lp", "_lv").drop_sums()
 
 
 def vpa_pack(bars: DataFrame, max_rows: int | None = None, **params: float) -> DataFrame:
