@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.mathcols import div, flag
@@ -13,7 +13,11 @@ from .quantiles import exact_percentiles
 
 # Weights of the composite variant score.
 VARIANT_WEIGHTS = {"total_return": 0.3, "sharpe": 0.3, "max_drawdown": -0.2, "win_rate": 0.2}
-ONE = Window.partitionBy(F.lit(0))  # for tables with one row per run or variant
+
+
+def one_group() -> WindowSpec:
+    """All rows together: only for tables with one row per run or variant."""
+    return Window.partitionBy(F.lit(0))
 
 
 def run_summary(trades: DataFrame, curve: DataFrame, key: str = "run_id") -> DataFrame:
@@ -46,7 +50,7 @@ def baseline_difference(summary: DataFrame, key: str, metrics: Iterable[str], ba
 
 
 def leaderboard(summary: DataFrame, key: str, metric: str) -> DataFrame:
-    w = ONE.orderBy(F.col(metric).desc_nulls_last(), key)
+    w = one_group().orderBy(F.col(metric).desc_nulls_last(), key)
     return summary.withColumn("rank", F.row_number().over(w)).withColumn("winner", F.col("rank") == 1)
 
 
@@ -54,7 +58,7 @@ def variant_ranking(summary: DataFrame, key: str = "run_id") -> DataFrame:
     score = F.lit(0.0)
     for m, wt in VARIANT_WEIGHTS.items():
         score = score + F.coalesce(F.col(m), F.lit(0.0)) * wt
-    return summary.withColumn("score", score).withColumn("rank", F.rank().over(ONE.orderBy(F.col("score").desc())))
+    return summary.withColumn("score", score).withColumn("rank", F.rank().over(one_group().orderBy(F.col("score").desc())))
 
 
 def significance(summary: DataFrame, key: str, metrics: Iterable[str]) -> DataFrame:
@@ -85,11 +89,11 @@ def hash_statistics(runs: DataFrame, hashes: list[str]) -> DataFrame:
 def extreme_runs(summary: DataFrame, key: str, metric: str, activity: str, n: int = 3) -> DataFrame:
     """Best, worst and most active runs, and those without trades, as (kind, rank, run)."""
     def top(kind: str, order) -> DataFrame:
-        return summary.withColumn("rank", F.row_number().over(ONE.orderBy(order, key))).where(F.col("rank") <= n).select(
+        return summary.withColumn("rank", F.row_number().over(one_group().orderBy(order, key))).where(F.col("rank") <= n).select(
             F.lit(kind).alias("kind"), "rank", key)
 
     none = summary.where(F.coalesce(F.col(activity), F.lit(0)) == 0).select(
-        F.lit("zero_trades").alias("kind"), F.row_number().over(ONE.orderBy(key)).alias("rank"), key)
+        F.lit("zero_trades").alias("kind"), F.row_number().over(one_group().orderBy(key)).alias("rank"), key)
     return top("best", F.col(metric).desc_nulls_last()).unionByName(top("worst", F.col(metric).asc_nulls_last())).unionByName(
         top("most_active", F.col(activity).desc_nulls_last())).unionByName(none)
 
@@ -110,7 +114,7 @@ def sweep_summary(results: DataFrame, metric: str, params: list[str], others: li
 def cost_impact(results: DataFrame, metric: str, param: str) -> DataFrame:
     """Mean metric per parameter value and the correlation of value and mean."""
     g = results.groupBy(param).agg(F.avg(metric).alias("mean_metric"))
-    return g.withColumn("correlation", F.corr(F.col(param).cast("double"), F.col("mean_metric")).over(ONE))
+    return g.withColumn("correlation", F.corr(F.col(param).cast("double"), F.col("mean_metric")).over(one_group()))
 
 
 def fairness(runs: DataFrame, key: str, experiment: str, hashes: list[str], trades: str) -> DataFrame:
