@@ -181,3 +181,10 @@ def calibrated(spark, sf):
         summary(spark, sf), {"prob_threshold_long": 0.3, "prob_threshold_short": 0.3, "min_directional_gap": 0.05},
         {"prob_threshold_long": "prob_long:p90", "prob_threshold_short": "prob_short:p90", "min_directional_gap": "directional_gap:p50"},
         1080, {"prob_threshold_long": 0.3}, {"prob_threshold_long": 0.45}, bias_scale=0.5))
+
+
+@query("n13_deviation_signals")
+def deviation_signals(spark, sf):
+    b = bars_e(spark, sf)
+    f = add_atr(split_series(core_pack(b), lookback=16, count_from=b), {"f__vol__atr_14": 14})
+    return fixed(signals.deviation_signals(f.finish()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.mathcols import clip, div, flag
-from ..functions.timecols import DAY_NS, MINUTE_NS, SESSION_CLOSE, idiv, market_minute
+from ..functions.timecols import DAY_NS, MINUTE_NS, SESSION_CLOSE, idiv, market_minute, utc_minute
 from .joins import attach_one_row, next_bar
 from .quantiles import exact_percentiles
 from .series import Fold, fold_series
@@ -179,6 +179,91 @@ def cooldown(signals: DataFrame, minutes: int, max_rows: int | None = None) -> D
     return signals.join(kept, ["symbol", "ts"], "left_semi")
 
 
+# UTC minutes of the day after which positions are closed, and after which none is opened.
+HARD_CLOSE, LAST_ENTRY = 20 * 60 + 55, 19 * 60 + 30
+DEVIATION_FIELDS = T.StructType([
+    T.StructField("symbol", T.StringType()), T.StructField("ts", T.LongType()), T.StructField("side", T.StringType()),
+    T.StructField("signal_type", T.StringType()), T.StructField("exit_reason", T.StringType()), T.StructField("close", T.DoubleType()),
+    T.StructField("entry_ts", T.LongType()), T.StructField("entry_price", T.DoubleType()), T.StructField("confidence", T.DoubleType()),
+    T.StructField("stop_loss_pct", T.DoubleType()), T.StructField("take_profit_pct", T.DoubleType())])
+
+
+def deviation_signals(df: DataFrame, vwap: str = "f__ta__vwap_30", atr: str = "f__vol__atr_14", spacing_minutes: int = 5,
+                      enter: float = 0.6, leave: float = 0.1, max_rows: int | None = None) -> DataFrame:
+    """Intraday mean reversion around the VWAP with thresholds in the symbol's own deviation units.
+
+    The deviation's standard deviation is taken over the whole input of a symbol, so the thresholds look
+    ahead; that is how the rule is defined.  Positions end the same day.
+    """
+    dev = div(F.col("close") - F.col(vwap), F.col(vwap))
+    rows = df.select("symbol", "ts", F.col("close").cast("double").alias("close"), F.col(atr).cast("double").alias("_atr"), dev.alias("_dev"))
+    std = rows.groupBy("symbol").agg(F.stddev_samp("_dev").alias("_std"))
+    rows = rows.join(std, "symbol").withColumns({"_minute": utc_minute("ts"), "_day": idiv(F.col("ts"), DAY_NS)})
+    gap = spacing_minutes * MINUTE_NS
+
+    def side_of(d: float, sd: float, minute: int) -> str:
+        if minute >= LAST_ENTRY or not sd > 0 and not sd == 0:
+            return ""
+        return "long" if d < -sd * enter else "short" if d > sd * enter else ""
+
+    def opened(side: str, price: float, a: float, ts: int, day: int) -> str:
+        stop, take = min(a / price, 0.02), min(1.5 * a / price, 0.03)
+        return f"{side}|{price!r}|{stop!r}|{take!r}|{ts}|{day}|{ts}"
+
+    def why_leave(pos: list, price: float, d: float, sd: float, day: int) -> str | None:
+        side, entry, stop, take, sign = pos[0], float(pos[1]), float(pos[2]), float(pos[3]), 1 if pos[0] == "long" else -1
+        if day > int(pos[5]):
+            return "same_day_forced_close"
+        if d * sign > sd * leave:
+            return "mean_reversion_exit"
+        move = (price - entry) * sign
+        if move < -entry * stop:
+            return "intraday_stop_loss"
+        return "intraday_take_profit" if move > entry * take else None
+
+    def run(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
+        out = []
+        columns = ("symbol", "ts", "close", "_atr", "_dev", "_std", "_minute", "_day")
+        for symbol, ts, price, a, d, sd, minute, day in zip(*[rows[c].tolist() for c in columns], strict=True):
+            pos = state.split("|")
+            if pos[-1] and ts - int(pos[-1]) < gap:
+                continue
+            reason = None
+            if pos[0]:
+                reason = "end_of_day_hard_close" if minute >= HARD_CLOSE else why_leave(pos, price, d, sd, day)
+            if reason:
+                sure = 1.0 if reason == "end_of_day_hard_close" else 0.8
+                out.append((symbol, ts, "sell" if pos[0] == "long" else "buy", "exit", reason, price, int(pos[4]), float(pos[1]), sure, None, None))
+                state = f"|{ts}"
+            elif not pos[0] and minute < HARD_CLOSE:
+                side = side_of(d, sd, minute)
+                if side:
+                    state = opened(side, price, a, ts, day)
+                    _, _, stop, take, *_ = state.split("|")
+                    conf = min(abs(d) / sd, 0.9) if sd else 0.9
+                    out.append((symbol, ts, "buy" if side == "long" else "sell", "entry", None, price, None, None, conf, float(stop), float(take)))
+        frame = pd.DataFrame(out, columns=[f.name for f in DEVIATION_FIELDS.fields])
+        return frame.astype({"entry_ts": "Int64"}), state
+
+    def entries(rows: pd.DataFrame, before: pd.DataFrame) -> list[str]:
+        # Flat, with or without a recent signal; or holding since any possible entry of the last day.
+        first = int(rows["ts"].iloc[0])
+        states = ["|", *[f"|{t}" for t in before["ts"] if first - t < gap]]
+        if len(before):
+            last = before[before["_day"] == before["_day"].iloc[-1]]
+            for ts, price, a, d, sd, minute, day in zip(*[last[c].tolist() for c in ("ts", "close", "_atr", "_dev", "_std", "_minute", "_day")], strict=True):
+                side = side_of(d, sd, minute)
+                if side:
+                    states.append(opened(side, price, a, ts, day))
+        return states
+
+    def match(state: str, known: list[str]) -> str:
+        # A signal longer ago than the spacing no longer matters to a flat state.
+        return state if state in known or not state.startswith("|") else "|"
+
+    return fold_series(rows, Fold(run, "|", entries, 1440, match), DEVIATION_FIELDS, max_rows=max_rows)
+
+
 # --- entries, gates, caps --------------------------------------------------------------------------------
 
 

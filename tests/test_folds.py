@@ -133,3 +133,48 @@ def test_balanced_multipliers_move_towards_balance(bars):
 def test_majority_label_ties_are_neutral(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (1, "c", -1), (2, "a", 1), (2, "b", -1)], "ts long, symbol string, label int")
     assert dict(labels.majority_label(df).select("ts", "label").collect()) == {1: 1, 2: 0}
+
+
+def deviation_loop(g, gap):
+    """The rule as a plain loop over one symbol."""
+    sd = g["dev"].std()
+    out, last, pos = [], None, None
+    for r in g.itertuples():
+        minute, day = r.ts // MIN % 1440, r.ts // (1440 * MIN)
+        if last is not None and r.ts - last < gap:
+            continue
+        if minute >= 1255:
+            if pos:
+                out.append((r.ts, "end_of_day_hard_close"))
+                last, pos = r.ts, None
+            continue
+        if pos:
+            side, entry, stop, take, eday = pos
+            s = 1 if side == "long" else -1
+            why = ("same_day_forced_close" if day > eday else "mean_reversion_exit" if r.dev * s > sd * 0.1
+                   else "intraday_stop_loss" if (r.close - entry) * s < -entry * stop else "intraday_take_profit" if (r.close - entry) * s > entry * take else None)
+            if why:
+                out.append((r.ts, why))
+                last, pos = r.ts, None
+                continue
+        if pos is None and minute < 1170 and abs(r.dev) > sd * 0.6:
+            side = "long" if r.dev < 0 else "short"
+            pos = (side, r.close, min(r.atr / r.close, 0.02), min(1.5 * r.atr / r.close, 0.03), day)
+            out.append((r.ts, side))
+            last = r.ts
+    return out
+
+
+@pytest.mark.parametrize("rows", [100_000, 60])
+def test_deviation_signals(spark, rows):
+    from conftest import OPEN, make_bars, walk
+
+    # bars every 20 minutes over several days
+    df = make_bars(spark, {"A": walk(400, 1), "B": walk(300, 4)}, start=OPEN, step=20 * MIN)
+    df = df.withColumns({"v": F.lit(1000.0) + F.col("volume"), "atr": F.lit(8.0) + F.col("volume") % 7})
+    got = frame(signals.deviation_signals(df, "v", "atr", 25, max_rows=rows), "symbol", "ts")
+    for sym, g in frame(df, "symbol", "ts").groupby("symbol"):
+        want = deviation_loop(g.assign(dev=(g["close"] - g["v"]) / g["v"]), 25 * MIN)
+        mine = got[got["symbol"] == sym]
+        tag = [r.exit_reason if r.signal_type == "exit" else ("long" if r.side == "buy" else "short") for r in mine.itertuples()]
+        assert list(zip(mine["ts"], tag, strict=True)) == want and len(want) > 20
