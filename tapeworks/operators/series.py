@@ -277,12 +277,12 @@ def split_series(
     keys, order = tuple(keys), tuple(order)
     limit = max_rows or segment_rows(df.sparkSession)
     limit = max(limit, 3 * lookahead, lookback)
-    layout = settle(
-        segment_layout(df if count_from is None else count_from, keys, order[0], limit, lookback, lookahead, bucket)
-    )
-    size = layout.limit(BROADCAST_ROWS + 1).count()
-    if size == 0:
+    src = df if count_from is None else count_from
+    long_keys = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    if long_keys.limit(1).count() == 0:
         return Frame(df, keys, order)
+    layout = settle(segment_layout(src, keys, order[0], limit, lookback, lookahead, bucket))
+    size = layout.limit(BROADCAST_ROWS + 1).count()
     if size <= BROADCAST_ROWS:
         layout = F.broadcast(layout)
     whole = F.array(F.struct(F.lit(0).cast("long").alias(_SEG), F.lit(False).alias(_HALO)))
