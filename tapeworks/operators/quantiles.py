@@ -17,8 +17,10 @@ BUCKETS = 200
 
 def exact_percentiles(df: DataFrame, keys: Iterable[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with the linearly interpolated quantiles named in ``probs``; NULLs are ignored."""
-    return order_statistics(
-        df, keys, value, {name: (lambda total, p=p: (total - 1) * F.lit(float(p))) for name, p in probs.items()})
+    # Cut points close to the wanted ranks suffice: the buckets between them are counted but never ordered.
+    near = {round(q, 6) for p in probs.values() for q in (p - 1 / BUCKETS, p + 1 / BUCKETS) if 0 < q < 1}
+    at = {name: (lambda total, p=p: (total - 1) * F.lit(float(p))) for name, p in probs.items()}
+    return order_statistics(df, keys, value, at, sorted(near))
 
 
 def kth_largest(df: DataFrame, keys: Iterable[str], value: str, k: Column, name: str) -> DataFrame:
@@ -27,10 +29,11 @@ def kth_largest(df: DataFrame, keys: Iterable[str], value: str, k: Column, name:
 
 
 def order_statistics(df: DataFrame, keys: Iterable[str], value: str,
-                     positions: dict[str, Callable[[Column], Column]]) -> DataFrame:
+                     positions: dict[str, Callable[[Column], Column]], cut_at: list[float] | None = None) -> DataFrame:
     """Values at (fractional) zero-based positions of each group's sorted values.
 
     A position is a function of the group size; between two ranks the value is interpolated linearly.
+    ``cut_at`` are the quantiles to cut buckets at (default: an even grid); any choice gives exact results.
     """
     keys = list(keys)
     by = keys or ["_all"]
@@ -38,7 +41,7 @@ def order_statistics(df: DataFrame, keys: Iterable[str], value: str,
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
     rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
-    grid = [F.lit(i / BUCKETS) for i in range(1, BUCKETS)]
+    grid = [F.lit(q) for q in (cut_at or [i / BUCKETS for i in range(1, BUCKETS)])]
     cuts = rows.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx("_v", F.array(*grid), F.lit(2000))).alias("_cuts")
     )
