@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.series import settle
 
-__all__ = ["broadcast_bounded", "map_arrow", "pick", "settle", "shared_folder", "words_in", "WORD"]
+__all__ = ["broadcast_bounded", "fresh", "map_arrow", "pick", "settle", "shared_folder", "words_in", "WORD"]
 
 #: What counts as a word in every contract of this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_bounded(df: DataFrame, rows: int) -> DataFrame:
     """Marked for broadcast when it is counted to hold ``rows`` rows at most; otherwise the join shuffles. Give a settled table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
