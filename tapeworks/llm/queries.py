@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from . import pii, quality_classifier, quality_rules, simhash
+from . import mixing, pii, quality_classifier, quality_rules, sharding, simhash
+from .common import words_in
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,6 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sharding.size_of(F.col("text")).alias("size"),
+                                                    F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
+    mixed = sharding.shuffle_shards(docs, 40, carry=["doc_id", "size", "text_crc32"])
+    return mixed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(F.col("doc_id"), 41).alias("grown_shard"))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(
@@ -48,6 +57,15 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_personal(table(spark, sf_dir, "documents")))
 
 
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", words_in(F.col("text")).alias("size"))
+    rows, names = mixing.with_draws(docs)
+    draws = F.col(names["draws"])
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size(draws)).alias("taken"),
+                       F.transform(draws, lambda d: d["shard"]).alias("shards"))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
