@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.series import settle
 
-__all__ = ["broadcast_bounded", "fresh", "map_arrow", "pick", "settle", "shared_folder", "words_in", "WORD"]
+__all__ = ["broadcast_bounded", "fresh", "let", "map_arrow", "pick", "settle", "shared_folder", "words_in", "WORD"]
 
 #: What counts as a word in every contract of this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,11 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns with fixed types and nothing else, so that extra columns can't clash with derived ones."""
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_bounded, fresh, settle, words_in
+from .common import broadcast_bounded, fresh, let, settle, words_in
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -59,11 +59,6 @@ def _unit(*key: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*key), 11) + 0.5) / F.lit(float(2**53))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
     """A draw: how many of ``drawn`` out of ``total`` blocks are among the ``good`` ones, by inversion with u in (0, 1).
 
@@ -94,13 +89,13 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
     def invert(p: Column) -> Column:
         steps = F.sequence(F.lit(0).cast("long"), p["steps"])
         nothing = F.struct(F.lit(None).cast("long").alias("k"), F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
-        added = lambda s, i: _let(weigh(p, s, i), lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), (s["sum"] + x["w"]).alias("sum")))
+        added = lambda s, i: let(weigh(p, s, i), lambda x: F.struct(x["k"].alias("k"), x["w"].alias("w"), (s["sum"] + x["w"]).alias("sum")))
         goal = F.aggregate(steps, nothing, added)["sum"] * p["u"]
         until = lambda g: F.aggregate(steps, nothing, lambda s, i: F.when(s["sum"] >= g, s).otherwise(added(s, i)))["k"]
-        return _let(goal, until)
+        return let(goal, until)
 
     given = F.struct(total.cast("long").alias("total"), good.cast("long").alias("good"), drawn.cast("long").alias("drawn"), u.alias("u"))
-    return _let(_let(_let(given, ranges), bounds), invert)
+    return let(let(let(given, ranges), bounds), invert)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
@@ -115,7 +110,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 
         def draw(s: Column, x: Column) -> Column:
             k = hypergeometric(s["total"], x, s["want"], _unit(F.lit(seed), F.col("low"), F.col("high"), F.size(s["out"])))
-            return _let(k, lambda k: F.struct((s["total"] - x).alias("total"), (s["want"] - k).alias("want"), F.concat(s["out"], F.array(k)).alias("out")))
+            return let(k, lambda k: F.struct((s["total"] - x).alias("total"), (s["want"] - k).alias("want"), F.concat(s["out"], F.array(k)).alias("out")))
 
         start = F.struct("total", "want", F.array().cast("array<bigint>").alias("out"))
         left = halves.select("low", "high", "mid", "q", F.aggregate("q", start, draw)["out"].alias("l"))

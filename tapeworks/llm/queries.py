@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from . import mixing, pii, quality_classifier, quality_rules, sharding, simhash
+from . import decontamination, mixing, pii, quality_classifier, quality_rules, sharding, simhash
 from .common import words_in
 from .oracles import ORACLES
 
@@ -66,6 +66,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.transform(draws, lambda d: d["shard"]).alias("shards"))
 
 
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontamination.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "n_windows", "n_matched", "containment", "n_changed")
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
