@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import FENCE, GAMMA, MIN_ROWS, RATIOS, ZERO_BIN
+from .warc import BASE32, EPOCH
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _RATIO_ROWS = " UNION ALL ".join(
@@ -51,4 +52,30 @@ judged AS (SELECT s.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS ba
   FROM stats s LEFT JOIN limits t ON s.lang IS NOT DISTINCT FROM t.lang AND s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged"""
 
-ORACLES = {"op2_quality_rules": QUALITY_RULES}
+LINE_DEDUP = r"""
+WITH line_rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+content AS (SELECT doc_id, l, i, row_number() OVER w - 1 AS k, lead(l, 1) OVER w AS l1, lead(l, 2) OVER w AS l2
+  FROM line_rows WHERE regexp_matches(l, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+windows AS (SELECT doc_id, k, row_number() OVER (PARTITION BY l, l1, l2 ORDER BY doc_id, k) AS occurrence FROM content WHERE l2 IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, k + d AS k FROM windows, (SELECT unnest([0, 1, 2]) AS d) WHERE occurrence > 1),
+removed AS (SELECT c.doc_id, c.i FROM content c JOIN gone g ON c.doc_id = g.doc_id AND c.k = g.k)
+SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, count(r.i) AS n_removed,
+  coalesce(string_agg(CASE WHEN r.i IS NULL THEN l.l END, chr(10) ORDER BY l.i), '') AS text
+FROM documents d JOIN line_rows l ON d.doc_id = l.doc_id LEFT JOIN removed r ON l.doc_id = r.doc_id AND l.i = r.i GROUP BY d.doc_id, d.text"""
+
+_HEX = ["CAST('0x' || substr(s, %d, 5) AS INTEGER)" % (5 * i + 1) for i in range(8)]
+_B32 = " || ".join(f"substr('{BASE32}', (({v} >> {shift}) & 31) + 1, 1)" for v in _HEX for shift in (15, 10, 5, 0))
+WARC_PAGES = f"""
+WITH hashed AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS s FROM pages),
+sized AS (SELECT page_id, url, octet_length(payload) AS payload_bytes, {_B32} AS payload_digest FROM hashed),
+held AS (SELECT *, max(page_id) OVER (PARTITION BY payload_bytes, payload_digest) AS holder FROM sized),
+parsed AS (SELECT *, coalesce(CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE url END, '') AS rest FROM held),
+cut AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS host FROM parsed)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to,
+  CASE WHEN coalesce(url, '') = '' THEN '' ELSE lower(array_to_string(list_reverse(string_split(host, '.')), ',') || ')'
+    || CASE WHEN rest = host THEN '/' ELSE substr(rest, length(host) + 1) END) END AS url_key,
+  strftime(make_timestamp(({EPOCH} + page_id % 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
+FROM cut"""
+
+ORACLES = {"op6_line_dedup": LINE_DEDUP, "op8_warc": WARC_PAGES, "op2_quality_rules": QUALITY_RULES}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from . import decontamination, mixing, pii, quality_classifier, quality_rules, sharding, simhash
+from . import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, warc
 from .common import words_in
 from .oracles import ORACLES
 
@@ -57,6 +57,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_personal(table(spark, sf_dir, "documents")))
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", words_in(F.col("text")).alias("size"))
@@ -66,6 +71,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.transform(draws, lambda d: d["shard"]).alias("shards"))
 
 
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = warc.archive(table(spark, sf_dir, "pages"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts")
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = decontamination.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
