@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import FENCE, GAMMA, MIN_ROWS, RATIOS, ZERO_BIN
+from .url_filter import ALPHABET, BIN, CALIBRATION, LOWER, ORDER, RULES, UPPER
 from .warc import BASE32, EPOCH
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -78,4 +79,41 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   strftime(make_timestamp(({EPOCH} + page_id % 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
 FROM cut"""
 
-ORACLES = {"op6_line_dedup": LINE_DEDUP, "op8_warc": WARC_PAGES, "op2_quality_rules": QUALITY_RULES}
+
+
+def _url_filter() -> str:
+    k = ORDER
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{i}}}" for i, (_, h, p) in enumerate(sorted(RULES, key=lambda r: -len(r[1] + r[2]))))
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = fits.format(*(f"'{h}{p}'" for _, h, p in ordered))
+    ruled = fits.format(*(f"'{v}'" for v, _, _ in ordered))
+    steps, table = [], f"SELECT gram, {1 / ALPHABET!r} AS p_a, {1 / ALPHABET!r} AS p_r FROM counts"
+    for o in range(k + 1):
+        steps.append(f"""own{o} AS (SELECT substr(gram, {k + 1 - o}, {o + 1}) AS piece, sum(a) AS n_a, sum(r) AS n_r FROM counts GROUP BY 1),
+seen{o} AS (SELECT substr(piece, 1, {o}) AS context, sum(n_a) AS all_a, sum(n_r) AS all_r, count(*) FILTER (n_a > 0) AS kinds_a,
+  count(*) FILTER (n_r > 0) AS kinds_r FROM own{o} GROUP BY 1),
+p{o} AS (SELECT gram, CASE WHEN all_a > 0 THEN (n_a + kinds_a * p_a) / (all_a + kinds_a) ELSE p_a END AS p_a,
+  CASE WHEN all_r > 0 THEN (n_r + kinds_r * p_r) / (all_r + kinds_r) ELSE p_r END AS p_r
+  FROM ({table}) t JOIN own{o} ON piece = substr(gram, {k + 1 - o}, {o + 1}) JOIN seen{o} ON context = substr(gram, {k + 1 - o}, {o}))""")
+        table = f"SELECT * FROM p{o}"
+    return f"""
+WITH parsed AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}'), '') AS host,
+  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS by_rule, coalesce(substr(md5(url), 1, 1) IN ({", ".join(f"'{c}'" for c in CALIBRATION)}), false) AS out FROM parsed),
+grams AS (SELECT page_id, by_rule, out, unnest(list_transform(range(1, length(padded) - {k} + 1), lambda i: substr(padded, i, {k + 1}))) AS gram
+  FROM (SELECT *, repeat(chr(2), {k}) || coalesce(url, '') || chr(3) AS padded FROM ruled)),
+counts AS (SELECT gram, count(*) FILTER (by_rule = 'allow' AND NOT out) AS a, count(*) FILTER (by_rule = 'block' AND NOT out) AS r FROM grams GROUP BY gram),
+{", ".join(steps)},
+scored AS (SELECT page_id, by_rule, out, round(avg(ln(p_a) - ln(p_r)), 9) AS score FROM grams JOIN p{k} USING (gram) GROUP BY ALL),
+held AS (SELECT DISTINCT page_id, by_rule, CAST(floor(score / {BIN}) AS INTEGER) AS bin FROM scored WHERE out AND by_rule IS NOT NULL),
+bins AS (SELECT bin, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad FROM held GROUP BY bin),
+edges AS (SELECT bin, (sum(good) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) / (SELECT sum(good) FROM bins)
+  + coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(bad) FROM bins) AS accuracy FROM bins),
+threshold AS (SELECT CASE WHEN (SELECT min(least(g, b)) FROM (SELECT sum(good) AS g, sum(bad) AS b FROM bins)) > 0
+  THEN (SELECT bin * {BIN} FROM edges ORDER BY accuracy DESC, bin LIMIT 1) ELSE 0.0 END AS t)
+SELECT page_id, host, path, rule, coalesce(r.by_rule, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict, score
+FROM ruled r JOIN scored USING (page_id), threshold"""
+
+
+ORACLES = {"op5_url_filter": _url_filter(), "op6_line_dedup": LINE_DEDUP, "op8_warc": WARC_PAGES, "op2_quality_rules": QUALITY_RULES}

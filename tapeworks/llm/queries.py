@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from . import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, warc
+from . import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, url_filter, warc
 from .common import words_in
 from .oracles import ORACLES
 
@@ -57,6 +57,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_personal(table(spark, sf_dir, "documents")))
 
 
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
