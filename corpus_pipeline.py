@@ -22,9 +22,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of near copies: five-word shingles, equal in fingerprint up to 4 of 64 bits."""
+    """The document with the smallest doc_id of every group whose five-word shingles have a similarity of 0.8 or more."""
     ship_package(spark)
-    return simhash.drop_near_copies(docs, width=5)
+    return simhash.drop_near_copies(docs, simhash.similar_texts(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

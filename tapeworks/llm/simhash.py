@@ -33,6 +33,9 @@ from .components import connected_stars
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
+SEARCH_DISTANCE = 7
+SHORT_WORD = 3
+SIMILAR_WIDTH, SIMILARITY = 5, 0.8
 CELL = 8192
 BROADCAST_ROWS = 500_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -41,22 +44,32 @@ EVEN = 0x5555555555555555
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """XXH64 of every run of ``width`` words (the whole sequence when shorter), repeats included."""
-    words = text.encode().translate(LOWER).split() if text else []
+    return _hashes(text.encode().translate(LOWER).split() if text else [], width)
+
+
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of the shingles of ``width`` words; of width 0: of the distinct words longer than ``SHORT_WORD`` bytes, or of all if none is."""
     if not words:
         return np.empty(0, np.uint64)
+    if not width:
+        distinct = set(words)
+        return np.array([xxhash.xxh64_intdigest(w, SEED) for w in distinct if len(w) > SHORT_WORD] or [xxhash.xxh64_intdigest(w, SEED) for w in distinct], np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
         return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())]
+    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
     return np.array(hashes, np.uint64)
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """Signed 64-bit fingerprint: a bit is set when more than half of the shingle hashes have it."""
-    h = shingle_hashes(text, width)
+    return _majority(shingle_hashes(text, width))
+
+
+def _majority(h: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         bits = np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -64,15 +77,16 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, fp (signed long)."""
+def fingerprints(docs: DataFrame, **widths: int) -> DataFrame:
+    """doc_id, text_hash and a fingerprint column (signed long) for each name given with its shingle width."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        fps = [fingerprint(t, width) for t in batch.column("text").to_pylist()]
-        return pa.table([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
+        words = [t.encode().translate(LOWER).split() if t else [] for t in batch.column("text").to_pylist()]
+        fps = [pa.array([_majority(_hashes(w, width)) for w in words], pa.int64()) for width in widths.values()]
+        return pa.table([batch.column("doc_id"), batch.column("text_hash"), *fps], names=["doc_id", "text_hash", *widths])
 
     rows = pick(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
-    return map_arrow(rows, run, "doc_id long, text_hash long, fp long")
+    return map_arrow(rows, run, ", ".join(["doc_id long", "text_hash long", *(f"{c} long" for c in widths)]))
 
 
 def axes_for(nodes: int, distance: int = DISTANCE) -> int:
@@ -101,14 +115,15 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def cell_links(fp: np.ndarray, distance: int = DISTANCE, rows: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links among the distinct fingerprints of one cell, as (member, root) values."""
+def cell_links(fp: np.ndarray, other: np.ndarray, distance: int = DISTANCE, other_distance: int = 64, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among the members of one cell, as positions (member, root).
+
+    Linked are members whose fingerprints differ in ``distance`` bits and whose other fingerprints differ in ``other_distance`` bits at most.
+    """
     k = len(fp)
-    if k < 2:
-        return []
     total = np.bitwise_count(fp).astype(np.int64)
     order = np.argsort(total, kind="stable")
-    fp, total = fp[order], total[order]
+    fp, other, total = fp[order], other[order], total[order]
     counts, even, one = segment_counts(fp), np.uint64(EVEN), np.uint64(1)
     label = np.arange(k)
     until = np.searchsorted(total, total + distance, side="right")  # a larger difference in bit totals is a larger distance
@@ -120,11 +135,11 @@ def cell_links(fp: np.ndarray, distance: int = DISTANCE, rows: int = 256) -> lis
         near = np.bitwise_count(low) + 2 * np.bitwise_count(high & ~low) <= distance  # Manhattan distance of the counts
         a, b = np.nonzero(near)
         keep = a < b
-        a, b = a[keep], b[keep]
-        exact = np.bitwise_count(fp[i + a] ^ fp[i + b]) <= distance
-        a, b = a[exact] + i, b[exact] + i
-        if not len(a):
-            continue
+        a, b = a[keep] + i, b[keep] + i
+        exact = np.bitwise_count(fp[a] ^ fp[b]) <= distance
+        if other_distance < 64:
+            exact &= np.bitwise_count(other[a] ^ other[b]) <= other_distance
+        a, b = a[exact], b[exact]
         at, first = np.unique(a, return_index=True)
         for r, s, e in zip(at.tolist(), first.tolist(), [*first[1:].tolist(), len(a)]):
             roots = np.unique(label[b[s:e]])
@@ -132,82 +147,102 @@ def cell_links(fp: np.ndarray, distance: int = DISTANCE, rows: int = 256) -> lis
                 roots = np.union1d(roots, label[r : r + 1])
                 label[np.isin(label, roots)] = roots[0]
     linked = np.nonzero(label != np.arange(k))[0]
-    return [(fp[linked], fp[label[linked]])] if len(linked) else []
+    return order[linked], order[label[linked]]
 
 
-def _links_by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by (cell, block): runs of equal keys are cells; the last one waits for the next batch."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _cell_worker(distance: int, other_distance: int):
+    """Batches sorted by (cell, block) to links: runs of equal keys are cells; the last one waits for the next batch."""
 
-    def emit(cell, block, fp, last: bool):
+    def links(cell, block, node, fp, other, last: bool):
         change = np.nonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]))[0] + 1
-        starts = np.concatenate(([0], change))
-        ends = np.concatenate((change, [len(cell)]))
+        starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(cell)]))
         if not last:
-            tail = starts[-1]
-            held.append((cell[tail:], block[tail:], fp[tail:]))
             starts, ends = starts[:-1], ends[:-1]
         big = ends - starts > 1
-        found = [x for s, e in zip(starts[big].tolist(), ends[big].tolist()) for x in cell_links(fp[s:e])]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*found)], names=["a", "b"])
-
-    for batch in batches:
-        if batch.num_rows:
-            cell, block = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block"))
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            if held:
-                if held[0][0][0] == cell[-1] and held[0][1][0] == block[-1]:
-                    held.append((cell, block, fp))
-                    continue
-                cell, block, fp = (np.concatenate(x) for x in zip(*held, (cell, block, fp)))
-                held.clear()
-            yield from emit(cell, block, fp, last=False)
-    if held:
-        cell, block, fp = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        yield from emit(cell, block, fp, last=True)
-
-
-def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints (column fp, distinct) within ``distance`` bits of each other."""
+        out = []
+        for s, e in zip(starts[big].tolist(), ends[big].tolist()):
+            a, b = cell_links(fp[s:e], other[s:e], distance, other_distance)
+            if len(a):
+                out.append((node[s:e][a], node[s:e][b]))
+        return out, change[-1] if len(change) else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def emit(last: bool):
+            cols = [np.concatenate(x) for x in zip(*held)]
+            found, tail = links(*cols, last=last)
+            held[:] = [] if last else [tuple(c[tail:] for c in cols)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "node", "fp", "other")]
+                same = held and held[0][0][0] == cols[0][-1] and held[0][1][0] == cols[1][-1]
+                held.append((*cols[:3], cols[3].view(np.uint64), cols[4].view(np.uint64)))
+                if not same:
+                    yield from emit(last=False)
+        if held:
+            yield from emit(last=True)
+
+    return run
+
+
+def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, other_distance: int = 64, cell: int = CELL) -> DataFrame:
+    """Links (a, b) that connect exactly the nodes (columns node, fp, other; one row each) that ``cell_links`` links."""
     masks = grid_masks(axes_for(nodes.count(), distance), distance)
     fp = F.col("fp")
     next_bit = F.shiftrightunsigned(fp, 1)
     ones, twos = fp.bitwiseXOR(next_bit).bitwiseAND(F.lit(EVEN)), fp.bitwiseAND(next_bit).bitwiseAND(F.lit(EVEN))
     counts = ones.bitwiseOR(F.shiftleft(twos, 1))
-    # a field of counts agrees in exactly one grid with any other member of its cell; the hash only names the cell
     cells = F.array(*(F.xxhash64(F.lit(i), counts.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)))
-    rows = nodes.select("fp", F.explode(cells).alias("cell"))
+    rows = nodes.select("node", "fp", "other", F.explode(cells).alias("cell"))
     large = settle(rows.groupBy("cell").agg(F.count("*").alias("k")).filter(F.col("k") > cell)
                    .select("cell", F.ceil(F.col("k") * 2 / cell).cast("int").alias("n")))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
     # block pairs (i <= j) of a large cell, as i * n + j
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(own, j) * F.col("n") + F.greatest(own, j))
     block = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)
-    placed = rows.join(broadcast_bounded(large, BROADCAST_ROWS), "cell", "left").select("cell", "fp", F.explode(block).alias("block"))
+    placed = rows.join(broadcast_bounded(large, BROADCAST_ROWS), "cell", "left").select("cell", "node", "fp", "other", F.explode(block).alias("block"))
     grouped = placed.repartition("cell", "block").sortWithinPartitions("cell", "block")
-    return grouped.select("cell", "block", "fp").mapInArrow(_links_by_cell, "a long, b long")
+    return grouped.select("cell", "block", "node", "fp", "other").mapInArrow(_cell_worker(distance, other_distance), "a long, b long")
 
 
-def near_copies(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, fp and component_id (smallest doc_id reachable over links, its own included) for every row."""
-    prints = settle(fingerprints(docs, width))
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    stars = connected_stars(fingerprint_links(nodes, distance))
-    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+def _classes(prints: DataFrame, distance: int, other_distance: int) -> DataFrame:
+    """Rows of ``prints`` (doc_id, text_hash, node, fp, other) with component_id and the component's root node."""
+    nodes = settle(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("other").alias("other"), F.min("doc_id").alias("first_id")))
+    stars = connected_stars(fingerprint_links(nodes, distance, other_distance)).withColumnRenamed("node", "member")
+    rooted = nodes.join(stars, F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id", "root")
-    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    classes = rooted.join(smallest, "root").select("node", "component_id", "root")
+    return prints.join(classes, "node").select("doc_id", "text_hash", "fp", "component_id", "root")
+
+
+def near_copies(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, fp, component_id (smallest doc_id reachable over links, its own included) and root for every row."""
+    prints = settle(fingerprints(docs, fp=width))
+    return _classes(prints.select("doc_id", "text_hash", F.col("fp").alias("node"), "fp", F.col("fp").alias("other")), distance, 64)
+
+
+def similar_texts(docs: DataFrame, distance: int = SEARCH_DISTANCE, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The same columns for texts whose shingles of ``width`` words have a similarity (cosine, by fingerprint) of ``similarity`` or more.
+
+    One changed word changes five five-word shingles, so fingerprints of such shingles lie 7 to 14 bits apart at a similarity of 0.8: too far for a
+    selective grid.  The search therefore runs on fingerprints of the distinct words, within ``distance`` bits, and a pair it finds is linked when
+    the fingerprints of its shingles are close enough.
+    """
+    prints = settle(fingerprints(docs, fp=0, other=width))
+    return _classes(prints.withColumn("node", F.xxhash64("fp", "other")), distance, math.ceil(math.acos(similarity) / math.pi * 64))
 
 
 def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id (nulls last, then by text); a repeated row stays once."""
-    found = near_copies(docs, distance, width)
+def drop_near_copies(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One document of each group in ``found`` (near_copies or similar_texts): that with the smallest doc_id (nulls last, then by text hash); a
+    repeated row stays once."""
     key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
     first = found.groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("first_id"), F.col("k.text_hash").alias("first_text"))
     th = fresh(docs, "text_hash")
