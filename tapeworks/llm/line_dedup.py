@@ -59,13 +59,15 @@ def later_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs with the repeated lines taken out of ``text``, and n_lines and n_removed (lines of the old text, removed lines)."""
     later = settle(later_windows(docs, width).withColumnsRenamed({"doc_id": "later_id", "text_hash": "later_hash"}))
-    marked = later.agg(F.count("*"), F.sum(F.size("ks"))).first()
+    ks = fresh(docs, "ks")
+    later = later.withColumnRenamed("ks", ks)
+    marked = later.agg(F.count("*"), F.sum(F.size(ks))).first()
     if marked[0] <= BROADCAST_ROWS and (marked[1] or 0) <= BROADCAST_LINES:
         later = F.broadcast(later)
     th, removed, n = (fresh(docs, c) for c in ("text_hash", "n_removed", "n_lines"))
     rows = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
     joined = rows.join(later, rows["doc_id"].cast("long").eqNullSafe(later["later_id"]) & (rows[th] == later["later_hash"]), "left")
-    covered = F.array_distinct(F.flatten(F.transform("ks", lambda k: F.sequence(k, k + (width - 1)))))
+    covered = F.array_distinct(F.flatten(F.transform(ks, lambda k: F.sequence(k, k + (width - 1)))))
     lines = _lines(F.col("text"))
 
     def cut(ls: Column) -> Column:
@@ -75,7 +77,7 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             F.size(gone).alias("gone")))
 
     result = fresh(joined, "cut")
-    out = joined.withColumn(result, F.when(F.col("ks").isNotNull(), let(lines, cut)))
+    out = joined.withColumn(result, F.when(F.col(ks).isNotNull(), let(lines, cut)))
     kept = [F.coalesce(F.col(result)["text"], F.col("text")).alias("text") if c == "text" else rows[c] for c in docs.columns]
     return out.select(*kept, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(n),
                       F.coalesce(F.col(result)["gone"], F.lit(0)).cast("long").alias(removed))

@@ -135,7 +135,7 @@ def block_draws(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, see
     own = Window.partitionBy("source", "attempt")
     run = own.orderBy(F.xxhash64("block", "source", "attempt", F.lit(seed + 1)), "block")
     # what remains of the target in the last, partial pass; a block is drawn when more of it lies inside than outside
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    passes = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     ordered = (ordered.withColumn("place", F.row_number().over(run) - 1).withColumn("n", F.count("*").over(own)).withColumn("passes", passes.cast("long"))
                .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
                .withColumn("upto", F.sum("words").over(run.rowsBetween(Window.unboundedPreceding, 0))))

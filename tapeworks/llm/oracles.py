@@ -108,10 +108,10 @@ counts AS (SELECT gram, count(*) FILTER (by_rule = 'allow' AND NOT out) AS a, co
 scored AS (SELECT page_id, by_rule, out, round(avg(ln(p_a) - ln(p_r)), 9) AS score FROM grams JOIN p{k} USING (gram) GROUP BY ALL),
 held AS (SELECT DISTINCT page_id, by_rule, CAST(floor(score / {BIN}) AS INTEGER) AS bin FROM scored WHERE out AND by_rule IS NOT NULL),
 bins AS (SELECT bin, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad FROM held GROUP BY bin),
-edges AS (SELECT bin, (sum(good) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) / (SELECT sum(good) FROM bins)
+edges AS (SELECT bin, (bin + coalesce(lag(bin) OVER (ORDER BY bin), bin - 1) + 1) / 2.0 AS border, (sum(good) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) / (SELECT sum(good) FROM bins)
   + coalesce(sum(bad) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(bad) FROM bins) AS accuracy FROM bins),
 threshold AS (SELECT CASE WHEN (SELECT min(least(g, b)) FROM (SELECT sum(good) AS g, sum(bad) AS b FROM bins)) > 0
-  THEN (SELECT bin * {BIN} FROM edges ORDER BY accuracy DESC, bin LIMIT 1) ELSE 0.0 END AS t)
+  THEN (SELECT border * {BIN}::DOUBLE FROM edges ORDER BY accuracy DESC, bin LIMIT 1) ELSE 0.0 END AS t)
 SELECT page_id, host, path, rule, coalesce(r.by_rule, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict, score
 FROM ruled r JOIN scored USING (page_id), threshold"""
 

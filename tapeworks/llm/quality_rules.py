@@ -102,7 +102,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
 def ratio_sketches(stats: DataFrame) -> DataFrame:
     """Documents per (lang, source, ratio, bin); sums of these rows are sketches of larger groups."""
     each = F.array(*(
-        F.struct(F.lit(name).alias("ratio"), F.when(F.col(den) > 0, F.col(num) / F.col(den)).alias("x")) for name, (num, den, _, _) in RATIOS.items()))
+        F.struct(F.lit(name).alias("ratio"), (F.col(num) / F.nullif(F.col(den), F.lit(0))).alias("x")) for name, (num, den, _, _) in RATIOS.items()))
     bins = F.when(F.col("r.x") <= 0, F.lit(ZERO_BIN)).otherwise(F.ceil(F.log(F.col("r.x")) / math.log(GAMMA)))
     return (stats.select("lang", "source", F.explode(each).alias("r")).filter("r.x IS NOT NULL")
             .groupBy("lang", "source", F.col("r.ratio").alias("ratio"), bins.cast("long").alias("bin")).agg(F.count("*").alias("n")))
@@ -147,10 +147,10 @@ def quality_rules(docs: DataFrame, fence: float = FENCE, min_rows: int = MIN_ROW
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     outside = []
     for name, (num, den, _, low) in RATIOS.items():
-        x = F.col(num) / F.col(den)
+        x = F.col(num) / F.nullif(F.col(den), F.lit(0))
         bad = x > F.col(f"{name}_high")
         if low:
             bad = bad | (x < F.col(f"{name}_low"))
-        outside.append(F.when((F.col(den) > 0) & bad, F.lit(name)))
+        outside.append(F.when(bad, F.lit(name)))
     return (joined.select("s.*", base.alias("base_failed"), F.array_join(F.array(*outside), ",").alias("failed"))
             .withColumn("kept", ~F.col("base_failed") & (F.col("failed") == "")))

@@ -85,7 +85,10 @@ def score_urls(rows: DataFrame, ratios: DataFrame, key: list[str], order: int =
 
 
 def calibrated_threshold(scored: DataFrame) -> float:
-    """The bin edge of (score, label, n) rows with the best balanced accuracy; the smallest of equally good ones.  Zero without both classes."""
+    """The border between bins of (score, label, n) rows with the best balanced accuracy, halfway between the occupied bins beside it.
+
+    The smallest of equally good ones; zero without both classes.
+    """
     bins = scored.groupBy(F.floor(F.col("score") / BIN).cast("int").alias("bin")).agg(
         *(F.coalesce(F.sum(F.when(F.col("label") == v, F.col("n"))), F.lit(0)).alias(c) for c, v in (("good", 1), ("bad", 0))))
     # scores lie between -log and +log of a probability, so there are some thousand bins at most
@@ -93,12 +96,12 @@ def calibrated_threshold(scored: DataFrame) -> float:
     good, bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
     if not good or not bad:
         return 0.0
-    best, at, kept, gone = -1.0, 0.0, good, 0
+    best, at, kept, gone, below = -1.0, 0.0, good, 0, rows[0]["bin"] - 1
     for r in rows:
         accuracy = kept / good + gone / bad
         if accuracy > best:
-            best, at = accuracy, r["bin"] * BIN
-        kept, gone = kept - r["good"], gone + r["bad"]
+            best, at = accuracy, (r["bin"] + below + 1) / 2 * BIN
+        kept, gone, below = kept - r["good"], gone + r["bad"], r["bin"]
     return at
 
 
