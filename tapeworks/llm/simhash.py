@@ -89,13 +89,14 @@ def fingerprints(docs: DataFrame, **widths: int) -> DataFrame:
     return map_arrow(rows, run, ", ".join(["doc_id long", "text_hash long", *(f"{c} long" for c in widths)]))
 
 
-def axes_for(nodes: int, distance: int = DISTANCE) -> int:
-    """The number of axes with the least expected cost: rows to move against pairs to compare (two-bit counts agree with odds 3/8)."""
+def axes_for(nodes: int, distance: int = DISTANCE, agreeing: int = 1) -> int:
+    """The number of axes with the least expected cost, at least ``agreeing`` of which agree: rows to move against pairs to compare (two-bit
+    counts agree with odds 3/8)."""
     def cost(g: int) -> float:
         grids = math.comb(g, distance)
         return grids * nodes * 3e-6 + grids * nodes * nodes / 2 * (3 / 8) ** (32 * (g - distance) / g) * 1e-8
 
-    return min(range(distance + 1, distance + 7), key=cost)
+    return min(range(distance + agreeing, distance + 7), key=cost)
 
 
 def grid_masks(axes: int, distance: int = DISTANCE) -> list[int]:
@@ -189,9 +190,9 @@ def _cell_worker(distance: int, other_distance: int):
     return run
 
 
-def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, other_distance: int = 64, cell: int = CELL) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, other_distance: int = 64, cell: int = CELL, agreeing: int = 1) -> DataFrame:
     """Links (a, b) that connect exactly the nodes (columns node, fp, other; one row each) that ``cell_links`` links."""
-    masks = grid_masks(axes_for(nodes.count(), distance), distance)
+    masks = grid_masks(axes_for(nodes.count(), distance, agreeing), distance)
     fp = F.col("fp")
     next_bit = F.shiftrightunsigned(fp, 1)
     ones, twos = fp.bitwiseXOR(next_bit).bitwiseAND(F.lit(EVEN)), fp.bitwiseAND(next_bit).bitwiseAND(F.lit(EVEN))
@@ -209,10 +210,10 @@ def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, other_distance
     return grouped.select("cell", "block", "node", "fp", "other").mapInArrow(_cell_worker(distance, other_distance), "a long, b long")
 
 
-def _classes(prints: DataFrame, distance: int, other_distance: int) -> DataFrame:
+def _classes(prints: DataFrame, distance: int, other_distance: int, agreeing: int = 1) -> DataFrame:
     """Rows of ``prints`` (doc_id, text_hash, node, fp, other) with component_id and the component's root node."""
     nodes = settle(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("other").alias("other"), F.min("doc_id").alias("first_id")))
-    stars = connected_stars(fingerprint_links(nodes, distance, other_distance)).withColumnRenamed("node", "member")
+    stars = connected_stars(fingerprint_links(nodes, distance, other_distance, agreeing=agreeing)).withColumnRenamed("node", "member")
     rooted = nodes.join(stars, F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(smallest, "root").select("node", "component_id", "root")
@@ -230,10 +231,10 @@ def similar_texts(docs: DataFrame, distance: int = SEARCH_DISTANCE, width: int =
 
     One changed word changes five five-word shingles, so fingerprints of such shingles lie 7 to 14 bits apart at a similarity of 0.8: too far for a
     selective grid.  The search therefore runs on fingerprints of the distinct words, within ``distance`` bits, and a pair it finds is linked when
-    the fingerprints of its shingles are close enough.
+    the fingerprints of its shingles are close enough.  Fingerprints of word sets crowd the cells of a single axis, so two axes agree at least.
     """
     prints = settle(fingerprints(docs, fp=0, other=width))
-    return _classes(prints.withColumn("node", F.xxhash64("fp", "other")), distance, math.ceil(math.acos(similarity) / math.pi * 64))
+    return _classes(prints.withColumn("node", F.xxhash64("fp", "other")), distance, math.ceil(math.acos(similarity) / math.pi * 64), agreeing=2)
 
 
 def hex16(fp):
