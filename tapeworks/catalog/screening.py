@@ -42,7 +42,7 @@ COVER = """cov AS (SELECT symbol, count(*) AS total_days, count(*) FILTER (d BET
   FROM (SELECT DISTINCT symbol, strftime(make_timestamp(ts // 1000), '%Y-%m-%d') AS d FROM bars) GROUP BY symbol)"""
 
 
-@query("k11_universe_report", sql(BARS_L + ",\n" + METRICS + ",\n" + COVER + """, cand AS (SELECT DISTINCT 'S' || CAST(p_partkey AS VARCHAR) AS symbol FROM part WHERE p_partkey <= 120 UNION SELECT symbol FROM latest)""",
+@query("k11_universe_report", sql(BARS_L + ",\n" + METRICS + ",\n" + COVER + """, cand AS (SELECT DISTINCT 'S' || CAST(p_partkey AS VARCHAR) AS symbol FROM part UNION SELECT symbol FROM latest)""",
        SCREEN_COLS, """SELECT c.symbol, l.close AS latest_close, relative_volume, avg_daily_dollar_volume, ch.symbol IS NOT NULL AS selected,
   coalesce(total_days, 0) AS total_days, coalesce(train_days, 0) AS train_days, coalesce(oos_days, 0) AS oos_days,
   array_to_string(list_filter([CASE WHEN l.symbol IS NULL THEN 'missing_data' END, CASE WHEN l.close < 80000 THEN 'price_below_min' END, CASE WHEN l.close > 150000 THEN 'price_above_max' END,
@@ -50,7 +50,7 @@ COVER = """cov AS (SELECT symbol, count(*) AS total_days, count(*) FILTER (d BET
     CASE WHEN c.symbol IN (SELECT symbol FROM passed) AND ch.symbol IS NULL THEN 'below_top_n_cut' END], lambda x: x IS NOT NULL), ',') AS reasons
   FROM cand c LEFT JOIN latest l USING (symbol) LEFT JOIN (SELECT symbol FROM chosen) ch USING (symbol) LEFT JOIN cov USING (symbol)"""))
 def report(spark, sf):
-    cand = table(spark, sf, "part").where("p_partkey <= 120").select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("symbol"))
+    cand = table(spark, sf, "part").select(F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("symbol"))
     df = screen.universe_report(bars_l(spark, sf), cand, CFG, PHASES)
     return fixed(df.withColumn("reasons", F.concat_ws(",", "reasons")))
 

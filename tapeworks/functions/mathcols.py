@@ -43,8 +43,8 @@ def pct_change(x: Column, prev: Column) -> Column:
 
 
 def no_nan(x: Column) -> Column:
-    """NaN to NULL; apply on ingestion because Spark orders NaN above every number."""
-    return F.when(~F.isnan(x), x)
+    """NaN and infinities to NULL; apply on ingestion because Spark orders NaN above every number and no infinite price is one."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
 def half_up(x: Column, digits: int) -> Column:

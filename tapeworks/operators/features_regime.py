@@ -25,10 +25,11 @@ def mod_volatility(f: Frame, n: int = 30, mp: int = 5) -> Frame:
     in.  That leaves just the first row of a symbol without a value, so no forward fill is needed.
     """
     f = f.with_cols(_rv=f.mean("rel", n, mp))
-    vol = F.col("_vol")
+    # decimal sums are exact, so the mean of the whole past doesn't depend on where a long series is cut
+    vol = F.col("_vol").try_cast("decimal(38,20)")
     f = f.running({"_ts": ("sum", vol), "_tc": ("count", vol)}, extra=("_tod",), inclusive=False)
     f = f.running({"_ss": ("sum", vol), "_sc": ("count", vol)}, inclusive=False)
-    base = F.coalesce(div(F.col("_ts"), F.col("_tc")), div(F.col("_ss"), F.col("_sc")))
+    base = F.coalesce(*(div(F.col(s).cast("double"), F.col(n)) for s, n in (("_ts", "_tc"), ("_ss", "_sc"))))
     return f.with_cols(**{f"f__regime__mod_vol_{n}": div(F.col("_rv"), base)}).drop("_rv", "_ts", "_tc", "_ss", "_sc")
 
 

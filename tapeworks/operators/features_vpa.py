@@ -77,4 +77,5 @@ def add_vpa(f: Frame, spike: float = 2.0, breakout_n: int = 20, absorb_n: int =
 
 
 def vpa_pack(bars: DataFrame, max_rows: int | None = None, **params: float) -> DataFrame:
-    return add_vpa(split_series(bars, lookback=60, max_rows=max_rows), **params).finish()
+    reach = int(params.get("breakout_n", 20) + params.get("absorb_n", 5)) + 60  # each window's row may need the other windows' rows
+    return add_vpa(split_series(bars, lookback=reach, max_rows=max_rows), **params).finish()

@@ -3,7 +3,7 @@
 ``Window.partitionBy("symbol")`` sends all rows of a symbol to one task.  That is the right plan while
 every symbol is of ordinary length, and hopeless when one symbol holds a third of a large table.
 ``split_series`` counts rows per (key, time bucket) - two columns, combined map side - and only when a key
-exceeds ``max_rows`` cuts that key's series into segments of whole buckets.  Each segment also receives the
+exceeds ``max_rows`` cuts that key's series into segments of whole buckets: days, or parts of a day where one day holds too much.  Each segment also receives the
 rows just before (``lookback``) and after (``lookahead``) it, marked ``_halo``, so that ROWS frames of bounded
 width give exactly the rows they would see over the whole series.  Unbounded frames are answered as
 "segment-local running value + carry of all earlier segments" by ``Frame.running``.
@@ -11,8 +11,10 @@ width give exactly the rows they would see over the whole series.  Unbounded fra
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -98,32 +100,55 @@ class Frame:
         return F.when(F.count(x).over(self.prior(n)) >= mp, fn(x).over(self.prior(n)))
 
     def sums(self, windows: Iterable[int], **cols: Column | str) -> Frame:
-        """Running sums and counts, from which ``total`` and ``mean`` read the trailing ``windows``.
+        """Sums and counts over the trailing ``windows`` rows, read by ``total`` and ``mean``.
 
-        A sliding frame re-adds its n rows for every row; the difference of two running sums costs the same
-        for every n.  Running sums restart in every window partition, which bounds their size, and are
-        exact for whole numbers.  (Variances keep sliding frames: differences of sums of squares cancel.)
+        A sliding frame re-adds its n rows for every row; a difference of running sums loses small values after a large one, keeps an
+        infinity for ever and depends on where a series is cut.  Here the sum of 2m rows is the sum of the last m plus the sum of the m
+        before, and a window is put together from such runs: additions of its own rows only, about log2(n) lags over one sort, the same
+        value wherever the series is cut.  Whole numbers use differences of running sums, which are exact for them, as counts do.
         Window values are columns of their own here, because Spark evaluates a window expression again for
         every place it is written; combinations that are not read are pruned by the optimizer.
         """
+        windows = sorted(set(windows))
         hist = self.w().rowsBetween(Window.unboundedPreceding, 0)
-        now, then = {}, {}
-        for name, x in cols.items():
-            x = F.col(x) if isinstance(x, str) else x
-            now[f"_sum_{name}"], now[f"_cnt_{name}"] = F.sum(x).over(hist), F.count(x).over(hist)
-            for n in set(windows):
-                for kind in ("sum", "cnt"):
-                    then[f"_{kind}_{name}_{n}"] = F.lag(f"_{kind}_{name}", n).over(self.w())
-        return self.with_cols(**now).with_cols(**then)
+        f = self.with_cols(**{f"_val_{name}": F.col(x) if isinstance(x, str) else x for name, x in cols.items()})
+        kinds = {name: f.df.schema[f"_val_{name}"].dataType for name in cols}
+        whole = {name for name, t in kinds.items() if isinstance(t, T.IntegralType)}
+        now = {f"_cnt_{name}": F.count(f"_val_{name}").over(hist) for name in cols}
+        now |= {f"_sum_{name}": F.sum(f"_val_{name}").over(hist) for name in whole}
+        # _run_<name>_<m>: the sum of the last m rows, m a power of two
+        runs = {name: f"_run_{name}_1" for name in cols if name not in whole}
+        f = f.with_cols(**now, **{c: F.coalesce(F.col(f"_val_{name}"), F.lit(0.0)) for name, c in runs.items()})
+        m = 1
+        while runs and 2 * m <= windows[-1]:
+            f = f.with_cols(**{f"_run_{name}_{2 * m}": F.col(f"_run_{name}_{m}") + f._back(f"_run_{name}_{m}", m) for name in runs})
+            m *= 2
+        totals = {}
+        for n in windows:
+            for name in cols:
+                totals[f"_cnt_{name}_{n}"] = F.col(f"_cnt_{name}") - F.coalesce(F.lag(f"_cnt_{name}", n).over(self.w()), F.lit(0))
+                if name in whole:
+                    totals[f"_sum_{name}_{n}"] = F.col(f"_sum_{name}") - F.coalesce(F.lag(f"_sum_{name}", n).over(self.w()), F.lit(0))
+                else:
+                    parts, back = [], 0
+                    for k in reversed(range(n.bit_length())):
+                        if n >> k & 1:
+                            parts.append(f._back(f"_run_{name}_{1 << k}", back))
+                            back += 1 << k
+                    totals[f"_sum_{name}_{n}"] = reduce(operator.add, parts)
+        return f.with_cols(**totals).drop(*(c for c in f.df.columns if c.startswith(("_val_", "_run_"))))
+
+    def _back(self, c: str, n: int) -> Column:
+        """The value n rows back, zero before the series begins."""
+        return F.coalesce(F.lag(c, n).over(self.w()), F.lit(0.0)) if n else F.col(c)
 
     def seen(self, name: str, n: int) -> Column:
         """Non-missing values of a summed column in the last n rows."""
-        return F.col(f"_cnt_{name}") - F.coalesce(F.col(f"_cnt_{name}_{n}"), F.lit(0))
+        return F.col(f"_cnt_{name}_{n}")
 
     def total(self, name: str, n: int, mp: int | None = None) -> Column:
         """Sum over the last n rows, NULL until ``mp`` (default n) non-missing values are seen."""
-        value = F.col(f"_sum_{name}") - F.coalesce(F.col(f"_sum_{name}_{n}"), F.lit(0))
-        return F.when(self.seen(name, n) >= (n if mp is None else mp), value)
+        return F.when(self.seen(name, n) >= (n if mp is None else mp), F.col(f"_sum_{name}_{n}"))
 
     def mean(self, name: str, n: int, mp: int | None = None) -> Column:
         return self.total(name, n, mp) / F.nullif(self.seen(name, n), F.lit(0))
@@ -228,11 +253,11 @@ def segment_layout(
     last_seg = F.floor((F.col("end") + lookback - 1) / max_rows).cast("long")
     pieces = [core]
     if lookback > 0:
-        pieces.append(
-            buckets.where(last_seg > F.col("seg"))
-            .select(*keys, _BUCKET, F.explode(F.sequence(F.col("seg") + 1, last_seg)).alias("seg"))
-            .withColumn("halo", F.lit(True))
-        )
+        # segment numbers in which no bucket starts don't exist and get no rows; one that starts beyond the reach needs none
+        starts = buckets.groupBy(*keys, "seg").agg(F.min("start").alias("seg_start"))
+        reaching = buckets.where(last_seg > F.col("seg")).select(*keys, _BUCKET, "end", F.explode(F.sequence(F.col("seg") + 1, last_seg)).alias("seg"))
+        near = reaching.join(starts, [*keys, "seg"]).where(F.col("seg_start") < F.col("end") + lookback)
+        pieces.append(near.select(*keys, _BUCKET, "seg", F.lit(True).alias("halo")))
     if lookahead > 0:
         # A segment ends where the next one starts; with max_rows >= 3 * lookahead at most two
         # earlier segments can reach into a bucket.
@@ -260,6 +285,20 @@ def segment_layout(
     )
 
 
+def bucket_width(df: DataFrame, long_keys: DataFrame, keys: Iterable[str], ts: str, bucket: int, most: int) -> int:
+    """The widest time bucket, from ``bucket`` down, of which none holds more than ``most`` rows of a long key.
+
+    Rows of one timestamp can't be parted: they are ties in the order of the series.
+    """
+    rows = df.join(long_keys.select(*keys), list(keys), "left_semi")
+    for parts in (1, 96, 96 * 60, 96 * 60 * 1000, 96 * 60 * 10**6):
+        width = max(1, bucket // parts)
+        full = rows.groupBy(*keys, bucket_ns(ts, width).alias(_BUCKET)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        if width == 1 or full.limit(1).count() == 0:
+            return width
+    return 1
+
+
 def split_series(
     df: DataFrame,
     keys: Iterable[str] = ("symbol",),
@@ -281,6 +320,7 @@ def split_series(
     long_keys = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
     if long_keys.limit(1).count() == 0:
         return Frame(df, keys, order)
+    bucket = bucket_width(src, long_keys, keys, order[0], bucket, max(1, limit // 64))
     layout = settle(segment_layout(src, keys, order[0], limit, lookback, lookahead, bucket))
     size = layout.limit(BROADCAST_ROWS + 1).count()
     if size <= BROADCAST_ROWS:

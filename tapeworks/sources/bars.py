@@ -63,12 +63,13 @@ def dedupe(df: DataFrame, keys: Iterable[str] = ("symbol", "ts"), prefer: Iterab
 
 
 def read_bars(spark: SparkSession, root: str, symbols: Iterable[str] | None = None, start: str | None = None,
-              end: str | None = None, columns: Iterable[str] | None = None, by_month: bool = False) -> DataFrame:
+              end: str | None = None, columns: Iterable[str] | None = None, by_month: bool = False, skip_corrupt: bool = False) -> DataFrame:
     """Canonical bars of a hive dataset; symbol and month prune files, the exact dates filter rows.
 
-    ``by_month`` widens the date range to whole months.  Corrupt files are skipped.
+    ``by_month`` widens the date range to whole months.  A corrupt file is an error unless ``skip_corrupt`` is asked for; what is
+    skipped then is in Spark's log.
     """
-    df = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(root)
+    df = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("mergeSchema", "true").parquet(root)
     if symbols is not None:
         df = df.where(F.upper("symbol").isin(*[s.upper() for s in symbols]))
     if start is not None and "month" in df.columns:
@@ -88,9 +89,9 @@ def read_bars(spark: SparkSession, root: str, symbols: Iterable[str] | None = No
     return bars
 
 
-def read_symbol_files(spark: SparkSession, glob: str) -> DataFrame:
+def read_symbol_files(spark: SparkSession, glob: str, skip_corrupt: bool = False) -> DataFrame:
     """Month files without a symbol column, ``{SYM}/{YYYY}/{YYYY-MM}.parquet``: the symbol is in the path."""
-    df = spark.read.option("ignoreCorruptFiles", "true").parquet(glob)
+    df = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(glob)
     from_path = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/\d{4}/\d{4}-\d{2}[^/]*\.parquet$", 1)
     symbol = F.coalesce(F.col("symbol"), from_path) if "symbol" in df.columns else from_path
     return normalise_bars(df.withColumn("symbol", symbol))

@@ -54,9 +54,10 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def run_sql(spark: SparkSession, text: str, limit: int = 1000) -> DataFrame:
-    """Ad-hoc query over the registered views; the row limit belongs to the feature."""
-    return spark.sql(text).limit(limit)
+def run_sql(spark: SparkSession, text: str, limit: int | None = None) -> DataFrame:
+    """Ad-hoc query over the registered views; all rows unless the caller sets a limit."""
+    out = spark.sql(text)
+    return out if limit is None else out.limit(limit)
 
 
 def table_status(tables: dict[str, DataFrame]) -> DataFrame:

@@ -29,6 +29,64 @@ def test_split_equals_whole(bars, name):
     same(frame(fn(bars), "symbol", "ts"), frame(fn(bars, max_rows=40), "symbol", "ts"))
 
 
+@pytest.mark.parametrize("name", ["core", "regime", "vpa", "ml", "profile"])
+def test_split_is_identical_on_fractional_prices(spark, name):
+    from conftest import make_bars, walk
+
+    bars = make_bars(spark, {"HOT": [(*(x / 7 for x in r[:4]), r[4]) for r in walk(1500, 1)], "B": [(*(x / 3 for x in r[:4]), r[4]) for r in walk(50, 2)]})
+    fn = PACKS[name]
+    a, b = frame(fn(bars), "symbol", "ts"), frame(fn(bars, max_rows=500), "symbol", "ts")
+    pd.testing.assert_frame_equal(a, b[a.columns], check_exact=True)
+
+
+def test_windows_longer_than_usual_are_identical_too(spark):
+    from conftest import make_bars, walk
+
+    bars = make_bars(spark, {"HOT": [(*(x / 7 for x in r[:4]), r[4]) for r in walk(3000, 4)]})
+    a, b = (frame(features_vpa.vpa_pack(bars, breakout_n=700, **k), "symbol", "ts") for k in ({}, {"max_rows": 900}))
+    pd.testing.assert_frame_equal(a, b[a.columns], check_exact=True)
+
+
+def test_a_hot_day_is_cut(spark):
+    from conftest import make_bars
+
+    bars = make_bars(spark, {"H": [(1, 1, 1, 1, 1)] * 20_000}, start=1704844800000000000, step=4_000_000_000)
+    f = split_series(bars, lookback=10, max_rows=500)
+    sizes = f.df.groupBy("_seg").count().toPandas()["count"]
+    assert sizes.max() <= 500 + 10 + 2 * 500 // 64 + 8 and sizes.sum() <= 20_000 * (1 + (10 + 2) / 500) + 20 and f.finish().count() == 20_000
+
+
+def _vwap(spark, rows, n=30):
+    from conftest import make_bars
+
+    got = features_core.add_vwap(split_series(make_bars(spark, {"S": [(p, p, p, p, v) for p, v in rows]})), {"vwap": n}).finish()
+    return frame(got, "symbol", "ts")["vwap"]
+
+
+def test_one_large_value_does_not_outlive_its_window(spark):
+    assert _vwap(spark, [(1e12, 10**6)] + [(1.1, 1)] * 100).iloc[40:].to_numpy() == pytest.approx(1.1, rel=1e-12)
+    got = _vwap(spark, [(105 + i % 3 / 7, 90_000_000) for i in range(1000)] + [(50.05, 3)] * 60)
+    assert got.iloc[-10:].to_numpy() == pytest.approx(50.05, rel=1e-12)
+    late = _vwap(spark, [(2.0, 5)] * 10 + [(float("inf"), 5)] + [(2.0, 5)] * 60)
+    assert late.iloc[45:].to_numpy() == pytest.approx(2.0)
+
+
+def test_infinite_prices_are_missing_after_ingestion(spark):
+    from tapeworks.sources.bars import normalise_bars
+
+    raw = spark.createDataFrame([("A", 1, 1.0, float("inf"), 1.0, float("nan"), 5.0)], "symbol string, ts long, open double, high double, low double, close double, volume double")
+    row = normalise_bars(raw).first()
+    assert row["open"] == 1.0 and row["high"] is None and row["close"] is None
+
+
+def test_rolling_errors_forget_an_early_error(spark):
+    from tapeworks.operators import drift
+
+    rows = spark.createDataFrame([("S", i, 1e8 if i == 0 else 1.0 + (i % 2) / 100, 1.0) for i in range(200)], "symbol string, ts long, pred double, actual double")
+    got = frame(drift.rolling_errors(split_series(rows), "pred", "actual", 20), "symbol", "ts")
+    assert got["rolling_mse"].iloc[-1] == pytest.approx(5e-5, rel=1e-9)
+
+
 @pytest.mark.parametrize("name", ["core", "regime", "vpa"])
 def test_row_order_and_partitions_do_not_matter(bars, name):
     fn = PACKS[name]
