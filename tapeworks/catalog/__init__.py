@@ -14,7 +14,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("core", "enhanced", "mlfeatures", "tables", "screening", "regimes", "labelling", "datasets", "signalling",
+MODULES = ("core", "fractional", "enhanced", "mlfeatures", "tables", "screening", "regimes", "labelling", "datasets", "signalling",
            "trading", "risking", "monitoring", "learning", "streams", "jobs")
 
 

@@ -114,14 +114,14 @@ def elimination(spark, sf):
 
 @query("l08_l09_staged_scores")
 def staged(spark, sf):
-    df = training_rows(spark, sf).na.drop(subset=FEATURES)
+    df = training_rows(spark, sf)
     models = md.train_staged(df, FEATURES, maxIter=10)
     return fixed(md.score_staged(models, df.select("symbol", "ts", *FEATURES)).drop(*FEATURES))
 
 
 @query("l03_l14_prediction_table")
 def prediction_table(spark, sf):
-    df = training_rows(spark, sf).na.drop(subset=FEATURES).withColumn("y", F.col("big_move").cast("double"))
+    df = training_rows(spark, sf).withColumn("y", F.col("big_move").cast("double"))
     model = md.train(df, FEATURES, "forest", "y", numTrees=5)
     return md.prediction_table(model, df.select("symbol", "ts", *FEATURES), FEATURES, "forest-1").withColumn("features_used", F.size("features_used"))
 
@@ -130,6 +130,6 @@ def prediction_table(spark, sf):
 def fold_accuracy(spark, sf):
     from ..operators.experiments import fold_aggregate
 
-    df = training_rows(spark, sf).na.drop(subset=FEATURES).withColumn("y", F.col("big_move").cast("double")).select("symbol", "ts", "y", *FEATURES)
+    df = training_rows(spark, sf).withColumn("y", F.col("big_move").cast("double")).select("symbol", "ts", "y", *FEATURES)
     folds = ds.purged_folds(ds.trading_days(df), 3, purge_days=35)
     return fixed(fold_aggregate(md.run_folds(df, folds, FEATURES, "logistic", "y", maxIter=5)))

@@ -14,17 +14,19 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.mathcols import no_nan
 from .joins import attach_one_row
 from .quantiles import exact_percentiles
 
 
-def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip")
+def assembler(cols: list[str], out: str = "features", invalid: str = "skip") -> VectorAssembler:
+    """Fitting leaves rows with a missing feature out ("skip"); what transforms a table keeps every row ("keep", NaN for missing)."""
+    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid=invalid)
 
 
 def _spread(df: DataFrame, vector: str, names: list[str]) -> DataFrame:
     arr = vector_to_array(F.col(vector))
-    return df.withColumn("_a", arr).withColumns({n: F.col("_a")[i] for i, n in enumerate(names)}).drop("_a")
+    return df.withColumn("_a", arr).withColumns({n: no_nan(F.col("_a")[i]) for i, n in enumerate(names)}).drop("_a")
 
 
 SCALERS = {
@@ -35,9 +37,9 @@ SCALERS = {
 
 
 def scale(df: DataFrame, cols: list[str], method: str = "standard") -> DataFrame:
-    """Scaled copies ``{col}_scaled`` of the columns."""
-    model = Pipeline(stages=[assembler(cols, "_v"), SCALERS[method]()]).fit(df)
-    return _spread(model.transform(df), "_s", [f"{c}_scaled" for c in cols]).drop("_v", "_s")
+    """Scaled copies ``{col}_scaled`` of the columns; a row with a missing value is kept and its missing copies are NULL."""
+    model = SCALERS[method]().fit(assembler(cols, "_v").transform(df))
+    return _spread(model.transform(assembler(cols, "_v", "keep").transform(df)), "_s", [f"{c}_scaled" for c in cols]).drop("_v", "_s")
 
 
 def _edges_below(edges: str, col: str) -> Column:
@@ -80,14 +82,17 @@ def bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFra
 
 
 def pca(df: DataFrame, cols: list[str], variance: float = 0.95) -> tuple[DataFrame, list[float]]:
-    """Components explaining at least ``variance``, as columns pc_0.., and their shares."""
-    scaled = Pipeline(stages=[assembler(cols, "_v"), StandardScaler(inputCol="_v", outputCol="_s", withMean=True)]).fit(df).transform(df)
+    """Components explaining at least ``variance``, as columns pc_0.., and their shares; they are NULL for rows with a missing value."""
+    complete = assembler(cols, "_v").transform(df)
+    scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True).fit(complete)
+    scaled = scaler.transform(complete)
     shares = list(PCA(k=len(cols), inputCol="_s", outputCol="_p").fit(scaled).explainedVariance)
     k, total = 0, 0.0
     while k < len(shares) and total < variance:
         total += shares[k]
         k += 1
-    out = PCA(k=max(k, 1), inputCol="_s", outputCol="_p").fit(scaled).transform(scaled)
+    every = scaler.transform(assembler(cols, "_v", "keep").transform(df))
+    out = PCA(k=max(k, 1), inputCol="_s", outputCol="_p").fit(scaled).transform(every)
     return _spread(out, "_p", [f"pc_{i}" for i in range(max(k, 1))]).drop("_v", "_s", "_p"), shares[: max(k, 1)]
 
 
@@ -200,25 +205,36 @@ def train_staged(df: DataFrame, cols: list[str], kind: str = "logistic", **param
     return {"move": train(data, cols, kind, "_big", **params), "side": train(big, cols, kind, "_up", **params), "reward": Pipeline(stages=stages).fit(big)}
 
 
+def _inputs(model: PipelineModel) -> list[str]:
+    """The feature columns a fitted pipeline reads."""
+    return list(next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols())
+
+
+def score(model: PipelineModel, df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """All rows and columns of df with the named columns of the model's output; a missing feature counts as 0, so no row is lost."""
+    given = F.struct(*df.columns)
+    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in _inputs(model)]
+    out = model.transform(df.select(given.alias("_given"), *filled))
+    return out.select("_given.*", *(c.alias(n) for n, c in cols.items()))
+
+
 def positive_probability(model: PipelineModel, df: DataFrame, out: str) -> DataFrame:
-    keep = df.columns
-    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).select(*keep, out)
+    return score(model, df, {out: vector_to_array(F.col("probability"))[1]})
 
 
 def score_staged(models: dict[str, PipelineModel], df: DataFrame, min_expected_r: float = 1.5) -> DataFrame:
     """Probabilities of a big move and its side, clipped, with expected R floored."""
     df = positive_probability(models["move"], df, "prob_bigmove")
     df = positive_probability(models["side"], df, "prob_bigmove_long")
-    keep = df.columns
-    df = models["reward"].transform(df).select(*keep, F.greatest("prediction", F.lit(min_expected_r)).alias("expected_r_bigmove"))
+    df = score(models["reward"], df, {"expected_r_bigmove": F.greatest("prediction", F.lit(min_expected_r))})
     return df.withColumn("prob_bigmove_short", 1.0 - F.col("prob_bigmove_long"))
 
 
 def prediction_table(model: PipelineModel, df: DataFrame, cols: list[str], model_id: str) -> DataFrame:
     """(symbol, ts, prediction, max probability, model id, map of the features used)."""
-    scored = model.transform(df)
+    scored = score(model, df, {"_prediction": F.col("prediction"), "_probability": F.array_max(vector_to_array(F.col("probability")))})
     values = F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(c).cast("double") for c in cols]))
-    return scored.select("symbol", "ts", "prediction", F.array_max(vector_to_array("probability")).alias("probability"),
+    return scored.select("symbol", "ts", F.col("_prediction").alias("prediction"), F.col("_probability").alias("probability"),
                          F.lit(model_id).alias("model_id"), values.alias("features_used"))
 
 
@@ -230,7 +246,8 @@ def run_folds(df: DataFrame, folds: Iterable[dict], cols: list[str], kind: str,
     for f in folds:
         rows = fold_rows(df, [f])
         model = train(rows.where("role = 'train'"), cols, kind, label, **params)
-        acc = model.transform(rows.where("role = 'val'")).agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("value"))
+        judged = score(model, rows.where("role = 'val'"), {"_prediction": F.col("prediction")})
+        acc = judged.agg(F.avg((F.col("_prediction") == F.col(label)).cast("double")).alias("value"))
         part = acc.select(F.lit(f["fold"]).alias("fold"), F.lit("accuracy").alias("metric"), "value")
         out = part if out is None else out.unionByName(part)
     return out
