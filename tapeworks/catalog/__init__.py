@@ -15,7 +15,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("core", "fractional", "enhanced", "mlfeatures", "tables", "screening", "regimes", "labelling", "datasets", "signalling",
-           "trading", "risking", "monitoring", "learning", "streams", "jobs")
+           "trading", "risking", "monitoring", "learning", "streams", "jobs", "files")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
