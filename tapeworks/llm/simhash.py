@@ -33,7 +33,7 @@ from .components import connected_stars
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
-SEARCH_DISTANCE = 7
+SEARCH_DISTANCE = 8
 SHORT_WORD = 3
 SIMILAR_WIDTH, SIMILARITY = 5, 0.8
 CELL = 8192
@@ -122,11 +122,49 @@ def cell_links(fp: np.ndarray, other: np.ndarray, distance: int = DISTANCE, othe
     Linked are members whose fingerprints differ in ``distance`` bits and whose other fingerprints differ in ``other_distance`` bits at most.
     """
     k = len(fp)
+    order = np.argsort(np.bitwise_count(fp), kind="stable")
+    label = np.arange(k)
+    for a, b, _ in _near(fp[order], other[order], distance, other_distance, rows):
+        at, first = np.unique(a, return_index=True)
+        for r, s, e in zip(at.tolist(), first.tolist(), [*first[1:].tolist(), len(a)]):
+            roots = np.unique(label[b[s:e]])
+            if len(roots) > 1 or roots[0] != label[r]:
+                roots = np.union1d(roots, label[r : r + 1])
+                label[np.isin(label, roots)] = roots[0]
+    linked = np.nonzero(label != np.arange(k))[0]
+    return order[linked], order[label[linked]]
+
+
+def cell_pairs(fp: np.ndarray, other: np.ndarray, part: np.ndarray, distance: int, other_distance: int, every: bool, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (positions) that ``cell_links`` would link, of members of different parts: every one, or a spanning forest of them (closest others first)."""
+    order = np.argsort(np.bitwise_count(fp), kind="stable")
+    part = part[order]
+    label = np.unique(part, return_inverse=True)[1]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for a, b, apart in _near(fp[order], other[order], distance, other_distance, rows):
+        if every:
+            keep = part[a] != part[b]
+            found.append((a[keep], b[keep]))
+            continue
+        by = np.lexsort((b, apart, a))
+        a, b = a[by], b[by]
+        at, first = np.unique(a, return_index=True)
+        for r, s, e in zip(at.tolist(), first.tolist(), [*first[1:].tolist(), len(a)]):
+            roots, nearest = np.unique(label[b[s:e]], return_index=True)
+            new = roots != label[r]
+            if new.any():
+                ends = b[s:e][nearest[new]]
+                found.append((np.full(len(ends), r), ends))
+                label[np.isin(label, roots)] = label[r]
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return order[a], order[b]
+
+
+def _near(fp: np.ndarray, other: np.ndarray, distance: int, other_distance: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Linked positions (a < b, ordered by a) of members ordered by total count and the bits in which their others differ, block by block."""
+    k = len(fp)
     total = np.bitwise_count(fp).astype(np.int64)
-    order = np.argsort(total, kind="stable")
-    fp, other, total = fp[order], other[order], total[order]
     counts, even, one = segment_counts(fp), np.uint64(EVEN), np.uint64(1)
-    label = np.arange(k)
     until = np.searchsorted(total, total + distance, side="right")  # a larger difference in bit totals is a larger distance
     for i in range(0, k, rows):
         j = min(i + rows, k)
@@ -137,24 +175,16 @@ def cell_links(fp: np.ndarray, other: np.ndarray, distance: int = DISTANCE, othe
         a, b = np.nonzero(near)
         keep = a < b
         a, b = a[keep] + i, b[keep] + i
-        exact = np.bitwise_count(fp[a] ^ fp[b]) <= distance
-        if other_distance < 64:
-            exact &= np.bitwise_count(other[a] ^ other[b]) <= other_distance
-        a, b = a[exact], b[exact]
-        at, first = np.unique(a, return_index=True)
-        for r, s, e in zip(at.tolist(), first.tolist(), [*first[1:].tolist(), len(a)]):
-            roots = np.unique(label[b[s:e]])
-            if len(roots) > 1 or roots[0] != label[r]:
-                roots = np.union1d(roots, label[r : r + 1])
-                label[np.isin(label, roots)] = roots[0]
-    linked = np.nonzero(label != np.arange(k))[0]
-    return order[linked], order[label[linked]]
+        apart = np.bitwise_count(other[a] ^ other[b])
+        exact = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (apart <= other_distance)
+        yield a[exact], b[exact], apart[exact]
 
 
-def _cell_worker(distance: int, other_distance: int):
-    """Batches sorted by (cell, block) to links: runs of equal keys are cells; the last one waits for the next batch."""
+def _cell_worker(find, more: tuple[str, ...] = ()):
+    """Batches sorted by (cell, block) to links found by ``find`` (fp, other and ``more`` columns of a cell to positions): runs of equal keys are cells;
+    the last one waits for the next batch."""
 
-    def links(cell, block, node, fp, other, last: bool):
+    def links(cell, block, node, *columns, last: bool):
         change = np.nonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]))[0] + 1
         starts, ends = np.concatenate(([0], change)), np.concatenate((change, [len(cell)]))
         if not last:
@@ -162,7 +192,7 @@ def _cell_worker(distance: int, other_distance: int):
         big = ends - starts > 1
         out = []
         for s, e in zip(starts[big].tolist(), ends[big].tolist()):
-            a, b = cell_links(fp[s:e], other[s:e], distance, other_distance)
+            a, b = find(*(c[s:e] for c in columns))
             if len(a):
                 out.append((node[s:e][a], node[s:e][b]))
         return out, change[-1] if len(change) else 0
@@ -179,9 +209,9 @@ def _cell_worker(distance: int, other_distance: int):
 
         for batch in batches:
             if batch.num_rows:
-                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "node", "fp", "other")]
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "node", "fp", "other", *more)]
                 same = held and held[0][0][0] == cols[0][-1] and held[0][1][0] == cols[1][-1]
-                held.append((*cols[:3], cols[3].view(np.uint64), cols[4].view(np.uint64)))
+                held.append((*cols[:3], cols[3].view(np.uint64), cols[4].view(np.uint64), *cols[5:]))
                 if not same:
                     yield from emit(last=False)
         if held:
@@ -192,49 +222,105 @@ def _cell_worker(distance: int, other_distance: int):
 
 def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, other_distance: int = 64, cell: int = CELL, agreeing: int = 1) -> DataFrame:
     """Links (a, b) that connect exactly the nodes (columns node, fp, other; one row each) that ``cell_links`` links."""
+    return _in_cells(nodes, lambda fp, other: cell_links(fp, other, distance, other_distance), distance, cell, agreeing)
+
+
+def proposed_pairs(nodes: DataFrame, distance: int, other_distance: int, every: bool, cell: int = CELL, agreeing: int = 1) -> DataFrame:
+    """Distinct pairs (a < b) of the nodes (columns node, fp, other, part) that ``cell_pairs`` finds in any cell."""
+    find = lambda fp, other, part: cell_pairs(fp, other, part, distance, other_distance, every)
+    pairs = _in_cells(nodes, find, distance, cell, agreeing, ("part",))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _in_cells(nodes: DataFrame, find, distance: int, cell: int, agreeing: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b) of every pair that ``find`` returns for the members of a cell, cells too large cut into pairs of blocks."""
     masks = grid_masks(axes_for(nodes.count(), distance, agreeing), distance)
     fp = F.col("fp")
     next_bit = F.shiftrightunsigned(fp, 1)
     ones, twos = fp.bitwiseXOR(next_bit).bitwiseAND(F.lit(EVEN)), fp.bitwiseAND(next_bit).bitwiseAND(F.lit(EVEN))
     counts = ones.bitwiseOR(F.shiftleft(twos, 1))
     cells = F.array(*(F.xxhash64(F.lit(i), counts.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)))
-    rows = nodes.select("node", "fp", "other", F.explode(cells).alias("cell"))
+    rows = nodes.select("node", "fp", "other", *more, F.explode(cells).alias("cell"))
     large = settle(rows.groupBy("cell").agg(F.count("*").alias("k")).filter(F.col("k") > cell)
                    .select("cell", F.ceil(F.col("k") * 2 / cell).cast("int").alias("n")))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
     # block pairs (i <= j) of a large cell, as i * n + j
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(own, j) * F.col("n") + F.greatest(own, j))
     block = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)
-    placed = rows.join(broadcast_bounded(large, BROADCAST_ROWS), "cell", "left").select("cell", "node", "fp", "other", F.explode(block).alias("block"))
+    placed = rows.join(broadcast_bounded(large, BROADCAST_ROWS), "cell", "left").select("cell", "node", "fp", "other", *more, F.explode(block).alias("block"))
     grouped = placed.repartition("cell", "block").sortWithinPartitions("cell", "block")
-    return grouped.select("cell", "block", "node", "fp", "other").mapInArrow(_cell_worker(distance, other_distance), "a long, b long")
+    return grouped.select("cell", "block", "node", "fp", "other", *more).mapInArrow(_cell_worker(find, more), "a long, b long")
+
 
+def _nodes(prints: DataFrame) -> DataFrame:
+    return settle(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("other").alias("other"), F.min("doc_id").alias("first_id")))
 
-def _classes(prints: DataFrame, distance: int, other_distance: int, agreeing: int = 1) -> DataFrame:
+
+def _classes(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of ``prints`` (doc_id, text_hash, node, fp, other) with component_id and the component's root node."""
-    nodes = settle(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("other").alias("other"), F.min("doc_id").alias("first_id")))
-    stars = connected_stars(fingerprint_links(nodes, distance, other_distance, agreeing=agreeing)).withColumnRenamed("node", "member")
-    rooted = nodes.join(stars, F.col("node") == F.col("member"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    rooted = _rooted(nodes, links, "root").select("node", "first_id", "root")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(smallest, "root").select("node", "component_id", "root")
     return prints.join(classes, "node").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
+def _rooted(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """nodes with the root of their component, their own where nothing links them."""
+    stars = connected_stars(links).select(F.col("node").alias("member"), F.col("root").alias("found"))
+    return nodes.join(stars, F.col("node") == F.col("member"), "left").withColumn(name, F.coalesce("found", "node")).drop("member", "found")
+
+
 def near_copies(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp, component_id (smallest doc_id reachable over links, its own included) and root for every row."""
-    prints = settle(fingerprints(docs, fp=width))
-    return _classes(prints.select("doc_id", "text_hash", F.col("fp").alias("node"), "fp", F.col("fp").alias("other")), distance, 64)
+    prints = settle(fingerprints(docs, fp=width)).select("doc_id", "text_hash", F.col("fp").alias("node"), "fp", F.col("fp").alias("other"))
+    nodes = _nodes(prints)
+    return _classes(prints, nodes, fingerprint_links(nodes, distance))
+
+
+def shingle_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(member, shingles): the distinct hashes of the shingles of every text (by its hash) that is in a pair."""
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column("text").to_pylist()]
+        return pa.table([batch.column("member"), pa.array(sets, pa.list_(pa.int64()))], names=["member", "shingles"])
+
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct())
+    rows = pick(docs, text="string").withColumn("member", F.xxhash64("text"))
+    texts = rows.join(broadcast_bounded(wanted, BROADCAST_ROWS), "member", "left_semi").dropDuplicates(["member"])
+    return map_arrow(texts.select("member", "text"), run, "member long, shingles array<long>")
+
+
+def verified_pairs(docs: DataFrame, pairs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b; text hashes) whose sets of shingles have a Jaccard similarity of ``similarity`` or more; two empty sets are equal."""
+    sets = settle(shingle_sets(docs, pairs, width))
+    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    counted = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("k"))
+    union = F.col("m") + F.col("n") - F.col("k")
+    return settle(counted.filter((union == 0) | (F.col("k") / F.nullif(union, F.lit(0)) >= similarity)).select("a", "b"))
 
 
 def similar_texts(docs: DataFrame, distance: int = SEARCH_DISTANCE, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The same columns for texts whose shingles of ``width`` words have a similarity (cosine, by fingerprint) of ``similarity`` or more.
+    """The same columns for texts whose sets of shingles of ``width`` words have a Jaccard similarity of ``similarity`` or more.
 
     One changed word changes five five-word shingles, so fingerprints of such shingles lie 7 to 14 bits apart at a similarity of 0.8: too far for a
-    selective grid.  The search therefore runs on fingerprints of the distinct words, within ``distance`` bits, and a pair it finds is linked when
-    the fingerprints of its shingles are close enough.  Fingerprints of word sets crowd the cells of a single axis, so two axes agree at least.
+    selective grid.  The search therefore runs on fingerprints of the distinct words, within ``distance`` bits, and only proposes pairs; fingerprints of
+    shingles that lie further apart than three standard deviations allow are left out.  Fingerprints of word sets crowd the cells of a single axis, so
+    two axes agree at least.  Every link is then verified on the sets themselves.
+
+    First a spanning forest of each cell's proposals is verified.  Where that leaves proposed texts apart, all proposals between the parts are verified
+    too, so the result is the components of all verified proposals while a group of k copies still makes O(k) rows.
     """
-    prints = settle(fingerprints(docs, fp=0, other=width))
-    return _classes(prints.withColumn("node", F.xxhash64("fp", "other")), distance, math.ceil(math.acos(similarity) / math.pi * 64), agreeing=2)
+    odds = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    other = math.ceil(64 * odds + 3 * math.sqrt(64 * odds * (1 - odds)))
+    prints = settle(fingerprints(docs, fp=0, other=width)).withColumn("node", F.col("text_hash"))
+    nodes = _nodes(prints)
+    proposed = settle(proposed_pairs(nodes.withColumn("part", F.col("node")), distance, other, every=False, agreeing=2))
+    links = verified_pairs(docs, proposed, width, similarity)
+    parts = _rooted(_rooted(nodes, proposed, "reach"), links, "part")
+    torn = parts.groupBy("reach").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("reach")
+    rest = settle(parts.join(torn, "reach", "left_semi").select("node", "fp", "other", "part"))
+    more = settle(proposed_pairs(rest, distance, other, every=True, agreeing=2).join(proposed, ["a", "b"], "left_anti"))
+    return _classes(prints, nodes, links.unionByName(verified_pairs(docs, more, width, similarity)))
 
 
 def hex16(fp):

@@ -97,6 +97,25 @@ def test_one_of_each_group_stays(spark):
     assert simhash.drop_near_copies(docs_of(spark, []), simhash.similar_texts(docs_of(spark, []))).collect() == []
 
 
+def test_similar_texts_are_linked_on_their_shingles(spark):
+    base = " ".join(prose(400, 31).split())
+    texts = [base]
+    for seed in range(60):
+        w = base.split()
+        for k in range(2 + seed % 15):
+            w[(seed * 37 + k * 23) % 400] = f"new{seed % 7}x{k}"
+        texts.append(" ".join(w))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert any(0.6 < jaccard(i, j) < 0.8 for i in range(60) for j in range(i)), "pairs that only the fingerprints take for copies"
+    fps = [(simhash.fingerprint(t, 0), simhash.fingerprint(t, 5)) for t in texts]
+    near = lambda i, j: ((fps[i][0] ^ fps[j][0]) % 2**64).bit_count() <= 8 and ((fps[i][1] ^ fps[j][1]) % 2**64).bit_count() <= 19
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs_of(spark, rows)).collect()}
+    want = groups(len(texts), lambda i, j: near(i, j) and jaccard(i, j) >= 0.8)
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < len(texts)
+
+
 def test_links_of_a_dense_cell_are_a_forest():
     fp = np.arange(2000, dtype=np.uint64)
     a, b = simhash.cell_links(fp, fp)
