@@ -20,10 +20,20 @@ from .quantiles import exact_percentiles
 
 
 def assembler(cols: list[str], out: str = "features", invalid: str = "skip") -> VectorAssembler:
-    """Fitting leaves rows with a missing feature out ("skip"); what transforms a table keeps every row ("keep", NaN for missing)."""
+    """Scaling and components are fitted without rows that miss a feature ("skip"); what transforms a table keeps every row ("keep", NaN for missing)."""
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid=invalid)
 
 
+def _known(col: str) -> Column:
+    """A feature as models are fitted and scored with it: a missing value counts as 0."""
+    return F.coalesce(F.nanvl(F.col(col).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def known(df: DataFrame, cols: list[str]) -> DataFrame:
+    """All rows of df, missing features filled."""
+    return df.withColumns({c: _known(c) for c in cols})
+
+
 def _spread(df: DataFrame, vector: str, names: list[str]) -> DataFrame:
     arr = vector_to_array(F.col(vector))
     return df.withColumn("_a", arr).withColumns({n: no_nan(F.col("_a")[i]) for i, n in enumerate(names)}).drop("_a")
@@ -101,7 +111,7 @@ def pca(df: DataFrame, cols: list[str], variance: float = 0.95) -> tuple[DataFra
 
 def univariate_select(df: DataFrame, cols: list[str], label: str, k: int) -> list[str]:
     """Best k features by F-test against a categorical label."""
-    data = assembler(cols, "_v").transform(df)
+    data = assembler(cols, "_v").transform(known(df, cols))
     sel = UnivariateFeatureSelector(featuresCol="_v", labelCol=label, outputCol="_o", selectionMode="numTopFeatures")
     sel = sel.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
     return [cols[i] for i in sel.fit(data).selectedFeatures]
@@ -156,7 +166,7 @@ def correlation_filter(df: DataFrame, cols: list[str], threshold: float = 0.95)
 
 def recursive_elimination(df: DataFrame, cols: list[str], label: str, keep: int, step: int = 1, trees: int = 20, seed: int = 7) -> list[str]:
     """Drop the least important forest features until ``keep`` are left."""
-    left = list(cols)
+    left, df = list(cols), known(df, cols)
     while len(left) > keep:
         model = RandomForestClassifier(labelCol=label, featuresCol="_v", numTrees=trees, seed=seed).fit(assembler(left, "_v").transform(df))
         imp = model.featureImportances.toArray()
@@ -169,7 +179,7 @@ def recursive_elimination(df: DataFrame, cols: list[str], label: str, keep: int,
 def lasso_select(df: DataFrame, cols: list[str], label: str, strength: float = 0.01) -> dict[str, float]:
     """Non-zero coefficients of an L1-penalised regression on standardised features."""
     model = LinearRegression(featuresCol="_v", labelCol=label, elasticNetParam=1.0, regParam=strength, standardization=True).fit(
-        assembler(cols, "_v").transform(df))
+        assembler(cols, "_v").transform(known(df, cols)))
     return {c: float(w) for c, w in zip(cols, model.coefficients, strict=True) if abs(w) > 1e-12}
 
 
@@ -187,7 +197,7 @@ def classifier(kind: str, label: str, weight: str | None = None, seed: int = 7,
 def train(df: DataFrame, cols: list[str], kind: str, label: str, weight: str | None = None, **params) -> PipelineModel:
     """Assemble, scale and fit; a tri-class label must be encoded 0, 1, 2."""
     stages = [assembler(cols, "_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), classifier(kind, label, weight, **params)]
-    return Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=stages).fit(known(df, cols))
 
 
 def encode_tri_class(label: Column) -> Column:
@@ -202,7 +212,7 @@ def train_staged(df: DataFrame, cols: list[str], kind: str = "logistic", **param
     data = df.withColumns({"_big": F.col("big_move").cast("double"), "_up": (F.col("direction") > 0).cast("double")})
     big = data.where("big_move = 1")
     stages = [assembler(cols, "features"), GBTRegressor(labelCol="expected_r", featuresCol="features", maxIter=5, maxDepth=3, seed=7)]
-    return {"move": train(data, cols, kind, "_big", **params), "side": train(big, cols, kind, "_up", **params), "reward": Pipeline(stages=stages).fit(big)}
+    return {"move": train(data, cols, kind, "_big", **params), "side": train(big, cols, kind, "_up", **params), "reward": Pipeline(stages=stages).fit(known(big, cols))}
 
 
 def _inputs(model: PipelineModel) -> list[str]:
@@ -213,7 +223,7 @@ def _inputs(model: PipelineModel) -> list[str]:
 def score(model: PipelineModel, df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """All rows and columns of df with the named columns of the model's output; a missing feature counts as 0, so no row is lost."""
     given = F.struct(*df.columns)
-    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in _inputs(model)]
+    filled = [_known(c).alias(c) for c in _inputs(model)]
     out = model.transform(df.select(given.alias("_given"), *filled))
     return out.select("_given.*", *(c.alias(n) for n, c in cols.items()))
 

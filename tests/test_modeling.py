@@ -1,4 +1,4 @@
-"""Models see complete rows; scores, scaling and components exist for every row."""
+"""Models are fitted on every row; scores, scaling and components exist for every row."""
 
 from __future__ import annotations
 
@@ -37,3 +37,17 @@ def test_scaling_keeps_rows(rows, method):
 def test_components_keep_rows(rows):
     got, shares = md.pca(rows, ["a", "b"])
     assert got.count() == 200 and got.where("pc_0 IS NULL").count() == 41 and 0.95 <= sum(shares) <= 1.0 + 1e-9
+
+
+def test_every_row_is_fitted_with_zero_for_missing(rows):
+    rows = rows.selectExpr("*", "IF(ts < 3, 1.0D, NULL) AS sparse")
+    cols = ["a", "b", "sparse"]
+    filled = rows.na.fill(0.0, cols)
+    fitted = lambda model: model.stages[-1].summary.predictions.count()
+    assert fitted(md.train(rows, cols, "logistic", "y", maxIter=3)) == rows.count()
+    staged, want = md.train_staged(rows, cols, maxIter=3), md.train_staged(filled, cols, maxIter=3)
+    assert fitted(staged["move"]) == rows.count() and fitted(staged["side"]) == rows.where("big_move = 1").count()
+    assert md.score_staged(staged, filled).orderBy("ts").collect() == md.score_staged(want, filled).orderBy("ts").collect()
+    assert md.lasso_select(rows, cols, "y", 0.001) == md.lasso_select(filled, cols, "y", 0.001) != {}
+    assert md.recursive_elimination(rows, cols, "y", 2, trees=3) == md.recursive_elimination(filled, cols, "y", 2, trees=3)
+    assert md.univariate_select(rows, cols, "y", 2) == md.univariate_select(filled, cols, "y", 2)
