@@ -1,7 +1,9 @@
 """Benchmark leaks, also of questions whose numbers, names or units were changed.
 
-Texts are brought to a template: numbers, names (a capitalised word after a lower-case word or a comma) and units after a number become typed
-placeholders, everything else is lower case without punctuation.  Windows of ``WIDTH`` template words with at least two plain words
+Texts are brought to a template: numbers, names and units after a number become typed placeholders, everything else is lower case without punctuation.
+A name is a capitalised word after a lower-case word or a comma and, wherever else it stands (first in a sentence, line, quotation or text), a capitalised
+word that is no common word.  Common words are those that the benchmark begins such places with but writes in lower case more often than as names; the
+same ones hold for items and documents.  Windows of ``WIDTH`` template words with at least two plain words
 are hashed; the documents' distinct hashes are joined with the benchmark's.  A pair whose document holds ``SHARE`` of the item's distinct windows
 is then checked word by word: matched windows that lie on one diagonal (equal shift between the two texts) must fill each of the item's slot
 values with one value throughout; diagonals that don't are dropped and the share is taken again.
@@ -16,6 +18,8 @@ an empty table on either side gives an empty result; other columns are ignored (
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +30,38 @@ SHARE = 0.8
 PLAIN = 2
 BROADCAST_ROWS = 500_000
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+MID_NAME = r"(?<=[\p{Ll},] )\p{Lu}[\p{Ll}]+(?![\p{L}])"
+ANY_NAME = f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{NAME}])\\p{{Lu}}\\p{{Ll}}+(?!\\p{{L}})"
 #: units of measure and currency that may follow a number
 UNITS = ("mg", "g", "kg", "t", "lb", "lbs", "oz", "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "inch", "inches", "foot", "feet", "yards", "miles", "metres",
          "meters", "ml", "l", "litres", "liters", "gallons", "ms", "s", "sec", "seconds", "min", "minutes", "h", "hours", "days", "weeks", "months",
          "years", "percent", "dollars", "euros", "pounds", "cents", "usd", "eur", "gbp", "degrees", "mph", "kmh", "w", "kw", "v", "hz", "kb", "mb", "gb")
 
 
-def _marked(text: Column, values: bool) -> Column:
+def common_words(benchmark: DataFrame) -> list[str]:
+    """Capitalised words of the benchmark that are in lower case more often than capitalised after a lower-case word or a comma."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    seen = [F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in (MID_NAME, ANY_NAME, r"(?<!\p{L})\p{Ll}+(?!\p{L})")]
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), words.alias("words")) for k, words in enumerate(seen)))
+    words = benchmark.select(F.inline(kinds)).select("kind", F.explode("words").alias("word"))
+    counts = words.groupBy(F.lower("word").alias("word")).agg(*(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(3)))
+    return sorted(r["word"].capitalize() for r in counts.filter("k1 > 0 AND k2 > k0").select("word").collect())
+
+
+def _marked(text: Column, values: bool, common: Sequence[str]) -> Column:
     """The template as one string, placeholders alone or each followed by the value it stands for."""
     value = "$0" if values else ""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001\u0002\u0003]", " ")
     t = F.regexp_replace(t, r"(?<=[0-9])[.,:/](?=[0-9])", "")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},] )\p{Lu}[\p{Ll}]+(?![\p{L}])", NAME + value)
+    t = F.regexp_replace(t, MID_NAME, NAME + value)
+    t = F.regexp_replace(t, (f"(?=\\p{{Lu}})(?!(?:{'|'.join(common)})(?!\\p{{L}}))" if common else "") + ANY_NAME, NAME + value)
     t = F.regexp_replace(t, "[0-9]+", f" {NUMBER}{value} ")
     after = f"({NUMBER}{'[0-9]+' if values else ''} +)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])"
     return F.regexp_replace(F.lower(t), after, f"$1{UNIT}{'$2' if values else ''}")
 
 
-def template_words(text: Column, values: bool = False) -> Column:
-    return F.array_remove(F.split(_marked(text, values), "[^\\p{L}\\p{M}\\p{N}\u0001\u0002\u0003]+"), "")
+def template_words(text: Column, values: bool = False, common: Sequence[str] = ()) -> Column:
+    return F.array_remove(F.split(_marked(text, values, common), "[^\\p{L}\\p{M}\\p{N}\u0001\u0002\u0003]+"), "")
 
 
 def _windows(words: Column, of, width: int = WIDTH) -> Column:
@@ -71,10 +88,10 @@ def _value(word: Column) -> Column:
     return F.when(F.substring(word, 1, 1).isin(NUMBER, NAME, UNIT), word)
 
 
-def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def item_windows(benchmark: DataFrame, width: int = WIDTH, common: Sequence[str] = ()) -> DataFrame:
     """(item, hash, n): the distinct windows of each item that have enough plain words, and how many the item has."""
     rows = pick(benchmark, item_id="long", text="string").withColumn("item", F.struct("item_id", F.xxhash64("text").alias("text_hash")))
-    words = rows.select("item", template_words(F.col("text")).alias("words"))
+    words = rows.select("item", template_words(F.col("text"), common=common).alias("words"))
 
     def eligible(i: Column, w: list[Column]) -> Column:
         plain = sum((F.when(x.isNotNull() & ~x.isin(NUMBER, NAME, UNIT), 1).otherwise(0) for x in w), F.lit(0))
@@ -84,18 +101,18 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return hashes.select("item", F.size("hs").alias("n"), F.explode("hs").alias("hash")).distinct()
 
 
-def _candidates(docs: DataFrame, items: DataFrame, share: float, width: int) -> DataFrame:
+def _candidates(docs: DataFrame, items: DataFrame, share: float, width: int, common: Sequence[str]) -> DataFrame:
     """(doc, item, n) pairs that share enough window hashes; doc is (doc_id, text_hash)."""
     rows = pick(docs, doc_id="long", text="string")
     hashes = rows.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc"),
-                         F.explode(F.array_distinct(window_hashes(template_words(F.col("text")), width))).alias("hash"))
+                         F.explode(F.array_distinct(window_hashes(template_words(F.col("text"), common=common), width))).alias("hash"))
     found = hashes.join(broadcast_bounded(items, BROADCAST_ROWS), "hash")
     return found.groupBy("doc", "item", "n").agg(F.count_distinct("hash").alias("k")).filter(F.col("k") >= share * F.col("n")).drop("k")
 
 
-def _window_rows(df: DataFrame, key: str, width: int) -> DataFrame:
+def _window_rows(df: DataFrame, key: str, width: int, common: Sequence[str]) -> DataFrame:
     """(key, at, hash, values): every window with the marked slot values at its positions (null for plain words)."""
-    words = df.select(key, template_words(F.col("text"), values=True).alias("words"))
+    words = df.select(key, template_words(F.col("text"), values=True, common=common).alias("words"))
     window = _windows(F.col("words"), lambda i, w: F.struct(i.alias("at"), F.xxhash64(*(_kind(x) for x in w)).alias("hash"),
                                                             F.array(*(_value(x) for x in w)).alias("values")), width)
     return words.select(key, F.explode(window).alias("w")).select(key, "w.*")
@@ -103,15 +120,16 @@ def _window_rows(df: DataFrame, key: str, width: int) -> DataFrame:
 
 def leaked_pairs(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, width: int = WIDTH) -> DataFrame:
     """doc_id, text_hash, item_id, n_windows, n_matched, containment, n_changed (slots filled with other values) per leaked pair."""
-    items = settle(item_windows(benchmark, width))
-    pairs = settle(_candidates(docs, items, share, width))
+    common = common_words(benchmark)
+    items = settle(item_windows(benchmark, width, common))
+    pairs = settle(_candidates(docs, items, share, width, common))
     rows = pick(docs, doc_id="long", text="string").withColumn("doc", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
     wanted = broadcast_bounded(pairs.select("doc").distinct(), BROADCAST_ROWS)
     same = rows["doc"]["doc_id"].eqNullSafe(wanted["doc"]["doc_id"]) & (rows["doc"]["text_hash"] == wanted["doc"]["text_hash"])
     texts = rows.join(wanted, same, "left_semi").select("doc", "text").dropDuplicates(["doc"])
     tests = pick(benchmark, item_id="long", text="string").select(F.struct("item_id", F.xxhash64("text").alias("text_hash")).alias("item"), "text").dropDuplicates(["item"])
-    ours = _window_rows(texts, "doc", width).join(pairs, "doc")
-    theirs = _window_rows(tests, "item", width).select("item", "hash", F.col("at").alias("item_at"), F.col("values").alias("item_values"))
+    ours = _window_rows(texts, "doc", width, common).join(pairs, "doc")
+    theirs = _window_rows(tests, "item", width, common).select("item", "hash", F.col("at").alias("item_at"), F.col("values").alias("item_values"))
     theirs = theirs.join(items.select("item", "hash"), ["item", "hash"], "left_semi")
     hits = ours.join(theirs, ["item", "hash"]).withColumn("shift", F.col("at") - F.col("item_at"))
     slots = F.filter(F.arrays_zip("item_values", "values"), lambda s: s["item_values"].isNotNull())
