@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from . import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, url_filter, warc
-from .common import words_in
+from . import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, token_files, url_filter, warc
+from .common import shared_folder, words_in
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -92,3 +92,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_folder(spark, 'tokens')}/ids"
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.ids_digest(token_files.read_tokens(spark, path))
