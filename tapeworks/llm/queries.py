@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from . import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, token_files, url_filter, warc
+from . import decontamination, line_dedup, mixing, periodic_runs, pii, quality_classifier, quality_rules, sharding, simhash, token_files, url_filter, warc, whitening
 from .common import shared_folder, words_in
 from .oracles import ORACLES
 
@@ -94,6 +94,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(vectors, whitening.fit(vectors, components=4))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), periodic_runs.with_planted_period)
+
+
 @query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
