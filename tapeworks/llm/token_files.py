@@ -10,7 +10,7 @@ decoding them.  A file row holds
 and the number of ids before a document is its file's base plus ``local_start``.  Bases come from one row per file (``file_bases``): no id is
 counted twice, no running sum leaves its task.
 
-The library encodes every distinct chunk of a text once per worker.  A chunk ends where a blank or line feed follows another character; the
+Every distinct chunk of the texts is encoded once per worker, as long as it stays in the worker's store of recent chunks.  A chunk ends where a blank or line feed follows another character; the
 byte-level pattern never crosses such a place, so the ids of a text are those of its chunks in sequence.  Texts that hold other white space or
 the text of an added token are encoded in one piece.
 
@@ -29,6 +29,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,15 +39,18 @@ from .common import broadcast_bounded, map_arrow, pick
 SCHEMA = "part long, doc_id long, local_start long, n_tokens long, ids array<int>"
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-CACHED_CHUNKS = 1_000_000
-BATCH_IDS = 4_000_000
+CACHED_CHUNKS = 250_000
+BATCH_BYTES = 4 << 20
 FILE_ROWS = 500_000
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class Encoder:
-    """Ids of whole texts, with the ids of chunks kept for reuse (``CACHED_CHUNKS`` at most)."""
+    """Ids of whole texts, with the ids of chunks kept for reuse: two generations of ``CACHED_CHUNKS`` and those of one call at most.
+
+    Chunks met for the first time are encoded as one joined text, whose ids are cut where the bytes of a chunk end.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,60 +59,73 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known: dict[str, list[int]] = {}
-
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def __call__(self, text: str) -> list[int]:
-        if _OTHER_SPACE.search(text) or (self.added and self.added.search(text)):
-            return self._plain(text)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: its characters stand for one byte each
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks that begin with a blank or line feed and end with another character don't meet when joined."""
+        inner = [c for c in chunks if c[0] in " \n" and c[-1] not in " \n"]
+        for c in chunks:
+            if c[0] not in " \n" or c[-1] in " \n":
+                self.known[c] = self._plain(c)
+        joined = ["".join(inner[i : i + 256]) for i in range(0, len(inner), 256)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(c.encode()) for c in inner])) + 1
+        data, at = ids.tobytes(), 0
+        for c, end in zip(inner, (4 * ends).tolist()):
+            self.known[c], at = data[at:end], end
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [None if _OTHER_SPACE.search(t) or (self.added and self.added.search(t)) else _CHUNK.findall(t) for t in texts]
         if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        known, out = self.known, []
-        for chunk in _CHUNK.findall(text):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._plain(chunk)
-                if len(chunk) <= 64:
-                    known[chunk] = ids
-            out += ids
-        return out
-
-
-@lru_cache(maxsize=2)
+            self.known, self.older = {}, self.known
+        new = set()
+        for chunks in cut:
+            if chunks:
+                new.update(chunks)
+        new.difference_update(self.known)
+        met = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in met)
+        self._learn(list(new - met))
+        ids = self.known.__getitem__
+        return [np.frombuffer(self._plain(t) if chunks is None else b"".join(map(ids, chunks)), np.int32) for t, chunks in zip(texts, cut)]
+
+
+@lru_cache(maxsize=1)
 def _encoder(name: str) -> Encoder:
     return Encoder(SparkFiles.get(name))
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``BATCH_BYTES`` of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES)))
+        yield at, until
+        at = until
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], name: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows of one range in order -> rows of its file; the number of ids so far is all that is kept between batches."""
     encode, part, before = _encoder(name), TaskContext.get().partitionId(), 0
-    schema = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-
-    def batch_of(doc_ids, ends, ids):
-        nonlocal before
-        offsets = np.concatenate(([0], ends)).astype(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-        starts = offsets[:-1] + before
-        before += int(offsets[-1])
-        columns = [pa.array(np.full(len(doc_ids), part)), pa.array(doc_ids, pa.int64()), pa.array(starts), pa.array(np.diff(offsets)), lists]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
-
+    end = np.array([end_id], np.int32)
     for batch in batches:
-        doc_ids, ends, ids, total = [], [], [], 0
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            one = encode(text.as_py() or "")
-            one = np.array([*one, end_id], np.int32)
-            if total and total + len(one) > BATCH_IDS:
-                yield batch_of(doc_ids, ends, ids)
-                doc_ids, ends, ids, total = [], [], [], 0
-            total += len(one)
-            doc_ids.append(doc_id)
-            ends.append(total)
-            ids.append(one)
-        if doc_ids:
-            yield batch_of(doc_ids, ends, ids)
+        for a, b in _slices(batch.column("text")):
+            ids = encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
+            sizes = np.array([len(x) + 1 for x in ids])
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([y for x in ids for y in (x, end)]), pa.int32()))
+            columns = [pa.array(np.full(b - a, part)), batch.column("doc_id").slice(a, b - a), pa.array(offsets[:-1] + before), pa.array(sizes), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "local_start", "n_tokens", "ids"])
+            before += int(offsets[-1])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, files: int | None = None, stripe_bytes: int = STRIPE_BYTES,

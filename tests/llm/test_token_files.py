@@ -6,23 +6,41 @@ import numpy as np
 import public_tokenizers
 import pytest
 from corpus_cases import awkward, docs_of
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tapeworks.llm import token_files
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+ENCODER = token_files.Encoder(VOCABULARY)
+PLAIN = Tokenizer.from_file(VOCABULARY)
 ODD = ["  two  blanks \n\n and\tTabs\r\n", "a b c　d", "x<|endoftext|>y", "don't we'll 12 3.4 ???", "\n", " ", "tail \n ", "ünï €uro 日本 語", "a \n\n b\n \n c", "\x1c x \x85 y"]
 
 
 def expected(rows):
-    plain = Tokenizer.from_file(VOCABULARY)
-    return [(i, [*plain.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
+    return [(i, [*PLAIN.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
 
 
 def test_chunks_encode_like_whole_texts():
     encode = token_files.Encoder(VOCABULARY)
     texts = ODD + [r[1] or "" for r in awkward()]
-    assert [encode(t) for t in texts] == [ids[:-1] for _, ids in expected([(0, t) for t in texts])]
+    want = [ids[:-1] for _, ids in expected([(0, t) for t in texts])]
+    assert [x.tolist() for x in encode(texts)] == want
+    assert [encode([t])[0].tolist() for t in texts] == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'.,-12aé日"), st.characters(codec="utf-8")), max_size=40), max_size=5))
+def test_any_texts_encode_like_whole_texts(texts):
+    assert [x.tolist() for x in ENCODER(texts)] == [ids[:-1] for _, ids in expected([(0, t) for t in texts])]
+
+
+def test_a_full_store_drops_old_chunks(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_CHUNKS", 30)
+    encode = token_files.Encoder(VOCABULARY)
+    texts = [r[1] or "" for r in awkward()][:24]
+    assert [encode([t])[0].tolist() for t in texts] == [ids[:-1] for _, ids in expected([(0, t) for t in texts])]
 
 
 def test_round_trip_of_awkward_rows(spark, tmp_path):
