@@ -10,9 +10,9 @@ decoding them.  A file row holds
 and the number of ids before a document is its file's base plus ``local_start``.  Bases come from one row per file (``file_bases``): no id is
 counted twice, no running sum leaves its task.
 
-Every distinct chunk of the texts is encoded once per worker, as long as it stays in the worker's store of recent chunks.  A chunk ends where a blank or line feed follows another character; the
-byte-level pattern never crosses such a place, so the ids of a text are those of its chunks in sequence.  Texts that hold other white space or
-the text of an added token are encoded in one piece.
+Every distinct chunk of the texts is encoded once per worker, as long as it stays in the worker's store of recent chunks.  A chunk ends where a
+blank or line feed follows another character, or a sign of ASCII a letter or digit; the byte-level pattern never crosses such places, so the ids of
+a text are those of its chunks in sequence.  Texts that hold other white space or the text of an added token are encoded in one piece.
 
 Null and empty texts are the end id alone; a null doc_id comes before all others; rows of one doc_id follow each other by text hash, equal rows in
 any order; equal rows form one range however many they are (sorted with spilling, encoded batch by batch); an empty table gives an empty
@@ -22,7 +22,6 @@ result; other columns are ignored.  Ids of 2^31 and more don't fit the format an
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -39,17 +38,29 @@ from .common import broadcast_bounded, map_arrow, pick
 SCHEMA = "part long, doc_id long, local_start long, n_tokens long, ids array<int>"
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 1000
-CACHED_CHUNKS = 250_000
-BATCH_BYTES = 4 << 20
+CACHED_CHUNKS = 500_000
+BATCH_BYTES = 8 << 20
 FILE_ROWS = 500_000
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: white space other than blank and line feed
+_OTHER_SPACE = r"[\x{9}\x{b}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_KIND = np.zeros(256, np.uint8)  # 0: any other byte, 1: blank or line feed, 2: ASCII letter or digit, 3: other ASCII sign
+_KIND[33:127] = 3
+for _span in (b"az", b"AZ", b"09"):
+    _KIND[_span[0] : _span[1] + 1] = 2
+_KIND[[10, 32]] = 1
+_CUT = np.zeros((4, 4), bool)  # between which kinds a chunk ends
+_CUT[[0, 2, 3], 1] = _CUT[2, 3] = True
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class Encoder:
-    """Ids of whole texts, with the ids of chunks kept for reuse: two generations of ``CACHED_CHUNKS`` and those of one call at most.
+    """Ids of whole texts, with the ids of ``CACHED_CHUNKS`` chunks kept for reuse (when full, those of the last texts stay).
 
-    Chunks met for the first time are encoded as one joined text, whose ids are cut where the bytes of a chunk end.
+    Chunks met for the first time are encoded as joined texts, whose ids are cut where the bytes of a chunk end.
     """
 
     def __init__(self, path: str):
@@ -57,45 +68,80 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: its characters stand for one byte each
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks that begin with a blank or line feed and end with another character don't meet when joined."""
-        inner = [c for c in chunks if c[0] in " \n" and c[-1] not in " \n"]
-        for c in chunks:
-            if c[0] not in " \n" or c[-1] in " \n":
-                self.known[c] = self._plain(c)
-        joined = ["".join(inner[i : i + 256]) for i in range(0, len(inner), 256)]
-        ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
-        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(c.encode()) for c in inner])) + 1
-        data, at = ids.tobytes(), 0
-        for c, end in zip(inner, (4 * ends).tolist()):
-            self.known[c], at = data[at:end], end
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if _OTHER_SPACE.search(t) or (self.added and self.added.search(t)) else _CHUNK.findall(t) for t in texts]
+        # known chunks, where the ids of each begin (one more at the end), and all their ids
+        self.known, self.at, self.ids = pa.array([], pa.large_binary()), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each chunk begin (one more at the end), and all their ids."""
+        text = chunks.to_pylist()
+        # such chunks don't meet when joined: they begin with a blank or line feed and end with another character
+        joined = np.array([c[0] in b" \n" and c[-1] not in b" \n" for c in text], bool)
+        inner = chunks.filter(pa.array(joined))
+        groups = [b"".join(inner.slice(i, 256).to_pylist()).decode() for i in range(0, len(inner), 256)]
+        ids = np.array([i for x in self._plain(groups) for i in x], np.int32)
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(pc.binary_length(inner).to_numpy(zero_copy_only=False))) + 1
+        others = self._plain([c.decode() for c, j in zip(text, joined) if not j])
+        sizes = np.zeros(len(text), np.int64)
+        sizes[joined] = np.diff(ends, prepend=0)
+        sizes[~joined] = [len(x) for x in others]
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.empty(at[-1], np.int32)
+        out[_ranges(at[:-1][joined], sizes[joined])] = ids
+        out[_ranges(at[:-1][~joined], sizes[~joined])] = [i for x in others for i in x]
+        return at, out
+
+    def _ids_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for distinct chunks, from the store where it has them; the others enter it."""
+        place = pc.index_in(chunks, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = place < 0
+        if new.any():
+            fresh = chunks.filter(pa.array(new))
+            at, ids = self._encode_chunks(fresh)
+            place[new] = len(self.known) + np.arange(len(fresh))
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.at, self.ids = np.concatenate((self.at, self.at[-1] + at[1:])), np.concatenate((self.ids, ids))
+        sizes = self.at[place + 1] - self.at[place]
+        at, ids = np.concatenate(([0], np.cumsum(sizes))), self.ids[_ranges(self.at[place], sizes)]
         if len(self.known) > CACHED_CHUNKS:
-            self.known, self.older = {}, self.known
-        new = set()
-        for chunks in cut:
-            if chunks:
-                new.update(chunks)
-        new.difference_update(self.known)
-        met = new & self.older.keys()
-        self.known.update((c, self.older[c]) for c in met)
-        self._learn(list(new - met))
-        ids = self.known.__getitem__
-        return [np.frombuffer(self._plain(t) if chunks is None else b"".join(map(ids, chunks)), np.int32) for t, chunks in zip(texts, cut)]
+            self.known, self.at, self.ids = chunks, at, ids
+        return at, ids
+
+    def _in_chunks(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts whose white space is blanks and line feeds."""
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)
+        if not len(ends) or not ends[-1]:
+            return [np.zeros(0, np.int32)] * len(ends)
+        data = np.frombuffer(b"".join(t.as_buffer() for t in texts), np.uint8)
+        kind = _KIND[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = _CUT[kind[:-1], kind[1:]]
+        cut[ends] = cut[0] = True
+        offsets = np.nonzero(cut)[0]
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        at, ids = self._ids_of(chunks.dictionary)
+        place = chunks.indices.to_numpy(zero_copy_only=False)
+        sizes = np.diff(at)[place]
+        out = ids[_ranges(at[:-1][place], sizes)]
+        return np.split(out, np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(offsets, ends[:-1])])
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, _OTHER_SPACE)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        whole = whole.to_numpy(zero_copy_only=False)
+        plain = iter([np.array(x, np.int32) for x in self._plain(texts.filter(pa.array(whole)).to_pylist())])
+        cut = iter(self._in_chunks(texts.filter(pa.array(~whole))))
+        return [next(plain if w else cut) for w in whole.tolist()]
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +165,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], name: str, end_id: int) -> Itera
     end = np.array([end_id], np.int32)
     for batch in batches:
         for a, b in _slices(batch.column("text")):
-            ids = encode([t or "" for t in batch.column("text").slice(a, b - a).to_pylist()])
+            ids = encode(batch.column("text").slice(a, b - a))
             sizes = np.array([len(x) + 1 for x in ids])
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([y for x in ids for y in (x, end)]), pa.int32()))
@@ -142,7 +188,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, *, fil
     dealt = rows.repartitionByRange(files, *keys) if files else rows.repartitionByRange(*keys)
     ordered = dealt.sortWithinPartitions(*keys).select("doc_id", "text")
     encoded = ordered.mapInArrow(partial(_encoded, name=os.path.basename(tokenizer), end_id=end_id), SCHEMA)
-    (encoded.write.mode("overwrite").option("compression", "zstd").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_rows)
+    (encoded.write.mode("overwrite").option("compression", "lz4").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_rows)
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path))
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from corpus_cases import awkward, docs_of
@@ -26,21 +27,22 @@ def test_chunks_encode_like_whole_texts():
     encode = token_files.Encoder(VOCABULARY)
     texts = ODD + [r[1] or "" for r in awkward()]
     want = [ids[:-1] for _, ids in expected([(0, t) for t in texts])]
-    assert [x.tolist() for x in encode(texts)] == want
-    assert [encode([t])[0].tolist() for t in texts] == want
+    assert [x.tolist() for x in encode(pa.array(texts))] == want
+    assert [encode(pa.array([t]))[0].tolist() for t in texts] == want
+    assert [x.tolist() for x in encode(pa.array([None, "a", None]))] == [[], [64], []]
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from(" \n\t'.,-12aé日"), st.characters(codec="utf-8")), max_size=40), max_size=5))
 def test_any_texts_encode_like_whole_texts(texts):
-    assert [x.tolist() for x in ENCODER(texts)] == [ids[:-1] for _, ids in expected([(0, t) for t in texts])]
+    assert [x.tolist() for x in ENCODER(pa.array(texts, pa.string()))] == [ids[:-1] for _, ids in expected([(0, t) for t in texts])]
 
 
 def test_a_full_store_drops_old_chunks(monkeypatch):
     monkeypatch.setattr(token_files, "CACHED_CHUNKS", 30)
     encode = token_files.Encoder(VOCABULARY)
     texts = [r[1] or "" for r in awkward()][:24]
-    assert [encode([t])[0].tolist() for t in texts] == [ids[:-1] for _, ids in expected([(0, t) for t in texts])]
+    assert [encode(pa.array([t]))[0].tolist() for t in texts] == [ids[:-1] for _, ids in expected([(0, t) for t in texts])]
 
 
 def test_round_trip_of_awkward_rows(spark, tmp_path):
