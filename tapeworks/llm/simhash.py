@@ -37,6 +37,7 @@ SEARCH_DISTANCE = 8
 SHORT_WORD = 3
 SIMILAR_WIDTH, SIMILARITY = 5, 0.8
 CELL = 8192
+GROUP_HASHES = 8_000_000
 BROADCAST_ROWS = 500_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 EVEN = 0x5555555555555555
@@ -135,29 +136,51 @@ def cell_links(fp: np.ndarray, other: np.ndarray, distance: int = DISTANCE, othe
     return order[linked], order[label[linked]]
 
 
-def cell_pairs(fp: np.ndarray, other: np.ndarray, part: np.ndarray, distance: int, other_distance: int, every: bool, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (positions) that ``cell_links`` would link, of members of different parts: every one, or a spanning forest of them (closest others first)."""
+def cell_partners(fp: np.ndarray, other: np.ndarray, masks: list[int], distance: int, other_distance: int, rows: int = 256) -> np.ndarray:
+    """Positions of the members of a cell that ``_near`` links with another one that shares no cell of the grids in ``masks``: of a pair's common
+    cells only the first counts."""
     order = np.argsort(np.bitwise_count(fp), kind="stable")
-    part = part[order]
-    label = np.unique(part, return_inverse=True)[1]
+    fp, other = fp[order], other[order]
+    counts, found = segment_counts(fp), np.zeros(len(fp), bool)
+    for a, b, _ in _near(fp, other, distance, other_distance, rows):
+        apart = counts[a] ^ counts[b]
+        for m in masks:
+            first = (apart & np.uint64(m)) != 0
+            a, b, apart = a[first], b[first], apart[first]
+        found[a] = found[b] = True
+    return order[found]
+
+
+def set_links(hashes: np.ndarray, sizes: np.ndarray, near, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (positions) of the pairs of sets with a Jaccard similarity of ``similarity`` or more, among the pairs that ``near(i)`` (a mask
+    over the positions behind i) names.  ``hashes`` holds the sets one after the other; two empty sets are equal."""
+    k = len(sizes)
+    _, code, held = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = held[code] > 1  # no other member has the rest
+    code, owner = code[shared], np.repeat(np.arange(k), sizes)[shared]
+    starts = np.searchsorted(owner, np.arange(k + 1))
+    mark, label = np.zeros(len(held), bool), np.arange(k)
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for a, b, apart in _near(fp[order], other[order], distance, other_distance, rows):
-        if every:
-            keep = part[a] != part[b]
-            found.append((a[keep], b[keep]))
+    for i in range(k - 1):
+        later = np.arange(i + 1, k)
+        low, high = np.minimum(sizes[i], sizes[later]), np.maximum(sizes[i], sizes[later])
+        later = later[near(i) & (label[later] != label[i]) & ((high == 0) | (low / np.maximum(high, 1) >= similarity))]
+        if not len(later):
             continue
-        by = np.lexsort((b, apart, a))
-        a, b = a[by], b[by]
-        at, first = np.unique(a, return_index=True)
-        for r, s, e in zip(at.tolist(), first.tolist(), [*first[1:].tolist(), len(a)]):
-            roots, nearest = np.unique(label[b[s:e]], return_index=True)
-            new = roots != label[r]
-            if new.any():
-                ends = b[s:e][nearest[new]]
-                found.append((np.full(len(ends), r), ends))
-                label[np.isin(label, roots)] = label[r]
-    a, b = (np.concatenate(x) for x in zip(*found))
-    return order[a], order[b]
+        own = code[starts[i] : starts[i + 1]]
+        mark[own] = True
+        n = starts[later + 1] - starts[later]
+        at = np.repeat(starts[later] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.concatenate(([0], np.cumsum(mark[code[at]])))[np.concatenate(([0], np.cumsum(n)))]
+        mark[own] = False
+        common = np.diff(common)
+        union = sizes[i] + sizes[later] - common
+        later = later[(union == 0) | (common / np.maximum(union, 1) >= similarity)]
+        if len(later):
+            roots, first = np.unique(label[later], return_index=True)
+            found.append((np.full(len(first), i), later[first]))
+            label[np.isin(label, roots)] = label[i]
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _near(fp: np.ndarray, other: np.ndarray, distance: int, other_distance: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -176,13 +199,14 @@ def _near(fp: np.ndarray, other: np.ndarray, distance: int, other_distance: int,
         keep = a < b
         a, b = a[keep] + i, b[keep] + i
         apart = np.bitwise_count(other[a] ^ other[b])
+        apart = apart.sum(axis=1) if apart.ndim > 1 else apart
         exact = (np.bitwise_count(fp[a] ^ fp[b]) <= distance) & (apart <= other_distance)
         yield a[exact], b[exact], apart[exact]
 
 
-def _cell_worker(find, more: tuple[str, ...] = ()):
-    """Batches sorted by (cell, block) to links found by ``find`` (fp, other and ``more`` columns of a cell to positions): runs of equal keys are cells;
-    the last one waits for the next batch."""
+def _cell_worker(find):
+    """Batches sorted by (cell, block) to links found by ``find`` (fp and other of a cell to positions): runs of equal keys are cells; the last one
+    waits for the next batch."""
 
     def links(cell, block, node, *columns, last: bool):
         change = np.nonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]))[0] + 1
@@ -209,9 +233,9 @@ def _cell_worker(find, more: tuple[str, ...] = ()):
 
         for batch in batches:
             if batch.num_rows:
-                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "node", "fp", "other", *more)]
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "node", "fp", "other")]
                 same = held and held[0][0][0] == cols[0][-1] and held[0][1][0] == cols[1][-1]
-                held.append((*cols[:3], cols[3].view(np.uint64), cols[4].view(np.uint64), *cols[5:]))
+                held.append((*cols[:3], cols[3].view(np.uint64), cols[4].view(np.uint64)))
                 if not same:
                     yield from emit(last=False)
         if held:
@@ -222,34 +246,103 @@ def _cell_worker(find, more: tuple[str, ...] = ()):
 
 def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE, other_distance: int = 64, cell: int = CELL, agreeing: int = 1) -> DataFrame:
     """Links (a, b) that connect exactly the nodes (columns node, fp, other; one row each) that ``cell_links`` links."""
-    return _in_cells(nodes, lambda fp, other: cell_links(fp, other, distance, other_distance), distance, cell, agreeing)
-
-
-def proposed_pairs(nodes: DataFrame, distance: int, other_distance: int, every: bool, cell: int = CELL, agreeing: int = 1) -> DataFrame:
-    """Distinct pairs (a < b) of the nodes (columns node, fp, other, part) that ``cell_pairs`` finds in any cell."""
-    find = lambda fp, other, part: cell_pairs(fp, other, part, distance, other_distance, every)
-    pairs = _in_cells(nodes, find, distance, cell, agreeing, ("part",))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    masks = grid_masks(axes_for(nodes.count(), distance, agreeing), distance)
+    grouped = _in_cells(nodes, masks, cell, ())
+    return grouped.select("cell", "block", "node", "fp", "other").mapInArrow(_cell_worker(lambda fp, other: cell_links(fp, other, distance, other_distance)), "a long, b long")
 
 
-def _in_cells(nodes: DataFrame, find, distance: int, cell: int, agreeing: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b) of every pair that ``find`` returns for the members of a cell, cells too large cut into pairs of blocks."""
-    masks = grid_masks(axes_for(nodes.count(), distance, agreeing), distance)
+def _in_cells(nodes: DataFrame, masks: list[int], cell: int, more: tuple[str, ...]) -> DataFrame:
+    """One row a node and cell (grid, cell, block, and the node's columns), cells too large cut into pairs of blocks, each cell in one sorted stretch."""
     fp = F.col("fp")
     next_bit = F.shiftrightunsigned(fp, 1)
     ones, twos = fp.bitwiseXOR(next_bit).bitwiseAND(F.lit(EVEN)), fp.bitwiseAND(next_bit).bitwiseAND(F.lit(EVEN))
     counts = ones.bitwiseOR(F.shiftleft(twos, 1))
     cells = F.array(*(F.xxhash64(F.lit(i), counts.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)))
-    rows = nodes.select("node", "fp", "other", *more, F.explode(cells).alias("cell"))
-    large = settle(rows.groupBy("cell").agg(F.count("*").alias("k")).filter(F.col("k") > cell)
-                   .select("cell", F.ceil(F.col("k") * 2 / cell).cast("int").alias("n")))
+    rows = nodes.select("node", "fp", "other", *more, F.posexplode(cells).alias("grid", "cell"))
+    large = settle(_split_counts(rows.groupBy("cell").agg(F.count("*").alias("k")), cell, "cell"))
+    placed = _in_blocks(rows, large, "cell")
+    return placed.repartition("cell", "block").sortWithinPartitions("cell", "block")
+
+
+def _split_counts(groups: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """Groups (``keys`` and their weight k) beyond the limit, with the number n of blocks to cut them into: two blocks meet in a task."""
+    return groups.filter(F.col("k") > limit).select(*keys, F.ceil(F.col("k") * 2 / limit).cast("int").alias("n"))
+
+
+def _in_blocks(rows: DataFrame, large: DataFrame, *keys: str) -> DataFrame:
+    """rows with a block: 0, or in large groups one row for every pair of blocks (i <= j, as i * n + j) that holds the node's own."""
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
-    # block pairs (i <= j) of a large cell, as i * n + j
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(own, j) * F.col("n") + F.greatest(own, j))
     block = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(pairs)
-    placed = rows.join(broadcast_bounded(large, BROADCAST_ROWS), "cell", "left").select("cell", "node", "fp", "other", *more, F.explode(block).alias("block"))
-    grouped = placed.repartition("cell", "block").sortWithinPartitions("cell", "block")
-    return grouped.select("cell", "block", "node", "fp", "other", *more).mapInArrow(_cell_worker(find, more), "a long, b long")
+    joined = rows.join(broadcast_bounded(large, BROADCAST_ROWS), list(keys), "left")
+    return joined.select(*rows.columns, F.explode(block).alias("block"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...], listed: str | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of every run of equal keys with two rows or more, of batches sorted by the keys; of a list column its sizes and its values in sequence."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def runs(last: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        cols = [np.concatenate(x) for x in zip(*held)]
+        n = len(cols[0])
+        new = np.zeros(n - 1, bool)
+        for c in cols[: len(keys)]:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.nonzero(new)[0] + 1).tolist(), n]
+        until = len(cuts) - 1 if last else len(cuts) - 2
+        offsets = np.concatenate(([0], np.cumsum(cols[len(keys) + len(columns)]))) if listed else None
+        for s, e in zip(cuts[:until], cuts[1 : until + 1]):
+            if e - s > 1:
+                out = [c[s:e] for c in cols[len(keys) : len(keys) + len(columns)]]
+                yield (*out, cols[-2][s:e], cols[-1][offsets[s] : offsets[e]]) if listed else tuple(out)
+        tail = cuts[until]
+        held[:] = [] if last else [(*(c[tail:] for c in cols[: len(keys) + len(columns) + bool(listed)]), *((cols[-1][offsets[tail] :],) if listed else ()))]
+
+    for batch in batches:
+        if batch.num_rows:
+            more = ()
+            if listed:
+                values = batch.column(listed)
+                more = (np.diff(values.offsets.to_numpy()), values.flatten().to_numpy(zero_copy_only=False))
+            cols = (*(batch.column(c).to_numpy(zero_copy_only=False) for c in (*keys, *columns)), *more)
+            same = held and all(held[-1][i][-1] == cols[i][-1] for i in range(len(keys)))
+            held.append(cols)
+            if not same:
+                yield from runs(last=False)
+    if held:
+        yield from runs(last=True)
+
+
+def _batches(found: Iterator[tuple[np.ndarray, ...]], names: list[str], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Small results put together."""
+    held, n = [], 0
+    for columns in found:
+        held.append(columns)
+        n += len(columns[0])
+        if n >= rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+            held, n = [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+
+
+def proposed_groups(nodes: DataFrame, distance: int, other_distance: int, cell: int = CELL) -> DataFrame:
+    """(cell, block, node): for every pair of nodes (columns node, fp, other, far) within both distances the first cell that holds both, with all such nodes.
+
+    Pairs stay in the task that compares them, so a cell gives one row a member at most.
+    """
+    masks = grid_masks(axes_for(nodes.count(), distance, 2), distance)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for key, block, grid, node, fp, other, far in _groups(batches, ("cell", "block"), ("cell", "block", "grid", "node", "fp", "other", "far")):
+            prints = np.stack((other.view(np.uint64), far.view(np.uint64)), axis=1)
+            at = cell_partners(fp.view(np.uint64), prints, masks[: int(grid[0])], distance, other_distance)
+            if len(at):
+                yield key[at], block[at], node[at]
+
+    names = ["cell", "block", "node"]
+    rows = _in_cells(nodes, masks, cell, ("far",)).select("cell", "block", "grid", "node", "fp", "other", "far")
+    return rows.mapInArrow(lambda batches: _batches(found(batches), names), "cell long, block int, node long")
 
 
 def _nodes(prints: DataFrame) -> DataFrame:
@@ -277,50 +370,86 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE)
     return _classes(prints, nodes, fingerprint_links(nodes, distance))
 
 
-def shingle_sets(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(member, shingles): the distinct hashes of the shingles of every text (by its hash) that is in a pair."""
+def _far(h: np.ndarray) -> int:
+    """A second fingerprint of the same hashes, independent of the first."""
+    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return _majority(mixed ^ (mixed >> np.uint64(32)))
+
+
+def _search_prints(words: list[bytes], width: int) -> tuple[int, int, int, np.ndarray]:
+    """Fingerprint of the distinct words, two fingerprints of the shingles, and the shingles' hashes."""
+    h = _hashes(words, width)
+    return _majority(_hashes(words, 0)), _majority(h), _far(h), h
+
+
+def search_prints(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """doc_id, text_hash, fp, other and far of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column("text").to_pylist()]
-        return pa.table([batch.column("member"), pa.array(sets, pa.list_(pa.int64()))], names=["member", "shingles"])
+        prints = [_search_prints(t.encode().translate(LOWER).split() if t else [], width)[:3] for t in batch.column("text").to_pylist()]
+        fps = [pa.array(c, pa.int64()) for c in (zip(*prints) if prints else [[]] * 3)]
+        return pa.table([batch.column("doc_id"), batch.column("text_hash"), *fps], names=["doc_id", "text_hash", "fp", "other", "far"])
+
+    rows = pick(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
+    return map_arrow(rows, run, "doc_id long, text_hash long, fp long, other long, far long")
+
 
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct())
-    rows = pick(docs, text="string").withColumn("member", F.xxhash64("text"))
-    texts = rows.join(broadcast_bounded(wanted, BROADCAST_ROWS), "member", "left_semi").dropDuplicates(["member"])
-    return map_arrow(texts.select("member", "text"), run, "member long, shingles array<long>")
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, fp, other, far and shingles (their distinct hashes) of every text whose hash is a node of ``wanted``."""
 
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        prints = [_search_prints(t.encode().translate(LOWER).split() if t else [], width) for t in batch.column("text").to_pylist()]
+        fps = [pa.array(c, pa.int64()) for c in (list(zip(*prints))[:3] if prints else [[]] * 3)]
+        sets = pa.array([np.unique(p[3]).view(np.int64) for p in prints], pa.list_(pa.int64()))
+        return pa.table([batch.column("node"), *fps, sets], names=["node", "fp", "other", "far", "shingles"])
+
+    rows = pick(docs, text="string").withColumn("node", F.xxhash64("text"))
+    texts = rows.join(broadcast_bounded(wanted, BROADCAST_ROWS), "node", "left_semi").dropDuplicates(["node"])
+    return map_arrow(texts.select("node", "text"), run, "node long, fp long, other long, far long, shingles array<long>")
+
+
+def verified_links(docs: DataFrame, groups: DataFrame, distance: int, other_distance: int, width: int, similarity: float, hashes: int = GROUP_HASHES) -> DataFrame:
+    """Links (a, b; text hashes) that connect exactly the texts of a group (cell, block, node) that lie within both distances and whose sets of
+    shingles have a Jaccard similarity of ``similarity`` or more: a spanning forest of each group, compared in groups of ``hashes`` shingles."""
+    keys = ("cell", "part")
+    sets = settle(shingle_sets(docs, settle(groups.select("node").distinct()), width))
+    rows = groups.withColumnRenamed("block", "part")
+    weights = rows.join(sets.select("node", F.size("shingles").alias("m")), "node").groupBy(*keys).agg(F.sum("m").alias("k"))
+    placed = _in_blocks(rows, settle(_split_counts(weights, hashes, *keys)), *keys).join(sets, "node")
+    grouped = placed.repartition(*keys, "block").sortWithinPartitions(*keys, "block")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        columns = ("node", "fp", "other", "far")
+        for node, fp, other, far, sizes, values in _groups(batches, (*keys, "block"), columns, "shingles"):
+            fp, prints = fp.view(np.uint64), np.stack((other.view(np.uint64), far.view(np.uint64)), axis=1)
+
+            def near(i: int, fp=fp, prints=prints) -> np.ndarray:
+                return (np.bitwise_count(fp[i] ^ fp[i + 1 :]) <= distance) & (np.bitwise_count(prints[i] ^ prints[i + 1 :]).sum(axis=1) <= other_distance)
+
+            a, b = set_links(values, sizes, near, similarity)
+            if len(a):
+                yield node[a], node[b]
 
-def verified_pairs(docs: DataFrame, pairs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b; text hashes) whose sets of shingles have a Jaccard similarity of ``similarity`` or more; two empty sets are equal."""
-    sets = settle(shingle_sets(docs, pairs, width))
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    counted = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("k"))
-    union = F.col("m") + F.col("n") - F.col("k")
-    return settle(counted.filter((union == 0) | (F.col("k") / F.nullif(union, F.lit(0)) >= similarity)).select("a", "b"))
+    rows = grouped.select(*keys, "block", "node", "fp", "other", "far", "shingles")
+    return rows.mapInArrow(lambda batches: _batches(found(batches), ["a", "b"]), "a long, b long")
 
 
 def similar_texts(docs: DataFrame, distance: int = SEARCH_DISTANCE, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The same columns for texts whose sets of shingles of ``width`` words have a Jaccard similarity of ``similarity`` or more.
 
     One changed word changes five five-word shingles, so fingerprints of such shingles lie 7 to 14 bits apart at a similarity of 0.8: too far for a
-    selective grid.  The search therefore runs on fingerprints of the distinct words, within ``distance`` bits, and only proposes pairs; fingerprints of
+    selective grid.  The search therefore runs on fingerprints of the distinct words, within ``distance`` bits, and only proposes pairs; two fingerprints of
     shingles that lie further apart than three standard deviations allow are left out.  Fingerprints of word sets crowd the cells of a single axis, so
-    two axes agree at least.  Every link is then verified on the sets themselves.
-
-    First a spanning forest of each cell's proposals is verified.  Where that leaves proposed texts apart, all proposals between the parts are verified
-    too, so the result is the components of all verified proposals while a group of k copies still makes O(k) rows.
+    two axes agree at least.  A pair is proposed in the first cell that holds both, and no pair is ever a row: the cell's task names the texts that have a
+    partner there, their sets are brought to the cell, and the proposed pairs are verified on the sets.  Only a spanning forest leaves the task, so
+    k texts of a cell give k rows at most, refused or not, and the result is the components of all verified proposals.
     """
-    odds = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    other = math.ceil(64 * odds + 3 * math.sqrt(64 * odds * (1 - odds)))
-    prints = settle(fingerprints(docs, fp=0, other=width)).withColumn("node", F.col("text_hash"))
-    nodes = _nodes(prints)
-    proposed = settle(proposed_pairs(nodes.withColumn("part", F.col("node")), distance, other, every=False, agreeing=2))
-    links = verified_pairs(docs, proposed, width, similarity)
-    parts = _rooted(_rooted(nodes, proposed, "reach"), links, "part")
-    torn = parts.groupBy("reach").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("reach")
-    rest = settle(parts.join(torn, "reach", "left_semi").select("node", "fp", "other", "part"))
-    more = settle(proposed_pairs(rest, distance, other, every=True, agreeing=2).join(proposed, ["a", "b"], "left_anti"))
-    return _classes(prints, nodes, links.unionByName(verified_pairs(docs, more, width, similarity)))
+    bits, odds = 128, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    other = math.ceil(bits * odds + 3 * math.sqrt(bits * odds * (1 - odds)))
+    prints = settle(search_prints(docs, width)).withColumn("node", F.col("text_hash"))
+    nodes = settle(prints.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "other", "far")), F.min("doc_id").alias("first_id")))
+    groups = settle(proposed_groups(nodes, distance, other))
+    return _classes(prints, nodes, settle(verified_links(docs, groups, distance, other, width, similarity)))
 
 
 def hex16(fp):

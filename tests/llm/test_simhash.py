@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from corpus_cases import CLASHING, awkward, docs_of, prose
 
@@ -109,13 +110,50 @@ def test_similar_texts_are_linked_on_their_shingles(spark):
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
     jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
     assert any(0.6 < jaccard(i, j) < 0.8 for i in range(60) for j in range(i)), "pairs that only the fingerprints take for copies"
-    fps = [(simhash.fingerprint(t, 0), simhash.fingerprint(t, 5)) for t in texts]
-    near = lambda i, j: ((fps[i][0] ^ fps[j][0]) % 2**64).bit_count() <= 8 and ((fps[i][1] ^ fps[j][1]) % 2**64).bit_count() <= 19
+    fps = [simhash._search_prints(t.encode().translate(simhash.LOWER).split(), 5)[:3] for t in texts]
+    bits = lambda i, j, c: ((fps[i][c] ^ fps[j][c]) % 2**64).bit_count()
+    near = lambda i, j: bits(i, j, 0) <= 8 and bits(i, j, 1) + bits(i, j, 2) <= 32
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs_of(spark, rows)).collect()}
     want = groups(len(texts), lambda i, j: near(i, j) and jaccard(i, j) >= 0.8)
     assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < len(texts)
 
 
+def refused_variants(k):
+    """k texts of 400 words with the same 14 places filled by words of their own: near in words, at 0.7 with each other."""
+    base = [f"{w}{i % 90}" for i, w in enumerate(" ".join(prose(400, 31).split()).split())]
+    return [" ".join(f"own{i}n{n}" if n % 28 == 5 else w for n, w in enumerate(base)) for i in range(k)]
+
+
+def test_refused_variants_make_no_pairs(spark):
+    rows, classes = {}, {}
+    for k in (100, 200, 400):
+        docs = docs_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(refused_variants(k))])
+        nodes = simhash.search_prints(docs).withColumnRenamed("text_hash", "node")
+        rows[k] = simhash.proposed_groups(nodes, 8, 32).count()
+        classes[k] = simhash.similar_texts(docs).select("root").distinct().count()
+    assert classes == {k: k for k in classes}
+    assert all(k / 4 < n <= 45 * k for k, n in rows.items()) and rows[400] <= 2.6 * rows[200]
+
+
+@pytest.mark.parametrize("hashes", [200, 8_000_000])
+def test_links_of_sets_equal_all_pairs(spark, hashes):
+    rng = np.random.default_rng(3)
+    texts = [""] + [" ".join(f"w{x}" for x in rng.integers(0, 40, 60)) for _ in range(8)]
+    for t in texts[1:5]:
+        w = t.split()
+        texts += [" ".join(w[: i * 3] + [f"n{i}"] + w[i * 3 + 1 :]) for i in range(1, 12)]
+    docs = docs_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    nodes = simhash.search_prints(docs).withColumnRenamed("text_hash", "node").collect()
+    groups_ = spark.createDataFrame([(1, 0, r["node"]) for r in nodes], "cell long, block int, node long")
+    links = simhash.verified_links(docs, groups_, 64, 128, 5, 0.8, hashes=hashes).collect()
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    of = {r["node"]: r["doc_id"] for r in nodes}
+    label = groups(len(texts), lambda i, j: not sets[i] and not sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
+    edges = {(of[r["a"]], of[r["b"]]) for r in links}
+    joined = groups(len(texts), lambda i, j: (i, j) in edges or (j, i) in edges)
+    assert joined == label and len(set(label)) < len(texts)
+
+
 def test_links_of_a_dense_cell_are_a_forest():
     fp = np.arange(2000, dtype=np.uint64)
     a, b = simhash.cell_links(fp, fp)
