@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecols import DAY_NS, event_time, idiv
 from .joins import attach_one_row
+from .jumps import orbit
 from .series import Frame, split_series
 
 SPLITS = ("train", "valid", "test")
@@ -103,31 +106,39 @@ def purged_folds(days: list[int], n_folds: int, purge_days: int = 0, method: str
     return folds
 
 
+MONTH = 30  # days that count as a month in walk-forward periods
+
+
 def walk_forward_periods(days: list[int], train_months: int, val_months: int, oos_months: int, step_months: int,
                          window: str = "rolling", start: int | None = None) -> list[dict]:
-    """Train, validation and out-of-sample day ranges; a month counts 30 days and ends snap to data days."""
-    def at(target: int, i: int) -> int | None:
-        return next((j for j in range(i, len(days)) if days[j] >= target), None)
-
-    i = next((j for j, d in enumerate(days) if start is None or d >= start), 0)
-    out: list[dict] = []
-    while True:
-        train_end = at(days[i] + 30 * train_months, i)
-        val_end = at(days[train_end] + 1 + 30 * val_months, train_end + 1) if train_end is not None else None
-        oos_end = at(days[val_end] + 1 + 30 * oos_months, val_end + 1) if val_end is not None else None
-        if oos_end is None:
-            break
-        oos_from = days[val_end] + 1
-        out.append({
-            "fold": len(out) + 1, "train_from": days[i], "train_to": days[train_end], "val_from": days[train_end] + 1,
-            "val_to": days[val_end], "oos_from": oos_from, "oos_to": days[oos_end]})
-        nxt = at((days[i] if window == "rolling" else oos_from) + 30 * step_months, i)
-        if nxt is None:
-            break
-        i = max(nxt, i + 1)
-        if i >= len(days):
-            break
-    return out
+    """Train, validation and out-of-sample day ranges; a month counts 30 days and ends snap to data days.
+
+    A table over the sorted days says for a period that begins on each of them where its parts end and when the next one begins (all by bisection);
+    the periods are the rows met from the first day on (or the first from ``start``), as long as all three parts end within the data.
+    """
+    table = pd.DataFrame({"train_from": np.asarray(days, np.int64)})
+    known, n = table["train_from"].to_numpy(), len(table)
+
+    def snapped(target: np.ndarray) -> np.ndarray:
+        """First data day at or after each target, as a position; n beyond the data (and for positions beyond it)."""
+        return np.searchsorted(known, target)
+
+    def ends(after: np.ndarray, months: int) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.append(known, np.iinfo(np.int64).max // 2)[after] + 1
+        return begin, snapped(begin + MONTH * months)
+
+    train_end = snapped(known + MONTH * train_months)
+    table["val_from"], val_end = ends(train_end, val_months)
+    table["oos_from"], oos_end = ends(val_end, oos_months)
+    origin = known if window == "rolling" else table["oos_from"].to_numpy()
+    following = np.maximum(snapped(origin + MONTH * step_months), np.arange(1, n + 1))
+    begins = [] if not n else orbit(np.append(following, n), int(snapped(np.array(start if start is not None else known[0]))) % n)
+    for name, end in (("train_to", train_end), ("val_to", val_end), ("oos_to", oos_end)):
+        table[name] = np.append(known, -1)[end]
+    whole = np.cumprod(oos_end[begins] < n).astype(bool) if len(begins) else []
+    met = table.iloc[begins][whole] if len(begins) else table
+    order = ["train_from", "train_to", "val_from", "val_to", "oos_from", "oos_to"]
+    return [{"fold": i + 1, **row} for i, row in enumerate(met[order].to_dict("records"))]
 
 
 def fold_rows(df: DataFrame, folds: list[dict]) -> DataFrame:

@@ -16,7 +16,9 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,6 +112,8 @@ class Frame:
         every place it is written; combinations that are not read are pruned by the optimizer.
         """
         windows = sorted(set(windows))
+        if not windows:
+            return self
         hist = self.w().rowsBetween(Window.unboundedPreceding, 0)
         f = self.with_cols(**{f"_val_{name}": F.col(x) if isinstance(x, str) else x for name, x in cols.items()})
         kinds = {name: f.df.schema[f"_val_{name}"].dataType for name in cols}
@@ -344,6 +348,7 @@ class Fold:
     """A state machine over the rows of one series.
 
     ``run(rows, state) -> (output rows, state)`` consumes a pandas frame sorted by the order columns.
+    ``exits(rows, states)`` gives the states that rows are left in, for many entry states at once (default: one run each).
     ``entries(rows, before)`` lists every state in which these rows can possibly be entered, given the
     ``lookback`` rows before them, and ``match(state, entries)`` picks the one that behaves like ``state``.  They are needed only for keys
     that are split: each segment is then run once per entry state, the segment results are chained on a
@@ -356,6 +361,10 @@ class Fold:
     entries: Callable[[pd.DataFrame, pd.DataFrame], list[str]]
     lookback: int = 0
     match: Callable[[str, list[str]], str] = lambda state, entries: state
+    exits: Callable[[pd.DataFrame, list[str]], list[str]] | None = None
+
+    def left_in(self, rows: pd.DataFrame, states: list[str]) -> list[str]:
+        return self.exits(rows, states) if self.exits else [self.run(rows, s)[1] for s in states]
 
 
 def fold_series(
@@ -393,7 +402,7 @@ def fold_series(
         states = fold.entries(rows, before) if len(rows) else []
         first = {c: pdf[c].iloc[0] for c in [*keys, _SEG]}
         return pd.DataFrame(
-            [{**first, "state_in": s, "state_out": fold.run(rows, s)[1]} for s in states],
+            [{**first, "state_in": a, "state_out": b} for a, b in zip(states, fold.left_in(rows, states), strict=True)],
             columns=[f.name for f in map_schema.fields],
         )
 
@@ -419,32 +428,62 @@ def fold_series(
     return core.groupBy(*keys, _SEG).applyInPandas(final, out_fields)
 
 
-def _scan(frame: Frame, update: Callable[[pd.DataFrame, list], list[list[float]]], out: list[str]) -> DataFrame:
+def affine_scan(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compositions of y -> a y + b up to every row, beginning anew on ``first`` rows: slopes, offsets, and whether a first row was passed.
+
+    The rows are cut into blocks side by side; products and sums run along all blocks at once, about sqrt(n) steps, and the block ends are
+    composed the same way.  Nothing is divided, so factors of zero and long products are harmless.
+    """
+    n = len(a)
+    deep = max(16, int(n**0.5))
+    wide = -(-n // deep)
+    pad = deep * wide - n
+
+    def blocks(x: np.ndarray, fill: float) -> np.ndarray:
+        return np.append(x, np.full(pad, fill, x.dtype)).reshape(wide, deep).T.copy()
+
+    slope, offset, new = blocks(a, 1.0), blocks(b, 0.0), blocks(first, False)
+    for j in range(1, deep):
+        offset[j] += np.where(new[j], 0.0, slope[j] * offset[j - 1])
+        slope[j] *= np.where(new[j], 1.0, slope[j - 1])
+        new[j] |= new[j - 1]
+    if wide > 1:
+        end_slope, end_offset, end_new = affine_scan(slope[-1], offset[-1], new[-1])
+        open_ = ~new[:, 1:]
+        offset[:, 1:] += np.where(open_, slope[:, 1:] * end_offset[:-1], 0.0)
+        slope[:, 1:] *= np.where(open_, end_slope[:-1], 1.0)
+        new[:, 1:] |= end_new[:-1]
+    return tuple(x.T.reshape(-1)[:n] for x in (slope, offset, new))
+
+
+def _scan(frame: Frame, reads: list[str], update: Callable[[np.ndarray, list[np.ndarray], list], list[np.ndarray]], out: list[str]) -> DataFrame:
     """Run a sequential update over every window partition, streaming through it batch by batch.
 
     The row number makes Spark deliver each partition's rows together and in order; it also tells where the
     next one starts, and is checked, so a plan that did not keep the order would fail rather than give
-    wrong values.  Only one batch is in memory at a time and there is no cost per group.
-    ``update(batch, carry)`` returns one list per output column and leaves its state in ``carry``.
+    wrong values.  Only one batch is in memory at a time and there is no cost per group; columns that are not read pass as they are.
+    ``update(first, columns, carry)`` returns one array per output column and leaves its state in ``carry``.
     """
     df = frame.df.where(frame.core) if frame.split else frame.df
     df = df.withColumn("_k", F.row_number().over(frame.w()))
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in out]])
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         carry: list = []
         last = 0
-        for rows in batches:
-            if rows.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            k = rows["_k"].to_numpy()
-            before = [last, *k[:-1]]
-            if not all(n == 1 or n == m + 1 for n, m in zip(k, before, strict=True)):
+            k = batch.column("_k").to_numpy(zero_copy_only=False)
+            first = k == 1
+            if not (first | (k == np.append(last, k[:-1]) + 1)).all():
                 raise RuntimeError("rows of a series arrived out of order")
             last = int(k[-1])
-            yield rows.assign(**dict(zip(out, update(rows, carry), strict=True)))
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in reads]
+            new = [pa.array(x, from_pandas=True) for x in update(first, columns, carry)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *out])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> Frame:
@@ -455,15 +494,14 @@ def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> Frame:
     before this, not after.
     """
 
-    def update(rows: pd.DataFrame, carry: list) -> list[list[float]]:
-        y, ys = carry[0] if carry else 0.0, []
-        for k, v in zip(rows["_k"].tolist(), rows[x].tolist(), strict=True):
-            y = v if k == 1 else alpha * v + (1 - alpha) * y
-            ys.append(y)
-        carry[:] = [y]
-        return [ys]
+    def update(first: np.ndarray, columns: list[np.ndarray], carry: list) -> list[np.ndarray]:
+        v = columns[0]
+        slope, offset, new = affine_scan(np.full(len(v), 1 - alpha), np.where(first, v, alpha * v), first)
+        y = np.where(new, offset, slope * (carry[0] if carry else 0.0) + offset)
+        carry[:] = [y[-1]]
+        return [y]
 
-    y = _scan(frame, update, ["_y"])
+    y = _scan(frame, [x], update, ["_y"])
     if not frame.split:
         return replace(frame, df=y.withColumnRenamed("_y", out).drop("_k"))
 
@@ -502,19 +540,15 @@ def affine_recurrence(frame: Frame, a: str, b: str, out: str) -> Frame:
     chained on their last slope and offset.  No division is involved, so it is stable for any factors.
     """
 
-    def update(rows: pd.DataFrame, carry: list) -> list[list[float]]:
-        slope, offset = carry or (1.0, 0.0)
-        slopes, offsets = [], []
-        for k, f, c in zip(rows["_k"].tolist(), rows[a].tolist(), rows[b].tolist(), strict=True):
-            if k == 1:
-                slope, offset = 1.0, 0.0
-            slope, offset = slope * f, offset * f + c
-            slopes.append(slope)
-            offsets.append(offset)
-        carry[:] = [slope, offset]
-        return [slopes, offsets]
-
-    y = _scan(frame, update, ["_slope", "_offset"])
+    def update(first: np.ndarray, columns: list[np.ndarray], carry: list) -> list[np.ndarray]:
+        slope, offset, new = affine_scan(*columns, first)
+        before, entry = carry or (1.0, 0.0)
+        offset = np.where(new, offset, slope * entry + offset)
+        slope = np.where(new, slope, slope * before)
+        carry[:] = [slope[-1], offset[-1]]
+        return [slope, offset]
+
+    y = _scan(frame, [a, b], update, ["_slope", "_offset"])
     if not frame.split:
         return replace(frame, df=y.withColumnRenamed("_offset", out).drop("_slope", "_k"))
     keys, df = list(frame.keys), frame.df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.mathcols import clip, div, flag
 from ..functions.timecols import DAY_NS, MINUTE_NS, SESSION_CLOSE, idiv, market_minute, utc_minute
 from .joins import attach_one_row, next_bar
+from .jumps import Holdings, first_offset, last_of, next_true, orbit
 from .quantiles import exact_percentiles
 from .series import Fold, fold_series
 
@@ -47,23 +49,48 @@ POSITION_FIELDS = T.StructType([
 
 def _position_fold(timeout: int) -> Fold:
     """Flat or holding for k bars: enter on ``_enter``, leave on ``_exit`` or after ``timeout`` bars."""
+    longest = max(timeout - 1, 1)
+
+    def machine(rows: pd.DataFrame) -> tuple[Holdings, Callable[[int], int]]:
+        enter, leave = (rows[c].to_numpy(bool) for c in ("_enter", "_exit"))
+        following = next_true(leave)
+        due = np.minimum(following[1:], np.arange(len(rows)) + longest)
+        # the exit row of a position that was held for k bars before these rows
+        return Holdings(enter, due), lambda k: int(min(following[0], max(timeout - k - 1, 0)))
 
     def run(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
-        held, helds, decisions = int(state), [], []
-        for enter, leave in zip(rows["_enter"].tolist(), rows["_exit"].tolist(), strict=True):
-            decision = "hold"
-            if held:
-                held += 1
-                if leave or held >= timeout:
-                    held, decision = 0, "exit"
-            elif enter:
-                held, decision = 1, "enter"
-            helds.append(held)
-            decisions.append(decision)
-        out = rows[["symbol", "ts"]].assign(bars_held=helds, decision=decisions)
-        return out.assign(signal=(out["bars_held"] > 0).astype("int32")), str(held)
-
-    return Fold(run, "0", lambda rows, before: [str(k) for k in range(max(timeout, 2))])
+        m, inherited = machine(rows)
+        out, left = _held_rows(m, int(state), inherited)
+        return rows[["symbol", "ts"]].assign(**out), str(left)
+
+    def exits(rows: pd.DataFrame, states: list[str]) -> list[str]:
+        m, inherited = machine(rows)
+        return [str(_left_holding(m, int(k), inherited)[0]) for k in states]
+
+    return Fold(run, "0", lambda rows, before: [str(k) for k in range(max(timeout, 2))], exits=exits)
+
+
+def _left_holding(m: Holdings, k: int, inherited: Callable[[int], int]) -> tuple[int, int]:
+    """(bars held after the last row, its entry row: n if flat, -1 if inherited) of a machine entered with k bars held."""
+    until = inherited(k) if k else -1
+    if until >= m.n:
+        return k + m.n, -1
+    e = m.last_entry(until + 1)
+    return (m.n - e, e) if e < m.n <= m.due[e] else (0, m.n)
+
+
+def _held_rows(m: Holdings, k: int, inherited: Callable[[int], int]) -> tuple[dict[str, np.ndarray], int]:
+    """Columns bars_held, decision and signal of a machine entered with k bars held, and the bars held after the last row."""
+    until = inherited(k) if k else -1
+    entries = m.entries(until + 1)
+    held = m.held(entries)
+    if k:
+        held[: min(until, m.n)] = k + 1 + np.arange(min(until, m.n))
+    decision = np.full(m.n, "hold", object)
+    left = np.append(m.due[entries], [until] if k else []).astype(np.int64)
+    decision[left[left < m.n]] = "exit"
+    decision[entries] = "enter"
+    return {"bars_held": held.astype(np.int32), "decision": decision, "signal": (held > 0).astype(np.int32)}, int(held[-1]) if m.n else k
 
 
 def _positions(bars: DataFrame, enter: Column, leave: Column, timeout: int, max_rows: int | None) -> DataFrame:
@@ -122,26 +149,44 @@ def model_vpa_signals(df: DataFrame, model: str = "model_score", threshold: floa
     rows = df.select("symbol", "ts", F.col(model).alias("_m"), score.alias("vpa_score"), count.cast("int").alias("active_patterns"))
     rows = rows.withColumn("combined_score", F.col("_m") * (1 - vpa_weight) + F.col("vpa_score") * vpa_weight)
 
+    longest = max(timeout - 1, 1)
+
+    def machine(rows: pd.DataFrame) -> tuple[Holdings, np.ndarray, np.ndarray, Callable[[float], Callable[[int], int]]]:
+        m, c = (rows[x].to_numpy(float) for x in ("_m", "combined_score"))
+        n = len(rows)
+        weak = m < threshold * 0.5
+        following = next_true(weak)
+        entered = np.nonzero(c >= threshold)[0]
+        due = np.full(n, n)
+        due[entered] = first_offset(entered, n, longest, lambda e, i: c[i] < c[e] * 0.7)
+        due = np.minimum(np.minimum(due, following[1:]), np.arange(n) + longest)
+
+        def inherited(entry: float) -> Callable[[int], int]:
+            lower = next_true(c < entry * 0.7)[0]
+            return lambda k: int(min(following[0], lower, max(timeout - k - 1, 0)))
+
+        return Holdings(c >= threshold, due), weak, c, inherited
+
     def run(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
-        held, entry = state.split("|")
-        held, entry = int(held), float(entry)
-        helds, decisions = [], []
-        for m, c in zip(rows["_m"].tolist(), rows["combined_score"].tolist(), strict=True):
-            decision = "hold"
-            if held:
-                if m < threshold * 0.5:
-                    decision = "exit_model"
-                elif c < entry * 0.7:
-                    decision = "exit_combined"
-                elif held + 1 >= timeout:
-                    decision = "exit_timeout"
-                held, entry = (held + 1, entry) if decision == "hold" else (0, 0.0)
-            elif c >= threshold:
-                held, entry, decision = 1, c, "enter"
-            helds.append(held)
-            decisions.append(decision)
-        out = rows[["symbol", "ts", "vpa_score", "combined_score", "active_patterns"]].assign(bars_held=helds, decision=decisions)
-        return out.assign(signal=(out["bars_held"] > 0).astype("int32")), f"{held}|{entry!r}"
+        k, entry = int(state.split("|")[0]), float(state.split("|")[1])
+        m, weak, c, inherited = machine(rows)
+        out, left = _held_rows(m, k, inherited(entry))
+        # what each exit row compares with: the score at the entry
+        entries = np.nonzero(out["decision"] == "enter")[0]
+        score = np.full(m.n, entry)
+        closing = m.due[entries]
+        score[closing[closing < m.n]] = c[entries[closing < m.n]]
+        why = np.where(weak, "exit_model", np.where(c < score * 0.7, "exit_combined", "exit_timeout"))
+        out["decision"] = np.where(out["decision"] == "exit", why, out["decision"])
+        return rows[["symbol", "ts", "vpa_score", "combined_score", "active_patterns"]].assign(**out), left_in(m, c, k, entry, inherited)
+
+    def left_in(m: Holdings, c: np.ndarray, k: int, entry: float, inherited: Callable[[float], Callable[[int], int]]) -> str:
+        left, at = _left_holding(m, k, inherited(entry))
+        return f"{left}|{entry!r}" if at == -1 else f"{left}|{float(c[at])!r}" if left else "0|0.0"
+
+    def exits(rows: pd.DataFrame, states: list[str]) -> list[str]:
+        m, _, c, inherited = machine(rows)
+        return [left_in(m, c, int(s.split("|")[0]), float(s.split("|")[1]), inherited) for s in states]
 
     def entries(rows: pd.DataFrame, before: pd.DataFrame) -> list[str]:
         # A position held k bars was entered k rows back, at that row's score.
@@ -149,7 +194,7 @@ def model_vpa_signals(df: DataFrame, model: str = "model_score", threshold: floa
         held = [f"{k}|{scores[-k]!r}" for k in range(1, min(timeout, len(scores) + 1)) if scores[-k] >= threshold]
         return ["0|0.0", *held]
 
-    return fold_series(rows, Fold(run, "0|0.0", entries, lookback=timeout), SCORED_FIELDS, max_rows=max_rows)
+    return fold_series(rows, Fold(run, "0|0.0", entries, lookback=timeout, exits=exits), SCORED_FIELDS, max_rows=max_rows)
 
 
 def cooldown(signals: DataFrame, minutes: int, max_rows: int | None = None) -> DataFrame:
@@ -157,14 +202,21 @@ def cooldown(signals: DataFrame, minutes: int, max_rows: int | None = None) -> D
     gap = minutes * MINUTE_NS
     schema = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.LongType())])
 
+    def machine(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, Callable[[str], int]]:
+        ts = rows["ts"].to_numpy(np.int64)
+        n = len(ts)
+        step = np.append(np.maximum(np.searchsorted(ts, ts + gap), np.arange(1, n + 1)), n)
+        return ts, step, lambda state: int(np.searchsorted(ts, int(state) + gap)) if state else 0
+
     def run(rows: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
-        last = int(state) if state else None
-        keep = []
-        for ts in rows["ts"].tolist():
-            ok = last is None or ts - last >= gap
-            keep.append(ok)
-            last = ts if ok else last
-        return rows.loc[keep, ["symbol", "ts"]], "" if last is None else str(last)
+        ts, step, start = machine(rows)
+        kept = orbit(step, start(state))
+        return rows.iloc[kept][["symbol", "ts"]], str(ts[kept[-1]]) if len(kept) else state
+
+    def exits(rows: pd.DataFrame, states: list[str]) -> list[str]:
+        ts, step, start = machine(rows)
+        last = last_of(step)
+        return [str(ts[last[i]]) if (i := start(s)) < len(ts) else s for s in states]
 
     def entries(rows: pd.DataFrame, before: pd.DataFrame) -> list[str]:
         first = int(rows["ts"].iloc[0])
@@ -175,7 +227,7 @@ def cooldown(signals: DataFrame, minutes: int, max_rows: int | None = None) -> D
         # A last signal older than the gap before this segment no longer blocks anything.
         return state if state in known else ""
 
-    kept = fold_series(signals.select("symbol", "ts").distinct(), Fold(run, "", entries, minutes + 1, match), schema, max_rows=max_rows)
+    kept = fold_series(signals.select("symbol", "ts").distinct(), Fold(run, "", entries, minutes + 1, match, exits), schema, max_rows=max_rows)
     return signals.join(kept, ["symbol", "ts"], "left_semi")
 
 

@@ -38,3 +38,25 @@ def test_query_equals_sql(spark, name):
     got = sorted((tuple(check.norm(r[c]) for c in cols) for r in df.collect()), key=check.key)
     want = sorted((tuple(check.norm(r[i]) for i in idx) for r in res.fetchall()), key=check.key)
     assert got == want
+
+
+def test_packs_without_windows(bars):
+    from tapeworks.operators.features_ml import price_momentum
+    from tapeworks.operators.series import split_series
+
+    out = price_momentum(split_series(bars), (1,), (), ()).finish()
+    assert out.columns == [*bars.columns, "f__mom__roc_1"] and out.count() == bars.count()
+
+
+def test_every_query_runs(spark):
+    """Every registered query of the library on the smallest tables; the corpus queries have tests of their own."""
+    entry = importlib.import_module("__spark_entry__")
+    failed = {}
+    for name, fn in entry.queries().items():
+        if name == "pipeline" or (name.startswith("op") and name[2].isdigit()):
+            continue
+        try:
+            fn(spark, SF).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001
+            failed[name] = str(e)[:300]
+    assert not failed

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from conftest import MIN, frame
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tapeworks.operators import labels, regime, signals, trades
@@ -33,8 +36,66 @@ def test_vwap_revert(bars, rows):
     assert got["bars_held"].tolist() == want and max(want) > 1
 
 
+def position_loop(enter, leave, timeout, held=0):
+    out = []
+    for e, x in zip(enter, leave):
+        decision = "hold"
+        if held:
+            held += 1
+            if x or held >= timeout:
+                held, decision = 0, "exit"
+        elif e:
+            held, decision = 1, "enter"
+        out.append((held, decision))
+    return out, held
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.booleans()), max_size=40), st.integers(0, 6))
+def test_position_machine_equals_a_loop(flags, timeout):
+    fold = signals._position_fold(timeout)
+    rows = pd.DataFrame({"symbol": "S", "ts": range(len(flags)), "_enter": [bool(a) for a, _ in flags], "_exit": [bool(b) for _, b in flags]})
+    states = fold.entries(rows, rows)
+    wants = [position_loop(*(zip(*flags) if flags else ((), ())), timeout, int(s)) for s in states]
+    assert fold.left_in(rows, states) == [str(held) for _, held in wants]
+    for s, (want, held) in zip(states, wants):
+        out, left = fold.run(rows, s)
+        assert list(zip(out["bars_held"], out["decision"])) == want and left == str(held)
+        assert out["signal"].tolist() == [int(h > 0) for h, _ in want]
+
+
+def scored_loop(m, c, threshold, timeout):
+    held, entry, out = 0, 0.0, []
+    for a, b in zip(m, c):
+        decision = "hold"
+        if held:
+            if a < threshold * 0.5:
+                decision = "exit_model"
+            elif b < entry * 0.7:
+                decision = "exit_combined"
+            elif held + 1 >= timeout:
+                decision = "exit_timeout"
+            held, entry = (held + 1, entry) if decision == "hold" else (0, 0.0)
+        elif b >= threshold:
+            held, entry, decision = 1, b, "enter"
+        out.append((held, decision))
+    return out
+
+
+@pytest.mark.parametrize("rows", [10_000, 40])
+@pytest.mark.parametrize("timeout", [2, 5, 50])
+def test_model_positions_equal_a_loop(bars, rows, timeout):
+    df = bars.select("symbol", "ts", (F.col("volume") % 23 / 20).alias("model_score"), (F.col("volume") % 3 == 0).alias("p__vpa__x"),
+                     F.when(F.col("volume") % 5 > 0, F.col("volume") % 11 / 10).alias("conf__vpa__x"))
+    got = frame(signals.model_vpa_signals(df, threshold=0.5, vpa_weight=0.2, timeout=timeout, max_rows=rows), "symbol", "ts")
+    model = frame(df, "symbol", "ts")["model_score"]
+    want = [r for _, g in got.assign(m=model).groupby("symbol") for r in scored_loop(g["m"], g["combined_score"], 0.5, timeout)]
+    assert list(zip(got["bars_held"], got["decision"])) == want
+    assert {d for _, d in want} >= {"hold", "enter", "exit_timeout" if timeout == 2 else "exit_combined"}
+
+
 @pytest.mark.parametrize("rows", [10_000, 40])
-@pytest.mark.parametrize("minutes", [3, 25])
+@pytest.mark.parametrize("minutes", [0, 3, 25])
 def test_cooldown(bars, rows, minutes):
     s = bars.where("volume % 3 = 0").select("symbol", "ts")
     got = frame(signals.cooldown(s, minutes, max_rows=rows), "symbol", "ts")

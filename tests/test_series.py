@@ -9,7 +9,7 @@ from conftest import frame
 from pyspark.sql import functions as F
 
 from tapeworks.operators import features_core, features_ml, features_profile, features_regime, features_structure, features_vpa, labels
-from tapeworks.operators.series import affine_recurrence, ema, split_series
+from tapeworks.operators.series import affine_recurrence, affine_scan, ema, split_series
 
 PACKS = {
     "core": features_core.core_pack, "regime": features_regime.regime_pack, "vpa": features_vpa.vpa_pack,
@@ -148,3 +148,19 @@ def test_null_prices_count_as_missing(spark, bars):
     got = frame(f.with_cols(m=f.mean("x", 6, 2)).drop_sums().finish(), "symbol", "ts")
     want = got.groupby("symbol")["close"].transform(lambda s: s.rolling(6, min_periods=2).mean())
     np.testing.assert_allclose(got["m"].astype(float), want, rtol=1e-9)
+
+
+def test_affine_scan_equals_a_loop():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 15, 16, 17, 300, 5000):
+        a, b, first = rng.choice([0.0, 0.5, 1.0, 2.0, -1.5, 0.9], n), rng.normal(size=n), rng.random(n) < 0.02
+        b[first & (rng.random(n) < 0.3)] = np.inf  # a series' infinity or missing value stays in the series
+        b[first & (rng.random(n) < 0.2)] = np.nan
+        for start in (0.0, 3.0):
+            slope, offset, new = affine_scan(a, b, first)
+            y, passed, want = start, False, []
+            for f, x, s in zip(a, b, first):
+                y, passed = (x, True) if s else (f * y + x, passed)
+                want.append(y)
+            got = np.where(new, offset, slope * start + offset)
+            np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9 * np.nanmax(np.abs(np.where(np.isfinite(want), want, 0))) if n > 1 else 0)

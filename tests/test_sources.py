@@ -124,6 +124,31 @@ def test_folds_never_leak(spark):
         assert f["train_to"] < f["val_from"] <= f["val_to"] < f["oos_from"] <= f["oos_to"]
 
 
+@pytest.mark.parametrize("window", ["rolling", "expanding"])
+@pytest.mark.parametrize("gaps", [(1,), (1, 3), (1, 1, 40), (97,)])
+def test_walk_forward_rule(window, gaps):
+    days = [100]
+    while days[-1] < 1500:
+        days.append(days[-1] + gaps[len(days) % len(gaps)])
+    after = lambda target: min((d for d in days if d >= target), default=None)
+    begin, want = days[0], []
+    while begin is not None:
+        ends = [after(begin + 30 * 4)]
+        for months in (2, 1):
+            ends.append(after(ends[-1] + 1 + 30 * months) if ends[-1] is not None else None)
+        if None in ends:
+            break
+        want.append((begin, ends[0], ends[0] + 1, ends[1], ends[1] + 1, ends[2]))
+        following = after((begin if window == "rolling" else ends[1] + 1) + 30 * 2)
+        begin = following if following is None or following > begin else after(begin + 1)
+    got = walk_forward_periods(days, 4, 2, 1, 2, window)
+    assert [tuple(f[k] for k in ("train_from", "train_to", "val_from", "val_to", "oos_from", "oos_to")) for f in got] == want
+    assert [f["fold"] for f in got] == list(range(1, len(want) + 1)) and len(want) > 2
+    assert walk_forward_periods([], 4, 2, 1, 2, window) == []
+    late = walk_forward_periods(days, 4, 2, 1, 2, window, start=days[3] - 1)
+    assert late[0]["train_from"] == after(days[3] - 1)
+
+
 def test_config_helpers():
     assert deep_merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 5}}) == {"a": {"b": 5, "c": 2}}
     base = {"a": {"b": 1}}
