@@ -1,26 +1,35 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, by radix select.
 
-``percentile`` keeps every distinct value of a group in one task.  Here a bounded sketch per group proposes
-cut points, values are counted per (group, value) map side and per (group, bucket of values), and only ranks
-inside a bucket are resolved by sorting; the answer is exact and equals linear interpolation.
+``percentile`` keeps every distinct value of a group in one task, and ranking moves and sorts the values.  Here no value moves: a value's order is cut
+into digits, most significant first, and every round counts one digit of the rows that still matter, map side, for all groups and all wanted ranks
+at once.  The histogram of a round (at most ``DIGITS`` bins a group and wanted bin) says which bin holds each wanted rank; the next round looks
+into those bins only.  The first digit is sign and magnitude in steps of ``STEPS`` a factor of e; the others cut the interval between the
+smallest and the largest value of a bin into ``DIGITS`` equal parts.  Both are monotone in the value, so bins are in order.  A bin of the first round
+spans less than 2^47 neighbouring doubles (a factor of e^(1/44) of 2^52 a binade), and each further round divides that by 2^16, so after four rounds
+at most a bin is one value and the answer is exact; bins of one value need no further round, and prices or counts need two.  A round reads the input
+once and keeps its few wanted bins (checkpointed); rows meet them in broadcast joins when they are counted few, else in shuffled ones.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import settle
+
 BUCKETS = 200
+#: digits of a round, rounds, steps of the first digit and where its zero lies (beyond the largest magnitude, ln(2^1074) steps)
+DIGITS, ROUNDS, STEPS, MIDDLE = 1 << 16, 4, 44, 40_000
+BROADCAST_ROWS = 500_000
 
 
 def exact_percentiles(df: DataFrame, keys: Iterable[str], value: str, probs: dict[str, float]) -> DataFrame:
     """One row per group with the linearly interpolated quantiles named in ``probs``; NULLs are ignored."""
-    # Cut points close to the wanted ranks suffice: the buckets between them are counted but never ordered.
-    near = {round(q, 6) for p in probs.values() for q in (p - 1 / BUCKETS, p + 1 / BUCKETS) if 0 < q < 1}
-    at = {name: (lambda total, p=p: (total - 1) * F.lit(float(p))) for name, p in probs.items()}
-    return order_statistics(df, keys, value, at, sorted(near))
+    return order_statistics(df, keys, value, {name: (lambda total, p=p: (total - 1) * F.lit(float(p))) for name, p in probs.items()})
 
 
 def kth_largest(df: DataFrame, keys: Iterable[str], value: str, k: Column, name: str) -> DataFrame:
@@ -28,48 +37,72 @@ def kth_largest(df: DataFrame, keys: Iterable[str], value: str, k: Column, name:
     return order_statistics(df, keys, value, {name: lambda total: F.greatest(total - k, F.lit(0)).cast("double")})
 
 
-def order_statistics(df: DataFrame, keys: Iterable[str], value: str,
-                     positions: dict[str, Callable[[Column], Column]], cut_at: list[float] | None = None) -> DataFrame:
+def _magnitude(v: Column) -> Column:
+    """First digit: monotone in the value, zero for zeros; infinities and NaN (the largest) have digits of their own."""
+    size = F.floor(F.log(F.abs(v)) * STEPS) + MIDDLE
+    of_sign = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+    return F.when(F.isnan(v), 2 * MIDDLE + 1).when(F.abs(v) == float("inf"), F.signum(v) * 2 * MIDDLE).otherwise(of_sign).cast("int")
+
+
+def _part(v: Column, low: Column, high: Column) -> Column:
+    """Further digits: which of ``DIGITS`` equal parts of [low, high] holds the value."""
+    share = (v - low) / F.nullif(high - low, F.lit(0.0))
+    return F.when(low < high, F.least(F.floor(share * DIGITS), F.lit(DIGITS - 1))).otherwise(F.lit(0)).cast("int")
+
+
+def order_statistics(df: DataFrame, keys: Iterable[str], value: str, positions: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Values at (fractional) zero-based positions of each group's sorted values.
 
-    A position is a function of the group size; between two ranks the value is interpolated linearly.
-    ``cut_at`` are the quantiles to cut buckets at (default: an even grid); any choice gives exact results.
+    A position is a function of the group size; between two ranks the value is interpolated linearly.  -0.0 equals 0.0; NaN is the largest value.
     """
     keys = list(keys)
     by = keys or ["_all"]
     rows = df.where(F.col(value).isNotNull())
     if not keys:
         rows = rows.withColumn("_all", F.lit(0))
-    rows = rows.select(*by, F.col(value).cast("double").alias("_v"))
-    grid = [F.lit(q) for q in (cut_at or [i / BUCKETS for i in range(1, BUCKETS)])]
-    cuts = rows.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx("_v", F.array(*grid), F.lit(2000))).alias("_cuts")
-    )
-    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cur = F.col("_v")
-    counted = counted.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < cur))).drop("_cuts")
-    totals = counted.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
-    of_key = Window.partitionBy(*by)
-    totals = totals.withColumns({
-        "_before": F.sum("_bn").over(of_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bn"),
-        "_total": F.sum("_bn").over(of_key),
-    })
-    pos = {name: fn(F.col("_total")) for name, fn in positions.items()}
-    # Only buckets that hold a wanted rank need their values ordered.
-    wanted = F.lit(False)
-    for at in pos.values():
-        wanted = wanted | ((F.ceil(at) >= F.col("_before")) & (F.floor(at) < F.col("_before") + F.col("_bn")))
-    in_bucket = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(totals.where(wanted), [*by, "_b"]).withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(in_bucket))
-    start, end = F.col("_end") - F.col("_n"), F.col("_end")
+    v = F.col("_v")
+    rows = rows.select(*by, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).withColumn("_d0", _magnitude(v))
+
+    def holds(at: Column) -> Column:
+        start, end = F.col("_before"), F.col("_before") + F.col("_n")
+        return (F.ceil(at) >= start) & (F.floor(at) < end) & ((F.floor(at) >= start) | (F.ceil(at) < end))
+
+    def wanted(rows: DataFrame, digits: list[str], *known: str) -> DataFrame:
+        """Bins that hold a wanted rank: their digits, number, smallest and largest value, rows before them, and the group's size."""
+        parent, digit = [*by, *digits[:-1]], digits[-1]
+        bins = rows.groupBy(*parent, digit).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"),
+                                                *(F.first(c).alias(c) for c in known))
+        inside = Window.partitionBy(*parent)
+        earlier = F.sum("_n").over(inside.orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+        bins = bins.withColumn("_start", earlier)
+        bins = (bins.withColumn("_before", F.col("_before") + F.col("_start")) if known else
+                bins.withColumnsRenamed({"_start": "_before"}).withColumn("_total", F.sum("_n").over(inside)))
+        any_rank = reduce(operator.or_, (holds(fn(F.col("_total"))) for fn in positions.values()))
+        return bins.where(any_rank).select(*by, *digits, "_n", "_low", "_high", "_before", "_total")
+
+    digits, result = ["_d0"], ["_n", "_low", "_high", "_before", "_total"]
+    found = settle(wanted(rows, digits))
+    single = found.where("_low = _high").select(*by, *result)
+    for i in range(1, ROUNDS):
+        open_ = found.where("_low < _high")
+        n_open = open_.limit(BROADCAST_ROWS + 1).count()
+        if not n_open:
+            break
+        inner = open_.select(*by, *digits, F.col("_low").alias("_l"), F.col("_high").alias("_h"), "_before", "_total")
+        if n_open <= BROADCAST_ROWS:
+            inner = F.broadcast(inner)
+        rows = rows.select(*by, "_v", *digits).join(inner, [*by, *digits]).withColumn(f"_d{i}", _part(v, F.col("_l"), F.col("_h")))
+        digits = [*digits, f"_d{i}"]
+        found = settle(wanted(rows, digits, "_before", "_total"))
+        single = single.unionByName(found.where("_low = _high").select(*by, *result))
+    start, end = F.col("_before"), F.col("_before") + F.col("_n")
     aggs = []
-    for name, at in pos.items():
+    for name, fn in positions.items():
+        at = fn(F.col("_total"))
         lo, hi = F.floor(at), F.ceil(at)
-        low = F.max(F.when((lo >= start) & (lo < end), cur))
-        high = F.max(F.when((hi >= start) & (hi < end), cur))
-        aggs.append((low + (high - low) * F.max(at - lo)).alias(name))
-    return ranked.groupBy(*by).agg(*aggs).drop("_all")
+        low, high = (F.max(F.when((r >= start) & (r < end), F.col("_low"))) for r in (lo, hi))
+        aggs.append(F.when(low == high, low).otherwise(low + (high - low) * F.max(at - lo)).alias(name))
+    return single.groupBy(*by).agg(*aggs).drop("_all")
 
 
 def running_by_value(df: DataFrame, value: str, measures: dict[str, Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.operators import drift, modeling, screen
 from tapeworks.operators.joins import asof_backward, next_bar
-from tapeworks.operators.quantiles import exact_percentiles, kth_largest, running_by_value
+from tapeworks.operators.quantiles import exact_percentiles, kth_largest, order_statistics, running_by_value
 
 
 @pytest.fixture
@@ -83,3 +83,42 @@ def test_pca_keeps_enough_variance(values):
     df = values.na.drop().withColumns({"a": F.col("v"), "b": F.col("v") * -3.0, "c": F.rand(2)})
     out, shares = modeling.pca(df, ["a", "b", "c"], 0.6)
     assert len(shares) == 1 and shares[0] == pytest.approx(2 / 3, abs=0.05) and "pc_0" in out.columns
+
+
+AWKWARD = [0.0, -0.0, 5e-324, -5e-324, 1e-310, 2.2250738585072014e-308, 1.0, 1.0000000000000002, 1.0000000000000004, 0.9999999999999999, -1.0, 1e308, 1.7976931348623157e308,
+           -1.7976931348623157e308, 123456.78, 123456.79, 1e-5, 3.0, 3.0, 3.0, float("inf"), -float("inf"), 1e16, 1e16 + 2, -1e16, 2.0**-1060]
+
+
+def test_every_rank_of_awkward_doubles(spark):
+    import random
+
+    rng = random.Random(1)
+    near = [1.5]
+    for _ in range(300):
+        near.append(float(np.nextafter(near[-1], 2)))  # neighbouring doubles
+    values = {"a": AWKWARD, "b": near, "c": [rng.uniform(1, 1.02) for _ in range(500)], "d": [7.25], "e": [rng.choice([-1, 1]) * 2.0 ** rng.uniform(-1000, 1000) for _ in range(300)]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in rng.sample(vs, len(vs))] + [("a", None), ("z", None)], "k string, v double")
+    for at in (0, 1, 5, 10, 17, 24, 25):
+        got = {r["k"]: r["x"] for r in order_statistics(df, ["k"], "v", {"x": lambda total, at=at: F.least(F.lit(at), total - 1).cast("double")}).collect()}
+        assert got == {k: sorted(vs)[min(at, len(vs) - 1)] for k, vs in values.items()}
+    shares = {f"p{i}": i / 40 for i in range(41)}
+    got = exact_percentiles(df.where("k = 'b'"), [], "v", shares).first().asDict()
+    assert got == pytest.approx({n: float(np.quantile(near, q)) for n, q in shares.items()}, rel=1e-15)
+
+
+def test_no_value_is_sorted_or_moved(values, monkeypatch):
+    from tapeworks.operators import quantiles
+
+    plans = []
+    keep = quantiles.settle
+    monkeypatch.setattr(quantiles, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    exact_percentiles(values, ["k"], "v", {"p50": 0.5}).collect()
+    assert 2 <= len(plans) <= quantiles.ROUNDS
+    for plan in plans:
+        # values are counted before the first exchange: what is exchanged and sorted are histograms
+        assert not any(x in plan for x in ("PythonUDF", "InPandas", "InArrow", "SortMergeJoin", "ShuffledHashJoin", "rangepartitioning"))
+        lowest = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line][-1]
+        assert "_d" in lowest and plan.index("partial_count") > plan.index(lowest)
+    assert exact_percentiles(values.where("false"), [], "v", {"p50": 0.5}).collect() == []
+
+
