@@ -58,6 +58,35 @@ def first_offset(candidates: np.ndarray, n: int, most: int, hit: Callable[[np.nd
     return out
 
 
+def window_tables(x: np.ndarray, longest: int, pick: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """table[k][i]: ``pick`` (np.fmax or np.fmin: NaN is no value) over x[i : i + 2^k], for powers up to ``longest``; shorter at the end."""
+    tables = [np.append(x, np.nan)]
+    while 2 ** len(tables) <= longest:
+        t, half = tables[-1], 2 ** (len(tables) - 1)
+        tables.append(pick(t, np.append(t[half:], np.full(min(half, len(t)), np.nan))))
+    return tables
+
+
+def first_crossing(x: np.ndarray, until: np.ndarray, crosses: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For every i the first position in (i, until[i]) whose value crosses i's own bounds, else ``until[i]``.
+
+    ``crosses(i, high, low)`` says for rows i whether a stretch of values with this maximum and minimum holds a crossing.  Longer stretches without one
+    are skipped first: about log2(longest window) steps for all rows at once.
+    """
+    n = len(x)
+    rows = np.arange(n)
+    at, until = rows + 1, np.maximum(until, rows + 1)
+    longest = int((until - at).max()) if n else 0
+    if longest < 1:
+        return until
+    highs, lows = (window_tables(x, longest, pick) for pick in (np.fmax, np.fmin))
+    for k in reversed(range(len(highs))):
+        i = rows[at + 2**k <= until]
+        clear = ~crosses(i, highs[k][at[i]], lows[k][at[i]])
+        at[i[clear]] += 2**k
+    return at
+
+
 class Holdings:
     """Holding from an entry row to the row its exit is due: ``enter`` marks rows a flat machine enters at, ``due`` the exit row of an entry at each row
     (n or later: none in sight)."""

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.mathcols import clip, div, flag
 from ..functions.timecols import MINUTE_NS, SESSION_CLOSE, SESSION_OPEN, market_minute, session_date
 from .features_core import add_atr
+from .jumps import first_crossing, next_true
 from .quantiles import exact_percentiles
-from .series import Frame, ensure_checkpoint_dir, settle, split_series
+from .series import Frame, ensure_checkpoint_dir, look_ahead, rows_within, settle, split_series
 
 
 def forward_return(f: Frame, n: int, price: str = "close", out: str = "forward_return") -> Frame:
@@ -65,8 +68,8 @@ def _with_atr_return(f: Frame, cfg: FirstHitConfig) -> Frame:
 
 
 def _frame(bars: DataFrame, cfg: FirstHitConfig, max_rows: int | None) -> Frame:
-    ahead = cfg.horizon_minutes * MINUTE_NS // cfg.bar_ns + 1
-    return split_series(bars, lookback=cfg.atr_window + 2, lookahead=ahead, max_rows=max_rows)
+    horizon = cfg.horizon_minutes * MINUTE_NS
+    return split_series(bars, lookback=cfg.atr_window + 2, lookahead=lambda: rows_within(bars, ["symbol"], "ts", horizon), max_rows=max_rows)
 
 
 def first_hit_labels(bars: DataFrame, cfg: FirstHitConfig | None = None, multipliers: DataFrame | None = None,
@@ -83,15 +86,28 @@ def first_hit_labels(bars: DataFrame, cfg: FirstHitConfig | None = None, multipl
     else:
         long_m = short_m = F.lit(cfg.multiplier)
     f = f.with_cols(threshold_long=_threshold(cfg, long_m), threshold_short=_threshold(cfg, short_m))
-    # Thresholds are compared as returns, exactly as stated, not as price levels.
-    ahead = F.collect_list("close").over(f.w().rangeBetween(1, cfg.horizon_minutes * MINUTE_NS))
-    f = f.with_cols(_ahead=ahead)
-    c0, tl, ts_ = F.col("close"), F.col("threshold_long"), F.col("threshold_short")
-    rets = F.transform("_ahead", lambda p: (p - c0) / F.nullif(c0, F.lit(0.0)))
-    hit = F.get(F.filter(rets, lambda r: (r >= tl) | (r <= -ts_)), F.lit(0))
-    label = F.when(hit >= tl, 1).when(hit <= -ts_, -1).otherwise(0)
-    f = f.with_cols(label=F.when(flag(c0 > 0) & session_allowed(cfg), label).otherwise(F.lit(0)))
-    return f.drop("_ahead", "_atr_ret", "_fallback", "_atr").finish()
+    # Thresholds are compared as returns, exactly as stated, not as price levels; a return rises with its price, so that of a stretch's highest
+    # price says whether any price of the stretch reaches the threshold.
+    f = look_ahead(f.with_cols(_close=F.col("close").cast("double")), cfg.horizon_minutes * MINUTE_NS, ["_close", "threshold_long", "threshold_short"],
+                   _first_side, {"_side": T.LongType()})
+    f = f.with_cols(label=F.when(flag(F.col("close") > 0) & session_allowed(cfg), F.col("_side")).otherwise(F.lit(0)).cast("int"))
+    return f.drop("_side", "_close", "_atr_ret", "_fallback", "_atr").finish()
+
+
+def _first_side(time: np.ndarray, columns: list[np.ndarray], until: np.ndarray) -> list[np.ndarray]:
+    """1 or -1 by the threshold that a later price within the horizon reaches first (the upper one where both are), else 0."""
+    price, upper, lower = columns
+    with np.errstate(all="ignore"):
+        base = np.where(price == 0, np.nan, price)
+
+        def crosses(i: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+            return ((high - price[i]) / base[i] >= upper[i]) | ((low - price[i]) / base[i] <= -lower[i])
+
+        at = first_crossing(price, until, crosses)
+        reached = at < until
+        move = (price[np.where(reached, at, 0)] - price) / base
+        side = np.where(move >= upper, 1, np.where(move <= -lower, -1, 0))
+    return [np.where(reached, side, 0)]
 
 
 def volatility_multipliers(bars: DataFrame, cfg: FirstHitConfig, target_move: float = 0.0075, price_q: float = 0.5,
@@ -180,27 +196,40 @@ def vwap_exits(bars: DataFrame, vwap: str, min_deviation_pct: float = 0.5, horiz
     come before its short ones and together they are capped per day over all symbols.
     """
     horizon = horizon_minutes * MINUTE_NS
-    f = split_series(bars, lookahead=horizon // bar_ns + 1, max_rows=max_rows)
-    ahead = F.collect_list(F.struct("ts", "close", F.col(vwap).alias("v"))).over(f.w().rangeBetween(1, horizon))
+    f = split_series(bars, lookahead=lambda: rows_within(bars, ["symbol"], "ts", horizon), max_rows=max_rows)
     dev = div(F.col("close") - F.col(vwap), F.col(vwap))
-    f = f.with_cols(_ahead=ahead, vwap_deviation_pct=F.abs(dev) * 100, direction=F.when(dev < 0, "LONG").when(dev > 0, "SHORT"))
+    f = f.with_cols(vwap_deviation_pct=F.abs(dev) * 100, direction=F.when(dev < 0, "LONG").when(dev > 0, "SHORT"),
+                    _side=F.signum(dev), _price=F.col("close").cast("double"), _vwap=F.col(vwap).cast("double"))
+    f = look_ahead(f, horizon, ["_price", "_vwap", "_side"], _first_return,
+                   {"_exit_ts": T.LongType(), "_exit_px": T.DoubleType(), "_returned": T.DoubleType()})
     df = f.finish().where(
-        F.col("direction").isNotNull() & (F.col("vwap_deviation_pct") >= min_deviation_pct) & (F.size("_ahead") > 0))
-    long = F.col("direction") == "LONG"
-    hit = F.get(F.filter("_ahead", lambda r: F.when(long, r["close"] >= r["v"]).otherwise(r["close"] <= r["v"])), F.lit(0))
-    df = df.withColumns({"_hit": hit, "_last": F.element_at("_ahead", -1)}).withColumn("_exit", F.coalesce("_hit", "_last"))
+        F.col("direction").isNotNull() & (F.col("vwap_deviation_pct") >= min_deviation_pct) & F.col("_exit_ts").isNotNull())
     day = Window.partitionBy("date").orderBy("direction", "ts", "symbol")
     df = df.withColumn("date", session_date("ts")).withColumn("_rn", F.row_number().over(day)).where(F.col("_rn") <= max_per_day)
     qty = F.greatest(F.floor(F.lit(position_value) / F.col("close") / 100) * 100, F.lit(100))
-    exit_px = F.col("_exit.close")
+    exit_px = F.col("_exit_px")
     pnl = F.when(F.col("direction") == "LONG", exit_px - F.col("close")).otherwise(F.col("close") - exit_px) * qty
     return df.select(
-        "date", "symbol", "direction", F.col("ts").alias("entry_ts"), F.col("_exit.ts").alias("exit_ts"),
+        "date", "symbol", "direction", F.col("ts").alias("entry_ts"), F.col("_exit_ts").alias("exit_ts"),
         F.col("close").alias("entry_price"), exit_px.alias("exit_price"), qty.cast("long").alias("quantity"), pnl.alias("pnl"),
         (pnl / position_value * 100).alias("pnl_pct"),
-        F.floor((F.col("_exit.ts") - F.col("ts")) / MINUTE_NS).cast("long").alias("duration_minutes"),
+        F.floor((F.col("_exit_ts") - F.col("ts")) / MINUTE_NS).cast("long").alias("duration_minutes"),
         F.when(pnl > 0, "WIN").otherwise("LOSS").alias("result"),
-        F.when(F.col("_hit").isNotNull(), "vwap_target").otherwise("timeout").alias("exit_reason"), "vwap_deviation_pct")
+        F.when(F.col("_returned") > 0, "vwap_target").otherwise("timeout").alias("exit_reason"), "vwap_deviation_pct")
+
+
+def _first_return(time: np.ndarray, columns: list[np.ndarray], until: np.ndarray) -> list[np.ndarray]:
+    """Time and price of the first later row back at its VWAP within the horizon, else of the horizon's last row, and whether it came back (1)."""
+    price, vwap, side = columns
+    rows = np.arange(len(price))
+    # a long position waits for a price at or above its VWAP, a short one for a price at or below
+    back = np.where(side < 0, next_true(price >= vwap)[1:], next_true(price <= vwap)[1:])
+    returned = back < until
+    at = np.where(returned, back, until - 1)
+    later = at > rows
+    at = np.where(later, at, 0)
+    when = np.ma.array(time[at], mask=~later) if len(at) else time
+    return [when, np.where(later, price[at], np.nan), (returned & later).astype(float)]
 
 
 def deviation_counts(bars: DataFrame, vwap: str, min_deviation_pct: float = 0.5) -> DataFrame:

@@ -308,22 +308,25 @@ def split_series(
     keys: Iterable[str] = ("symbol",),
     order: Iterable[str] = ("ts",),
     lookback: int = 0,
-    lookahead: int = 0,
+    lookahead: int | Callable[[], int] = 0,
     max_rows: int | None = None,
     bucket: int = DAY_NS,
     count_from: DataFrame | None = None,
 ) -> Frame:
     """Frame over df whose window partitions hold about ``max_rows`` rows at most (see module text).
 
-    ``count_from`` is a cheaper table with the same (keys, time) rows to count instead of df.
+    ``count_from`` is a cheaper table with the same (keys, time) rows to count instead of df.  A ``lookahead`` that takes a count of the data is
+    asked for only when a key is long enough to be cut.
     """
     keys, order = tuple(keys), tuple(order)
-    limit = max_rows or segment_rows(df.sparkSession)
-    limit = max(limit, 3 * lookahead, lookback)
+    limit = max(max_rows or segment_rows(df.sparkSession), lookback, 0 if callable(lookahead) else 3 * lookahead)
     src = df if count_from is None else count_from
-    long_keys = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    if long_keys.limit(1).count() == 0:
+    sizes = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if sizes.where(F.col("n") > limit).limit(1).count() == 0:
         return Frame(df, keys, order)
+    lookahead = lookahead() if callable(lookahead) else lookahead
+    limit = max(limit, 3 * lookahead)
+    long_keys = sizes.where(F.col("n") > limit)
     bucket = bucket_width(src, long_keys, keys, order[0], bucket, max(1, limit // 64))
     layout = settle(segment_layout(src, keys, order[0], limit, lookback, lookahead, bucket))
     size = layout.limit(BROADCAST_ROWS + 1).count()
@@ -339,6 +342,60 @@ def split_series(
     return Frame(cut, keys, order, split=True)
 
 
+def rows_within(df: DataFrame, keys: Iterable[str], ts: str, horizon: int) -> int:
+    """No more rows of a key than this lie within ``horizon`` after any of its rows: twice the fullest time slot of that length, at most."""
+    slot = F.floor(F.col(ts) / horizon).alias("_slot")
+    most = df.groupBy(*keys, slot).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return 2 * (most or 0) + 1
+
+
+def look_ahead(frame: Frame, horizon: int, reads: list[str], compute: Callable[..., list[np.ndarray]], out: dict[str, T.DataType]) -> Frame:
+    """Columns from the rows of the next ``horizon`` time units of a series, computed on arrays while streaming through every window partition.
+
+    ``compute(time, columns, until)`` gets the rows at hand, the value columns ``reads`` as doubles, and for each row the position ``until`` before which its
+    later rows within the horizon lie; it returns one array per output column.  A row leaves once a row beyond its horizon, or the end of its
+    series, was seen: what is held is one batch and the rows of one horizon.
+    """
+    time = frame.order[0]
+    df = frame.df.withColumn("_k", F.row_number().over(frame.w()))
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, t) for c, t in out.items()]])
+    types = [pa.int64() if isinstance(t, T.LongType) else pa.float64() for t in out.values()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def ready(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+            at = rows.column(time).to_numpy()
+            k = rows.column("_k").to_numpy()
+            new = np.append(False, k[1:] == 1)
+            if not (new[1:] | (k[1:] == k[:-1] + 1)).all():
+                raise RuntimeError("rows of a series arrived out of order")
+            series = np.cumsum(new)
+            # how many rows lie before (series, time + horizon]: rows and horizon ends in one order
+            order = np.lexsort((np.repeat([0, 1], len(at)), np.concatenate((at, at + horizon)), np.concatenate((series, series))))
+            passed = np.cumsum(order < len(at))
+            until = np.empty(2 * len(at), np.int64)
+            until[order] = passed
+            values = [rows.column(c).to_numpy().astype(np.float64) for c in reads]
+            new_columns = compute(at, values, until[len(at) :])
+            # the rows that are complete come first; the newest one never is
+            done = len(at) if last else int(np.argmin((series < series[-1]) | (at + horizon < at[-1])))
+            for c, x, t in zip(out, new_columns, types, strict=True):
+                rows = rows.append_column(c, pa.array(x, t, from_pandas=True))
+            return rows.slice(0, done), rows.slice(done).drop_columns(list(out))
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                held = rows if held is None else pa.concat_tables([held, rows])
+                complete, held = ready(held, last=False)
+                yield from complete.to_batches()
+        if held is not None and held.num_rows:
+            yield from ready(held, last=True)[0].to_batches()
+
+    return replace(frame, df=df.mapInArrow(run, schema)).drop("_k")
+
+
 # ---------------------------------------------------------------------------------------------
 # Order-dependent folds
 

@@ -239,3 +239,54 @@ def test_deviation_signals(spark, rows):
         mine = got[got["symbol"] == sym]
         tag = [r.exit_reason if r.signal_type == "exit" else ("long" if r.side == "buy" else "short") for r in mine.itertuples()]
         assert list(zip(mine["ts"], tag, strict=True)) == want and len(want) > 20
+
+
+def hit_loop(g, horizon):
+    out = []
+    for i, r in enumerate(g.itertuples()):
+        label = 0
+        for later in g.iloc[i + 1 :].itertuples():
+            if later.ts > r.ts + horizon:
+                break
+            move = (later.close - r.close) / r.close
+            if move >= r.threshold_long or move <= -r.threshold_short:
+                label = 1 if move >= r.threshold_long else -1
+                break
+        out.append(label if r.close > 0 else 0)
+    return out
+
+
+@pytest.mark.parametrize("rows", [10_000, 60])
+@pytest.mark.parametrize("step", [MIN, MIN // 6])
+def test_first_hit_labels_equal_a_loop(spark, rows, step):
+    from conftest import make_bars, walk
+
+    df = make_bars(spark, {"A": walk(230, 1), "B": walk(90, 5), "C": walk(1, 3)}, step=step)
+    cfg = labels.FirstHitConfig(horizon_minutes=7, multiplier=1.5, atr_return_max=5.0)
+    got = frame(labels.first_hit_labels(df, cfg, max_rows=rows), "symbol", "ts")
+    want = [x for _, g in got.groupby("symbol") for x in hit_loop(g, 7 * MIN)]
+    assert got["label"].tolist() == want and set(want) == {-1, 0, 1}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.just(float("nan")), st.integers(-9, 9).map(float)), max_size=30), st.integers(0, 35), st.integers(1, 9))
+def test_first_crossing_equals_a_loop(values, width, bound):
+    import numpy as np
+
+    from tapeworks.operators.jumps import first_crossing
+
+    x = np.array(values, float)
+    until = np.minimum(np.arange(len(x)) + 1 + width, len(x))
+    got = first_crossing(x, until, lambda i, high, low: (high - x[i] >= bound) | (low - x[i] <= -bound))
+    want = [next((j for j in range(i + 1, until[i]) if abs(x[j] - x[i]) >= bound), max(until[i], i + 1)) for i in range(len(x))]
+    assert got.tolist() == want
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_batches_do_not_change_labels(spark, bars, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = frame(labels.first_hit_labels(bars, labels.FirstHitConfig(horizon_minutes=20, atr_return_max=5.0)), "symbol", "ts")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got["label"].tolist() == [x for _, g in got.groupby("symbol") for x in hit_loop(g, 20 * MIN)]
