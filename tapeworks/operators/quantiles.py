@@ -16,12 +16,14 @@ import operator
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .series import settle
 
-BUCKETS = 200
 #: digits of a round, rounds, steps of the first digit and where its zero lies (beyond the largest magnitude, ln(2^1074) steps)
 DIGITS, ROUNDS, STEPS, MIDDLE = 1 << 16, 4, 44, 40_000
 BROADCAST_ROWS = 500_000
@@ -106,22 +108,36 @@ def order_statistics(df: DataFrame, keys: Iterable[str], value: str, positions:
 
 
 def running_by_value(df: DataFrame, value: str, measures: dict[str, Column]) -> DataFrame:
-    """One row per distinct value with each measure's sum at the value and over all smaller values.
+    """One row per distinct value with each measure's sum at the value and over all smaller values (NULLs are left out).
 
-    The global order of values is cut at sketch quantiles, so no task orders more than its share; what lies
-    in earlier buckets is a sum over at most ``BUCKETS`` rows.
+    Values are combined map side, dealt to ranges and sorted within them, so a task's share shrinks with the number of partitions.  The ranges are
+    written once (checkpointed); a running sum streams through each, and what lies in earlier ranges is a sum over one row a range.
     """
-    rows = df.where(F.col(value).isNotNull())
-    grid = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = rows.agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), grid, F.lit(2000))).alias("_cuts"))
-    per = rows.groupBy(F.col(value).cast("double").alias("value")).agg(*[F.sum(x).alias(n) for n, x in measures.items()])
-    cur = F.col("value")
-    per = per.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < cur))).drop("_cuts")
-    early = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = per.groupBy("_k", "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in measures])
-    carry = totals.select("_b", *[F.coalesce(F.sum(f"_t_{n}").over(early), F.lit(0)).alias(f"_c_{n}") for n in measures])
-    inside = Window.partitionBy("_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    local = per.withColumns({f"_l_{n}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in measures})
-    out = local.join(F.broadcast(carry), "_b")
-    return out.select("value", *measures, *[(F.col(f"_c_{n}") + F.col(f"_l_{n}")).alias(f"{n}_below") for n in measures])
+    per = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(*[F.sum(x).alias(n) for n, x in measures.items()])
+    placed = settle(per.repartitionByRange("value").sortWithinPartitions("value").withColumn("_p", F.spark_partition_id()))
+    names = list(measures)
+    below = [f"{n}_below" for n in names]
+    schema = T.StructType([*placed.schema.fields, *(T.StructField(b, placed.schema[n].dataType) for b, n in zip(below, names, strict=True))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        before, last = dict.fromkeys(names, 0), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = batch.column("value").to_numpy(zero_copy_only=False)
+            if (at[1:] < at[:-1]).any() or (last is not None and at[0] < last):
+                raise RuntimeError("values of a range arrived out of order")
+            last, new = at[-1], []
+            for n in names:
+                x = batch.column(n).fill_null(0).to_numpy(zero_copy_only=False)
+                upto = before[n] + np.cumsum(x)
+                new.append(pa.array(upto - x, batch.column(n).type))
+                before[n] = upto[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *below])
+
+    local = placed.mapInArrow(run, schema)
+    early = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = placed.groupBy("_p").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    carry = totals.select("_p", *[F.coalesce(F.sum(f"_t_{n}").over(early), F.lit(0)).alias(f"_c_{n}") for n in names])
+    out = local.join(F.broadcast(carry), "_p")
+    return out.select("value", *names, *[(F.col(f"_c_{n}") + F.col(b)).alias(b) for n, b in zip(names, below, strict=True)])

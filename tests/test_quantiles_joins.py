@@ -34,7 +34,16 @@ def test_kth_largest(values):
         assert r.x == pdf.loc[pdf["k"] == r.k, "v"].sort_values().iloc[-5]
 
 
-def test_running_by_value_and_auc(values):
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_running_by_value_and_auc(spark, values, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        running_and_auc(values)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def running_and_auc(values):
     got = frame(running_by_value(values, "v", {"n": F.lit(1)}), "value")
     counts = values.toPandas().dropna()["v"].value_counts().sort_index()
     assert got["n"].tolist() == counts.tolist() and got["n_below"].tolist() == (counts.cumsum() - counts).tolist()
