@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.regime import NEW_STATE, RegimeRules, hysteresis_step
 from ..operators.series import ensure_checkpoint_dir
@@ -51,20 +51,67 @@ def sliding_vwap(ticks: DataFrame, width: str = "2 hours", slide: str = "1 hour"
         "symbol", F.col("w.start").alias("start"), "volume", F.when(F.col("volume") > 0, F.col("_pv") / F.nullif(F.col("volume"), F.lit(0))).alias("vwap"))
 
 
-def _stateful(rows: DataFrame, step: Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]], start: dict, out_schema: str) -> DataFrame:
-    """One JSON state per symbol; ``step`` consumes a time-ordered frame of new rows."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = json.loads(state.get[0]) if state.exists else dict(start)
-        new = pd.concat(list(frames), ignore_index=True).sort_values("ts", kind="stable")
-        current, out = step(current, new)
-        state.update((json.dumps(current),))
-        yield out
-
-    return rows.groupBy("symbol").applyInPandasWithState(run, out_schema, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def hysteresis_stream(decisions: DataFrame, rules: RegimeRules | None = None) -> DataFrame:
+class _InOrder(StatefulProcessor):
+    """Rows of a key, held until the watermark has passed them and then given to ``step`` in the order of ``ts``.
+
+    State: the machine's state as JSON, and the waiting rows by time.  One timer is set for the first waiting row, or, when none waits, for the
+    moment the key counts as idle; an idle key's state is deleted.  ``ts`` is in nanoseconds, timers and watermarks in milliseconds.
+    """
+
+    def __init__(self, step, start: dict, columns: list[str], idle_ms: int):
+        self.step, self.start, self.columns, self.idle_ms = step, start, columns, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.current = handle.getValueState("current", "state string")
+        self.waiting = handle.getMapState("waiting", "ts long", "rows string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for ts, part in frame[self.columns].groupby("ts", sort=False):
+                at = (int(ts),)
+                held = json.loads(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
+                self.waiting.updateValue(at, (json.dumps([*held, *part.to_numpy(object).tolist()], default=lambda x: x.item()),))
+        yield from self._release(timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(timerValues)
+
+    def _release(self, timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        times = sorted(t[0] for t in self.waiting.keys())
+        due = [t for t in times if t // 10**6 <= watermark]
+        state = json.loads(self.current.get()[0]) if self.current.exists() else {"at": None, "machine": dict(self.start)}
+        if due:
+            rows = [r for t in due for r in json.loads(self.waiting.getValue((t,))[0])]
+            for t in due:
+                self.waiting.removeKey((t,))
+            state["machine"], out = self.step(state["machine"], pd.DataFrame(rows, columns=self.columns))
+            state["at"] = due[-1] // 10**6
+            yield out
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(due) < len(times):
+            self.handle.registerTimer(times[len(due)] // 10**6)
+        elif state["at"] is not None and watermark >= state["at"] + self.idle_ms:
+            self.current.clear()
+            return
+        elif state["at"] is not None:
+            self.handle.registerTimer(state["at"] + self.idle_ms)
+        self.current.update((json.dumps(state),))
+
+
+def _stateful(rows: DataFrame, step: Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]], start: dict, out_schema: str, lateness: str, idle: str) -> DataFrame:
+    """One machine per symbol over rows in time order, whatever order they arrive in within ``lateness``; a machine without rows for ``idle`` starts anew."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    timed = rows.withColumn("_time", F.timestamp_millis(F.floor(F.col("ts") / 10**6))).withWatermark("_time", lateness)
+    machine = _InOrder(step, start, rows.columns, idle_ms)
+    return timed.groupBy("symbol").transformWithStateInPandas(machine, out_schema, "Append", "EventTime")
+
+
+def hysteresis_stream(decisions: DataFrame, rules: RegimeRules | None = None, lateness: str = "0 seconds", idle: str = "365 days") -> DataFrame:
     """Persistence and cooldown per symbol over (symbol, ts, regime, confidence); the same step as the batch fold."""
     r = rules or RegimeRules()
 
@@ -75,25 +122,26 @@ def hysteresis_stream(decisions: DataFrame, rules: RegimeRules | None = None) ->
             out.append((symbol, int(ts), name, float(c), int(n)))
         return state, pd.DataFrame(out, columns=["symbol", "ts", "regime", "confidence", "persistence_count"])
 
-    return _stateful(decisions, step, dict(NEW_STATE), "symbol string, ts long, regime string, confidence double, persistence_count long")
+    return _stateful(decisions, step, dict(NEW_STATE), "symbol string, ts long, regime string, confidence double, persistence_count long", lateness, idle)
 
 
-def cooldown_stream(signals: DataFrame, minutes: int) -> DataFrame:
-    """Signals at least ``minutes`` after the last kept one of their symbol."""
+def cooldown_stream(signals: DataFrame, minutes: int, lateness: str = "0 seconds") -> DataFrame:
+    """Signals at least ``minutes`` after the last kept one of their symbol; a symbol without signals for that long needs no state."""
     gap = minutes * 60_000_000_000
 
     def step(state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        last, keep = state["last"], []
-        for ts in rows["ts"].tolist():
-            ok = last is None or ts - last >= gap
-            keep.append(ok)
-            last = ts if ok else last
-        return {"last": last}, rows.loc[keep, ["symbol", "ts"]]
+        ts, kept = rows["ts"].tolist(), []
+        last = state["last"]
+        for t in ts:
+            if last is None or t - last >= gap:
+                kept.append(t)
+                last = t
+        return {"last": last}, pd.DataFrame({"symbol": rows["symbol"].iloc[0], "ts": kept}).astype({"ts": "int64"})
 
-    return _stateful(signals, step, {"last": None}, "symbol string, ts long")
+    return _stateful(signals.select("symbol", "ts"), step, {"last": None}, "symbol string, ts long", lateness, f"{minutes + 1} minutes")
 
 
-def bars_held_stream(rows: DataFrame, timeout: int) -> DataFrame:
+def bars_held_stream(rows: DataFrame, timeout: int, lateness: str = "0 seconds", idle: str = "365 days") -> DataFrame:
     """Position state per symbol over (symbol, ts, enter, leave): the streaming twin of the position fold."""
 
     def step(state: dict, new: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
@@ -106,7 +154,7 @@ def bars_held_stream(rows: DataFrame, timeout: int) -> DataFrame:
             helds.append(held)
         return {"held": held}, new[["symbol", "ts"]].assign(bars_held=helds)
 
-    return _stateful(rows, step, {"held": 0}, "symbol string, ts long, bars_held long")
+    return _stateful(rows.select("symbol", "ts", "enter", "leave"), step, {"held": 0}, "symbol string, ts long, bars_held long", lateness, idle)
 
 
 def monitor_stream(log: DataFrame, width: str = "1 hour", lateness: str = "10 minutes", max_latency: float = 100.0) -> DataFrame:

@@ -68,3 +68,28 @@ def test_stream_dedupe_across_files(spark, tmp_path):
     t.where("size % 3 = 0").coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
     assert jobs.run_available(jobs.dedupe_stream(stream, ["symbol", "ts"])).count() == t.count()
+
+
+def test_stream_out_of_order_equals_batch(spark, tmp_path):
+    """Files that overlap in time, each in no order: the result is that of the sorted rows."""
+    s = ticks(spark).where("size % 2 = 0").select("symbol", "ts")
+    path = str(tmp_path / "o")
+    for i in (1, 0, 3, 2):
+        # every file holds a quarter of an hour range, and files of a pair swap places
+        s.where(F.floor((F.col("ts") - OPEN) / (30 * MIN)) == i).orderBy(F.rand(i)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    got = frame(jobs.run_available(jobs.cooldown_stream(stream, 7, lateness="60 minutes")), "symbol", "ts")
+    last = s.agg(F.max("ts")).first()[0]
+    want = frame(signals.cooldown(s, 7), "symbol", "ts")
+    want = want[want["ts"] <= last - 60 * MIN].reset_index(drop=True)
+    assert got.equals(want) and len(want) > 10
+
+
+def test_state_of_an_idle_symbol_is_deleted(spark, tmp_path):
+    rows = [("OLD", OPEN + i * MIN, True, False) for i in range(3)] + [("NEW", OPEN + i * MIN, i == 0, False) for i in range(0, 600, 20)] + [("OLD", OPEN + 700 * MIN, False, False)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, enter boolean, leave boolean")
+    out = jobs.run_available(jobs.bars_held_stream(files(spark, df, str(tmp_path / "i"), 7), 10_000, idle="60 minutes"))
+    old = frame(out.where("symbol = 'OLD'"), "ts")["bars_held"].tolist()
+    new = frame(out.where("symbol = 'NEW'"), "ts")["bars_held"].tolist()
+    # the position of the symbol that fell silent is gone, that of the other one is still held
+    assert old == [1, 2, 3, 0] and new == list(range(1, 31))
