@@ -63,7 +63,16 @@ def purged_rows(spark, sf):
     return fixed(rows.groupBy("fold", "role", "symbol").agg(F.count(F.lit(1)).alias("rows")))
 
 
-@query("k06_walk_forward")
+WALK = """dd AS (SELECT DISTINCT ts // 86400000000000 AS d FROM bars),
+starts AS (SELECT CAST(1 AS BIGINT) AS fold, min(d) AS tf FROM dd UNION ALL SELECT any_value(fold) + 1, min(d) FROM starts, dd WHERE d >= tf + 180 GROUP BY tf HAVING count(*) > 0),
+trains AS (SELECT fold, tf, min(d) AS tt FROM starts, dd WHERE d >= tf + 360 GROUP BY 1, 2),
+vals AS (SELECT fold, tf, tt, min(d) AS vt FROM trains, dd WHERE d >= tt + 91 GROUP BY 1, 2, 3),
+folds AS (SELECT fold, tf, tt, vt + 1 AS oos_from, min(d) AS ot FROM vals, dd WHERE d >= vt + 181 GROUP BY 1, 2, 3, 4),
+tag AS (SELECT fold, symbol, count(*) FILTER (ts // 86400000000000 BETWEEN tf AND tt) AS t, count(*) FILTER (ts // 86400000000000 BETWEEN oos_from AND ot) AS v FROM bars, folds GROUP BY 1, 2)"""
+
+
+@query("k06_walk_forward", sql("RECURSIVE " + BARS_L + ",\n" + WALK, "", """SELECT fold, CAST(sum(t) AS BIGINT) AS train_rows, CAST(sum(v) AS BIGINT) AS oos_rows, count(*) AS train_symbols, count(*) AS oos_symbols
+  FROM tag WHERE t > 0 AND v > 0 GROUP BY 1 HAVING count(*) >= 2"""))
 def walk_forward(spark, sf):
     b = bars_l(spark, sf)
     folds = ds.walk_forward_periods(ds.trading_days(b), 12, 3, 6, 6)

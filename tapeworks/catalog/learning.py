@@ -37,7 +37,8 @@ def minmax(spark, sf):
     return scaled(md.scale(li(spark, sf), ["q", "p"], "minmax"))
 
 
-@query("l01_robust_scale")
+@query("l01_robust_scale", sql(LI, "q_scaled p_scaled", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, (q - quantile_cont(q, 0.5) OVER ()) / (quantile_cont(q, 0.75) OVER () - quantile_cont(q, 0.25) OVER ()) AS q_scaled, "
+       "(p - quantile_cont(p, 0.5) OVER ()) / (quantile_cont(p, 0.75) OVER () - quantile_cont(p, 0.25) OVER ()) AS p_scaled FROM li"))
 def robust(spark, sf):
     return scaled(md.scale(li(spark, sf), ["q", "p"], "robust"))
 

@@ -183,7 +183,29 @@ def calibrated(spark, sf):
         1080, {"prob_threshold_long": 0.3}, {"prob_threshold_long": 0.45}, bias_scale=0.5))
 
 
-@query("n13_deviation_signals")
+#: the rule bar by bar: one recursion step takes every symbol's next bar; side, entry, stop, take, eday and ets are those of the open position
+DEVIATIONS = f"""ranges AS (SELECT symbol, ts, avg(tr) OVER {roll(14)} AS a FROM (SELECT *, {TR} AS tr FROM bars {WINDOW})),
+dv AS (SELECT symbol, ts, CAST(close AS DOUBLE) AS price, a, (close - f__ta__vwap_30) / nullif(f__ta__vwap_30, 0) AS d, ts // 60000000000 % 1440 AS mn, ts // 86400000000000 AS dy,
+  row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM core JOIN ranges USING (symbol, ts)),
+rw AS (SELECT *, stddev_samp(d) OVER (PARTITION BY symbol) AS sd FROM dv),
+mc AS (SELECT symbol, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ts, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS why, CAST(NULL AS VARCHAR) AS act, CAST(NULL AS DOUBLE) AS price,
+  CAST(NULL AS DOUBLE) AS sure, CAST(NULL AS BIGINT) AS since, CAST(NULL AS DOUBLE) AS paid, CAST(NULL AS VARCHAR) AS side, CAST(NULL AS DOUBLE) AS entry, CAST(NULL AS DOUBLE) AS stop,
+  CAST(NULL AS DOUBLE) AS take, CAST(NULL AS BIGINT) AS eday, CAST(NULL AS BIGINT) AS ets, CAST(NULL AS BIGINT) AS last FROM rw GROUP BY symbol
+UNION ALL SELECT symbol, i + 1, rts, kind, CASE WHEN kind = 'exit' THEN why END, CASE WHEN kind = 'exit' THEN CASE side WHEN 'long' THEN 'sell' ELSE 'buy' END WHEN kind = 'entry' THEN CASE opens WHEN 'long' THEN 'buy' ELSE 'sell' END END,
+  p, CASE WHEN kind = 'exit' THEN CASE why WHEN 'end_of_day_hard_close' THEN 1.0 ELSE 0.8 END WHEN kind = 'entry' THEN CASE WHEN sd = 0 THEN 0.9 ELSE least(abs(d) / sd, 0.9) END END,
+  CASE WHEN kind = 'exit' THEN ets END, CASE WHEN kind = 'exit' THEN entry END, CASE kind WHEN 'entry' THEN opens WHEN 'exit' THEN NULL ELSE side END, CASE kind WHEN 'entry' THEN p ELSE entry END,
+  CASE kind WHEN 'entry' THEN least(a / p, 0.02) ELSE stop END, CASE kind WHEN 'entry' THEN least(1.5 * a / p, 0.03) ELSE take END, CASE kind WHEN 'entry' THEN dy ELSE eday END,
+  CASE kind WHEN 'entry' THEN rts ELSE ets END, CASE WHEN kind IS NOT NULL THEN rts ELSE last END
+FROM (SELECT *, CASE WHEN blocked THEN NULL WHEN why IS NOT NULL THEN 'exit' WHEN side IS NULL AND opens IS NOT NULL THEN 'entry' END AS kind FROM (
+  SELECT mc.symbol, mc.i, side, entry, stop, take, eday, ets, last, r.ts AS rts, r.price AS p, r.a, r.d, r.sd, r.dy, coalesce(r.ts - last < 300000000000, false) AS blocked,
+    CASE WHEN side IS NULL THEN NULL WHEN mn >= {signals.HARD_CLOSE} THEN 'end_of_day_hard_close' WHEN dy > eday THEN 'same_day_forced_close' WHEN d * sg > sd * 0.1 THEN 'mean_reversion_exit'
+      WHEN (r.price - entry) * sg < -entry * stop THEN 'intraday_stop_loss' WHEN (r.price - entry) * sg > entry * take THEN 'intraday_take_profit' END AS why,
+    CASE WHEN mn < {signals.LAST_ENTRY} AND d < -sd * 0.6 THEN 'long' WHEN mn < {signals.LAST_ENTRY} AND d > sd * 0.6 THEN 'short' END AS opens
+  FROM (SELECT *, CASE side WHEN 'long' THEN 1 ELSE -1 END AS sg FROM mc) mc JOIN rw r ON r.symbol = mc.symbol AND r.i = mc.i + 1)))"""
+
+
+@query("n13_deviation_signals", sql("RECURSIVE " + BARS_E + ",\n" + CORE + ",\n" + DEVIATIONS, "close entry_price confidence stop_loss_pct take_profit_pct", """SELECT symbol, ts, act AS side, kind AS signal_type, why AS exit_reason,
+  price AS close, since AS entry_ts, paid AS entry_price, sure AS confidence, CASE WHEN kind = 'entry' THEN stop END AS stop_loss_pct, CASE WHEN kind = 'entry' THEN take END AS take_profit_pct FROM mc WHERE kind IS NOT NULL"""))
 def deviation_signals(spark, sf):
     b = bars_e(spark, sf)
     f = add_atr(split_series(core_pack(b), lookback=16, count_from=b), {"f__vol__atr_14": 14})

@@ -12,6 +12,7 @@ from ..functions.timecols import to_ns
 from ..streaming import jobs
 from . import query
 from .data import fixed, sql, table
+from .regimes import hysteresis_sql
 
 COLS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
@@ -46,7 +47,10 @@ def vwap(spark, sf):
     return ns(jobs.run_available(jobs.sliding_vwap(events(spark, sf))), "start")
 
 
-@query("q03_stream_hysteresis")
+@query("q03_stream_hysteresis", sql("RECURSIVE " + TK + """,
+dec AS (SELECT symbol AS k, epoch_us(ts) * 1000 AS ts, CASE WHEN value > 40 THEN 'STRESS' WHEN value > 20 THEN 'BULL' WHEN value < 3 THEN 'BEAR' ELSE 'SIDEWAYS' END AS rg, CAST(0.6 AS DOUBLE) AS cf,
+  row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS i FROM tk),
+""" + hysteresis_sql(), "confidence", "SELECT k AS symbol, ts, org AS regime, ocf AS confidence, ocn AS persistence_count FROM st WHERE i > 0"))
 def hysteresis(spark, sf):
     e = events(spark, sf)
     v = F.col("value")

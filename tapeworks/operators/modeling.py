@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
-    PCA, Bucketizer, MinMaxScaler, RobustScaler, StandardScaler, UnivariateFeatureSelector, VectorAssembler,
+    PCA, Bucketizer, MinMaxScaler, StandardScaler, UnivariateFeatureSelector, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -42,12 +42,24 @@ def _spread(df: DataFrame, vector: str, names: list[str]) -> DataFrame:
 SCALERS = {
     "standard": lambda: StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True),
     "minmax": lambda: MinMaxScaler(inputCol="_v", outputCol="_s"),
-    "robust": lambda: RobustScaler(inputCol="_v", outputCol="_s", withCentering=True, relativeError=0.0001),
 }
 
 
 def scale(df: DataFrame, cols: list[str], method: str = "standard") -> DataFrame:
-    """Scaled copies ``{col}_scaled`` of the columns; a row with a missing value is kept and its missing copies are NULL."""
+    """Scaled copies ``{col}_scaled`` of the columns; a row with a missing value is kept and its missing copies are NULL.
+
+    ``robust`` takes the distance from the median in exact quartile ranges of the column's own values (0 where the range is 0).
+    """
+    if method == "robust":
+        out = df
+        for c in cols:
+            low, mid, high = (f"_{q}_{c}" for q in ("low", "mid", "high"))
+            of_column = exact_percentiles(df, [], c, {low: 0.25, mid: 0.5, high: 0.75}).withColumn("_one", F.lit(1))  # no row for a column of NULLs
+            out = out.withColumn("_one", F.lit(1)).join(F.broadcast(of_column), "_one", "left").drop("_one")
+            spread = F.col(high) - F.col(low)
+            value = F.when(spread == 0, F.lit(0.0)).otherwise((F.col(c) - F.col(mid)) / spread)
+            out = out.withColumn(f"{c}_scaled", F.when(F.col(c).isNotNull(), value)).drop(low, mid, high)
+        return out
     model = SCALERS[method]().fit(assembler(cols, "_v").transform(df))
     return _spread(model.transform(assembler(cols, "_v", "keep").transform(df)), "_s", [f"{c}_scaled" for c in cols]).drop("_v", "_s")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from tapeworks.operators import modeling as md
@@ -51,3 +52,14 @@ def test_every_row_is_fitted_with_zero_for_missing(rows):
     assert md.lasso_select(rows, cols, "y", 0.001) == md.lasso_select(filled, cols, "y", 0.001) != {}
     assert md.recursive_elimination(rows, cols, "y", 2, trees=3) == md.recursive_elimination(filled, cols, "y", 2, trees=3)
     assert md.univariate_select(rows, cols, "y", 2) == md.univariate_select(filled, cols, "y", 2)
+
+
+def test_robust_scale_keeps_incomplete_rows(spark):
+    rows = [(i, float(i * i), None if i % 3 else 2.0 * i, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, gone double")
+    got = {r["id"]: r for r in md.scale(df, ["a", "b", "gone"], "robust").collect()}
+    for c, k in (("a", 1), ("b", 2)):
+        v = np.array([r[k] for r in rows if r[k] is not None])
+        low, mid, high = np.quantile(v, [0.25, 0.5, 0.75])
+        assert all(got[r[0]][f"{c}_scaled"] == (None if r[k] is None else pytest.approx((r[k] - mid) / (high - low))) for r in rows)
+    assert len(got) == 40 and all(r["gone_scaled"] is None for r in got.values())
