@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import datasets as ds
 from ..operators import features_ml as ml
 from ..operators import labels
+from ..operators.features_core import add_atr
 from ..operators.series import split_series
 from . import query
 from .core import TR, WINDOW
@@ -120,3 +121,13 @@ def numeric(spark, sf):
     f = split_series(bars_l(spark, sf), lookback=1)
     df = f.with_cols(f__x=f.lag("close"), p__y=F.col("volume") > 40).finish().select("symbol", "ts", "f__x", "p__y")
     return fixed(ds.numeric_features(df))
+
+
+@query("k09_window_labels", sql(BARS_E, "forward_return big_move_threshold", f"""SELECT symbol, ts, ret AS forward_return, cut AS big_move_threshold, CAST(coalesce(abs(ret) >= cut, false) AS BIGINT) AS big_move,
+  CAST(CASE WHEN abs(ret) >= cut THEN sign(ret) ELSE 0 END AS BIGINT) AS direction FROM (SELECT symbol, ts, (lead(close, 4) OVER w - close) / nullif(close, 0) AS ret, greatest(atr / nullif(close, 0) * 0.8, 0.05) AS cut
+  FROM (SELECT symbol, ts, close, avg(tr) OVER {roll(14)} AS atr FROM (SELECT *, {TR} AS tr FROM bars {WINDOW})) WHERE ts BETWEEN 1704412800000000000 AND 1705795199000000000 WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""))
+def window_labels(spark, sf):
+    b = bars_e(spark, sf)
+    df = add_atr(split_series(b, lookback=16), {"atr": 14}).finish()
+    out = ds.with_big_move_labels(ds.trim_to_window(df, "2024-01-05", "2024-01-20"), 4, "atr", 0.8, 0.05)
+    return fixed(out.select("symbol", "ts", "forward_return", "big_move_threshold", "big_move", "direction"))

@@ -41,3 +41,10 @@ def horizons(spark, sf):
     f = split_series(bars_l(spark, sf), lookahead=5)
     f = f.with_cols(**{f"label_{n}": F.signum(f.lead("close", n) - F.col("close")).cast("long") for n in (2, 5)})
     return fixed(shortest_horizon(f.finish(), {5: "label_5", 2: "label_2"}).select("symbol", "ts", "label"))
+
+
+@query("a01_validated_bars", sql(BARS_E, "", "SELECT upper(symbol) AS symbol, ts, open, high, low, close, volume FROM bars"))
+def validated(spark, sf):
+    root = f"{work_folder(spark)}/bars"
+    source.write_bars(bars_e(spark, sf), root)
+    return source.read_bars(spark, root, validate=True).select("symbol", "ts", "open", "high", "low", "close", "volume")

@@ -109,6 +109,11 @@ def signals_o(spark, sf):
         ((k % 41 - 20) / 16.0).alias("strength"), (k % 7).alias("qty"), F.when(k % 5 != 0, F.col("o_totalprice") - 50000).alias("entry"))
 
 
+@query("b09_feature_inputs", sql(BAD, "", " UNION ALL ".join(f"SELECT '{c}_not_positive' AS rule, count(*) FILTER ({c} IS NULL OR {c} <= 0) AS violations FROM bad" for c in ("open", "high", "low", "close"))))
+def feature_inputs(spark, sf):
+    return quality.feature_inputs(bad_bars(spark, sf))
+
+
 @query("b02_validate_signals", sql(ORDERS, "", """SELECT 'ts_not_positive' AS rule, count(*) FILTER (ts <= 0) AS violations FROM sig
   UNION ALL SELECT 'symbol_missing', count(*) FILTER (symbol IS NULL) FROM sig
   UNION ALL SELECT 'side_not_allowed', count(*) FILTER (side NOT IN ('long', 'short', 'buy', 'sell')) FROM sig

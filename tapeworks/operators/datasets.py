@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.timecols import DAY_NS, event_time, idiv
 from .joins import attach_one_row
 from .jumps import orbit
+from .labels import big_move_labels
 from .series import Frame, split_series
 
 SPLITS = ("train", "valid", "test")
@@ -192,6 +193,20 @@ def next_return(f: Frame) -> Frame:
     return f.with_cols(next_return=(nxt - F.col("close")) / F.nullif(F.col("close"), F.lit(0.0)))
 
 
+def trim_to_window(df: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows from the first day to the last second of the last day; a row without a time is an error."""
+    inside = F.col("ts").between(day_number(start) * DAY_NS, (day_number(end) + 1) * DAY_NS - 10**9)
+    return df.where(F.when(F.col("ts").isNull(), F.raise_error(F.lit("row without a time")).cast("boolean")).otherwise(inside))
+
+
+def with_big_move_labels(df: DataFrame, n: int, atr: str, k: float, floor: float, atr_is_return: bool = False, max_rows: int | None = None) -> DataFrame:
+    """A data set with forward return, threshold, big move and direction on its own rows: windows over the rows, so nothing is joined."""
+    missing = {"symbol", "ts", "close", atr} - set(df.columns)
+    if missing:
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    return big_move_labels(split_series(df, lookahead=n, max_rows=max_rows), n, atr, k, floor, atr_is_return).finish()
+
+
 def feature_coverage(df: DataFrame, features: list[str], phase: str = "phase") -> DataFrame:
     """Non-null share of each feature in training and out of sample, and the gap, in one pass."""
     aggs = [F.avg(F.when(F.col(phase) == p, F.col(f"`{c}`").isNotNull().cast("double"))).alias(f"{p}|{c}")

@@ -103,6 +103,25 @@ def violations(df: DataFrame, rules: Iterable[Rule], unique: Iterable[str] = ())
     return out
 
 
+def checked(df: DataFrame, rules: Iterable[Rule], key: Iterable[str] = ("symbol", "ts")) -> DataFrame:
+    """The same rows; the first one that breaks a rule ends the job with an error that names the rule and the row's key."""
+    broken = F.lit(None).cast("string")
+    for rule in rules:
+        if _resolves(df, rule):
+            broken = F.coalesce(broken, F.when(rule.bad, F.lit(rule.name)))
+    where = F.concat_ws(" ", F.lit("invalid row:"), broken, *[F.col(k).cast("string") for k in key if k in df.columns])
+    return df.where(F.when(broken.isNotNull(), F.raise_error(where).cast("boolean")).otherwise(F.lit(True)))
+
+
+def feature_inputs(df: DataFrame, required: Iterable[str] = BAR_REQUIRED, prices: Iterable[str] = ("open", "high", "low", "close")) -> DataFrame:
+    """(rule, violations) of what features need: the required columns (an error without one) and positive prices.  Rows need no order here:
+    every feature sorts by (symbol, ts) itself."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return violations(df, [positive(p) for p in prices])
+
+
 def _resolves(df: DataFrame, rule: Rule) -> bool:
     """Optional columns may be absent; a rule about them does not apply then."""
     return all(c in df.columns for c in rule.needs)

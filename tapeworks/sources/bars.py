@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mathcols import no_nan
 from ..functions.timecols import MARKET_TZ, event_time, infer_epoch_ns
+from ..operators.quality import bar_rules, checked
 
 # Short column names of raw files and the names they stand for.
 SHORT_NAMES = {"t": "ts", "T": "symbol", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume",
@@ -63,11 +64,13 @@ def dedupe(df: DataFrame, keys: Iterable[str] = ("symbol", "ts"), prefer: Iterab
 
 
 def read_bars(spark: SparkSession, root: str, symbols: Iterable[str] | None = None, start: str | None = None,
-              end: str | None = None, columns: Iterable[str] | None = None, by_month: bool = False, skip_corrupt: bool = False) -> DataFrame:
+              end: str | None = None, columns: Iterable[str] | None = None, by_month: bool = False, skip_corrupt: bool = False,
+              validate: bool = False) -> DataFrame:
     """Canonical bars of a hive dataset; symbol and month prune files, the exact dates filter rows.
 
     ``by_month`` widens the date range to whole months.  A corrupt file is an error unless ``skip_corrupt`` is asked for; what is
-    skipped then is in Spark's log.
+    skipped then is in Spark's log.  ``validate`` checks every row as it is read (no further scan): the first one that breaks a bar rule ends the
+    job with the rule, symbol and time.
     """
     df = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower()).option("mergeSchema", "true").parquet(root)
     if symbols is not None:
@@ -83,6 +86,8 @@ def read_bars(spark: SparkSession, root: str, symbols: Iterable[str] | None = No
         bars = bars.where(day >= start[:cut])
     if end is not None:
         bars = bars.where(day <= end[:cut])
+    if validate:
+        bars = checked(bars, bar_rules())
     if columns is not None:
         keep = ["symbol", "ts", *[c for c in columns if c not in ("symbol", "ts")]]
         bars = bars.select(*[c for c in keep if c in bars.columns])

@@ -176,3 +176,29 @@ def test_daylight_saving_sessions(spark):
     df = make_bars(spark, {"A": walk(2, 1)}, start=spring).unionByName(make_bars(spark, {"B": walk(2, 1)}, start=autumn))
     got = frame(session_anchors(df), "symbol", "ts")
     assert got["session_start_ns"].iloc[0] == spring and got["session_start_ns"].iloc[2] == autumn
+
+
+def test_validated_load(spark, bars, tmp_path):
+    from tapeworks.sources.bars import read_bars, write_bars
+
+    write_bars(bars, str(tmp_path / "good"))
+    good = read_bars(spark, str(tmp_path / "good"), validate=True)
+    assert good.count() == bars.count()
+    low = bars.agg(F.min("ts")).first()[0]
+    write_bars(bars.withColumn("high", F.when((F.col("ts") == low) & (F.col("symbol") == "HOT"), F.col("low") - 1).otherwise(F.col("high"))), str(tmp_path / "bad"))
+    assert read_bars(spark, str(tmp_path / "bad")).count() == bars.count()
+    with pytest.raises(Exception, match=f"invalid row: high_below_low HOT {low}"):
+        read_bars(spark, str(tmp_path / "bad"), validate=True).collect()
+
+
+def test_window_trim_and_labels(spark, bars):
+    from tapeworks.operators.datasets import trim_to_window, with_big_move_labels
+
+    day = bars.select(F.date_format(F.timestamp_seconds((F.col("ts") / 10**9).cast("long")), "yyyy-MM-dd")).first()[0]
+    assert trim_to_window(bars, day, day).count() == bars.count() and trim_to_window(bars, "2020-01-01", "2020-01-31").count() == 0
+    with pytest.raises(Exception, match="without a time"):
+        trim_to_window(bars.withColumn("ts", F.lit(None).cast("long")), day, day).collect()
+    out = with_big_move_labels(bars.withColumn("atr", F.lit(5.0)), 3, "atr", 1.0, 0.0)
+    assert out.count() == bars.count() and out.where("big_move = 1 AND direction = 0 AND forward_return <> 0").count() == 0
+    with pytest.raises(ValueError):
+        with_big_move_labels(bars, 3, "atr", 1.0, 0.0)
