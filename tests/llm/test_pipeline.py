@@ -73,4 +73,4 @@ def test_all_operators_are_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
