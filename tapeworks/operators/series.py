@@ -513,15 +513,16 @@ def affine_scan(a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return tuple(x.T.reshape(-1)[:n] for x in (slope, offset, new))
 
 
-def _scan(frame: Frame, reads: list[str], update: Callable[[np.ndarray, list[np.ndarray], list], list[np.ndarray]], out: list[str]) -> DataFrame:
-    """Run a sequential update over every window partition, streaming through it batch by batch.
+def scan_rows(frame: Frame, reads: list[str], update: Callable[[np.ndarray, list[np.ndarray], list], list[np.ndarray]], out: list[str],
+          halo: bool = False) -> DataFrame:
+    """Run a sequential update over every window partition (with its halo rows if asked for), streaming through it batch by batch.
 
     The row number makes Spark deliver each partition's rows together and in order; it also tells where the
     next one starts, and is checked, so a plan that did not keep the order would fail rather than give
     wrong values.  Only one batch is in memory at a time and there is no cost per group; columns that are not read pass as they are.
     ``update(first, columns, carry)`` returns one array per output column and leaves its state in ``carry``.
     """
-    df = frame.df.where(frame.core) if frame.split else frame.df
+    df = frame.df.where(frame.core) if frame.split and not halo else frame.df
     df = df.withColumn("_k", F.row_number().over(frame.w()))
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in out]])
 
@@ -558,7 +559,7 @@ def linear_recurrence(frame: Frame, x: str, alpha: float, out: str) -> Frame:
         carry[:] = [y[-1]]
         return [y]
 
-    y = _scan(frame, [x], update, ["_y"])
+    y = scan_rows(frame, [x], update, ["_y"])
     if not frame.split:
         return replace(frame, df=y.withColumnRenamed("_y", out).drop("_k"))
 
@@ -605,7 +606,7 @@ def affine_recurrence(frame: Frame, a: str, b: str, out: str) -> Frame:
         carry[:] = [slope[-1], offset[-1]]
         return [slope, offset]
 
-    y = _scan(frame, [a, b], update, ["_slope", "_offset"])
+    y = scan_rows(frame, [a, b], update, ["_slope", "_offset"])
     if not frame.split:
         return replace(frame, df=y.withColumnRenamed("_offset", out).drop("_slope", "_k"))
     keys, df = list(frame.keys), frame.df
