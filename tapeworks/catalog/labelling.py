@@ -13,7 +13,7 @@ from . import query
 from .core import CORE, TR, WINDOW
 from .data import BAR_NS, BARS_E, BARS_L, bars_e, bars_l, fixed, mp, prior, roll, sql
 
-CFG = labels.FirstHitConfig(horizon_minutes=240, multiplier=0.9, atr_return_max=5.0, bar_ns=BAR_NS)
+CFG = labels.FirstHitConfig(horizon_minutes=240, multiplier=0.9, atr_return_max=5.0)
 H = "(PARTITION BY symbol ORDER BY ts RANGE BETWEEN 1 FOLLOWING AND 14400000000000 FOLLOWING)"
 
 
@@ -82,7 +82,7 @@ x5 AS (SELECT *, CASE WHEN direction = 'LONG' THEN ex.c - close ELSE close - ex.
   CAST(q AS BIGINT) AS quantity, pnl, pnl / 2000000.0 * 100 AS pnl_pct, (ex.t - ts) // 60000000000 AS duration_minutes, CASE WHEN pnl > 0 THEN 'WIN' ELSE 'LOSS' END AS result,
   CASE WHEN hit IS NOT NULL THEN 'vwap_target' ELSE 'timeout' END AS exit_reason, vdp AS vwap_deviation_pct FROM x5"""))
 def exits(spark, sf):
-    return fixed(labels.vwap_exits(core_pack(bars_e(spark, sf)), "f__ta__vwap_30", 50.0, 180, 2, 2_000_000.0, BAR_NS))
+    return fixed(labels.vwap_exits(core_pack(bars_e(spark, sf)), "f__ta__vwap_30", 50.0, 180, 2, 2_000_000.0))
 
 
 @query("d30_deviation_counts", sql(BARS_E + ",\n" + CORE, "", """SELECT symbol, count(*) AS bars, count(*) FILTER ((close - f__ta__vwap_30) / f__ta__vwap_30 * 100 <= -20) AS long_signals,

@@ -38,7 +38,6 @@ class FirstHitConfig:
     max_threshold: float | None = None
     min_after_open: int | None = None
     max_before_close: int | None = None
-    bar_ns: int = MINUTE_NS
 
 
 def session_allowed(cfg: FirstHitConfig) -> Column:
@@ -188,7 +187,7 @@ def shortest_horizon(df: DataFrame, columns: dict[int, str]) -> DataFrame:
 
 
 def vwap_exits(bars: DataFrame, vwap: str, min_deviation_pct: float = 0.5, horizon_minutes: int = 50,
-               max_per_day: int = 2, position_value: float = 2000.0, bar_ns: int = MINUTE_NS,
+               max_per_day: int = 2, position_value: float = 2000.0,
                max_rows: int | None = None) -> DataFrame:
     """Trades from deviations: enter at the close, leave at the first later close back at its VWAP.
 
