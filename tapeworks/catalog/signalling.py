@@ -134,7 +134,15 @@ def capped(spark, sf):
     return fixed(signals.rank_caps(c, 1, 2, 4))
 
 
-@query("n07_greedy_caps")
+GREEDY = """oc AS (SELECT symbol, ts, ts // 86400000000000 AS d, row_number() OVER (PARTITION BY ts // 86400000000000 ORDER BY ts, score DESC, symbol) AS rn FROM gr WHERE reason IS NULL),
+st AS (SELECT d, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS ts, 0 AS nb, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS VARCHAR) AS block_reason FROM oc GROUP BY d
+UNION ALL SELECT d, rn, ts, CASE WHEN why IS NULL THEN b + 1 ELSE b END, CASE WHEN why IS NULL THEN list_append(taken, symbol) ELSE taken END, symbol, why
+FROM (SELECT *, CASE WHEN b >= 1 THEN 'max_trades_per_bar_reached' WHEN len(taken) >= 4 THEN 'max_entries_reached_global'
+  WHEN len(list_filter(taken, lambda x: x = symbol)) >= 2 THEN 'max_trades_per_symbol_reached' END AS why
+  FROM (SELECT oc.d, oc.rn, oc.ts, oc.symbol, taken, CASE WHEN oc.ts = st.ts THEN nb ELSE 0 END AS b FROM st JOIN oc ON oc.d = st.d AND oc.rn = st.rn + 1)))"""
+
+
+@query("n07_greedy_caps", sql("RECURSIVE " + BARS_E + ",\n" + GATE + ",\n" + GREEDY, "", "SELECT symbol, ts, block_reason FROM st WHERE rn > 0"))
 def greedy(spark, sf):
     return signals.greedy_caps(gated(spark, sf).where("reason is null"), 1, 2, 4)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 
 from ..functions.mathcols import clip, div, flag
 from ..functions.timecols import DAY_NS, MINUTE_NS, SESSION_CLOSE, idiv, market_minute, utc_minute
-from .joins import attach_one_row, next_bar
+from .joins import attach_one_row, lookup_join, next_bar
 from .jumps import Holdings, first_offset, last_of, next_true, orbit
 from .quantiles import exact_percentiles
-from .series import Fold, fold_series
+from .series import Fold, fold_series, settle
 
 # Rejection reasons and the reporting bucket of each.
 REASON_BUCKETS = {
@@ -394,32 +394,49 @@ def rank_caps(candidates: DataFrame, per_bar: int, per_symbol_day: int, per_day:
 def greedy_caps(candidates: DataFrame, per_bar: int, per_symbol_day: int, per_day: int) -> DataFrame:
     """Caps as the entry loop applies them: by time, then score; a refused candidate uses no allowance.
 
-    One pass per day: a day's candidates are at most symbols times bars of one session.
+    Most candidates can be refused without following the loop.  Of a bar, the allowances of the day's earlier entries refuse at most ``per_day`` rows
+    before the bar is full (rows of a symbol beyond its own cap aside), so only the first ``per_bar + per_day`` can enter.  A row among the first
+    ``per_bar`` enters unless its symbol or the day is full already, so a symbol's rows after ``per_symbol_day`` such rows never do.
+    What is left streams through in order of time; the state carried along is the entries per symbol of the running day.  Reasons of all rows follow from where
+    each bar and each day became full.  Rows without a score (null or NaN) come last in their bar; equal rows enter one after another.
     """
-    schema = T.StructType([
-        candidates.schema["symbol"], candidates.schema["ts"], T.StructField("block_reason", T.StringType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ts", "score", "symbol"], ascending=[True, False, True])
-        day, bar, current, by_symbol, reasons = 0, 0, None, {}, []
-        for ts, symbol in zip(rows["ts"], rows["symbol"], strict=True):
-            bar = bar if ts == current else 0
-            current = ts
-            if bar >= per_bar:
-                reason = "max_trades_per_bar_reached"
-            elif day >= per_day:
-                reason = "max_entries_reached_global"
-            elif by_symbol.get(symbol, 0) >= per_symbol_day:
-                reason = "max_trades_per_symbol_reached"
-            else:
-                reason = None
-                bar, day = bar + 1, day + 1
-                by_symbol[symbol] = by_symbol.get(symbol, 0) + 1
-            reasons.append(reason)
-        return rows[["symbol", "ts"]].assign(block_reason=reasons)
-
-    lean = candidates.select("symbol", "ts", "score", idiv(F.col("ts"), DAY_NS).alias("_day"))
-    return lean.groupBy("_day").applyInPandas(run, schema)
+    w = Window.partitionBy("ts").orderBy(F.col("score").desc_nulls_last(), "symbol")
+    twins = Window.partitionBy("ts", "symbol").orderBy(F.col("score").desc_nulls_last())
+    score = F.col("score").cast("double")
+    lean = candidates.select("symbol", "ts", F.when(~F.isnan(score), score).alias("score"), idiv(F.col("ts"), DAY_NS).alias("_day"))
+    ranked = lean.repartition("ts").withColumn("_k", F.row_number().over(twins)).withColumns({
+        "_at": F.row_number().over(w), "_rank": F.sum(F.when(F.col("_k") <= per_symbol_day, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    able = ranked.where((F.col("_k") <= per_symbol_day) & (F.col("_rank") <= per_bar + per_day)).select("_day", "ts", "_at", "symbol", "_rank")
+    earlier = Window.partitionBy("_day", "symbol").orderBy("ts", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    sure = F.coalesce(F.count_if(F.col("_rank") <= per_bar).over(earlier), F.lit(0))
+    able = able.withColumn("_sure", sure).where(F.col("_sure") < per_symbol_day).select("_day", "ts", "_at", "symbol")
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        today = bar = None
+        day_n = bar_n = 0
+        by_symbol: dict[str, int] = {}
+        for rows in batches:
+            out = []
+            for day, ts, at, symbol in rows.itertuples(index=False, name=None):
+                if day != today:
+                    today, day_n, by_symbol = day, 0, {}
+                if ts != bar:
+                    bar, bar_n = ts, 0
+                if bar_n < per_bar and day_n < per_day and by_symbol.get(symbol, 0) < per_symbol_day:
+                    bar_n, day_n = bar_n + 1, day_n + 1
+                    by_symbol[symbol] = by_symbol.get(symbol, 0) + 1
+                    out.append((day, ts, at, bar_n == per_bar, day_n == per_day))
+            yield pd.DataFrame(out, columns=["_day", "ts", "_at", "_bar_full", "_day_full"])
+
+    ordered = able.repartition("_day").sortWithinPartitions("_day", "ts", "_at")
+    entered = settle(ordered.mapInPandas(enter, "_day long, ts long, _at int, _bar_full boolean, _day_full boolean"))
+    bars = entered.groupBy("ts").agg(F.collect_list("_at").alias("_in"), F.max(F.when(F.col("_bar_full"), F.col("_at"))).alias("_full_at"))
+    days = entered.where("_day_full").select("_day", F.struct("ts", "_at").alias("_full"))
+    judged = lookup_join(lookup_join(ranked, bars, ["ts"]), days, ["_day"])
+    reason = (F.when(F.array_contains("_in", F.col("_at")), F.lit(None).cast("string"))
+              .when(F.col("_at") > F.col("_full_at"), "max_trades_per_bar_reached")
+              .when(F.struct("ts", "_at") > F.col("_full"), "max_entries_reached_global").otherwise("max_trades_per_symbol_reached"))
+    return judged.select("symbol", "ts", reason.alias("block_reason"))
 
 
 def next_bar_orders(orders: DataFrame, bars: DataFrame, slippage_bps: float = 3.0, max_rows: int | None = None) -> DataFrame:

@@ -109,23 +109,33 @@ def test_cooldown(bars, rows, minutes):
     assert list(got.itertuples(index=False, name=None)) == want
 
 
-def test_greedy_caps(spark):
-    rows = [(s, t, float((i * 7 + t) % 5)) for t in range(6) for i, s in enumerate("ABCD")]
-    df = spark.createDataFrame(rows, "symbol string, ts long, score double")
-    got = frame(signals.greedy_caps(df, per_bar=2, per_symbol_day=2, per_day=7), "ts", "symbol")
-    day, per_sym, want = 0, {}, {}
-    for t in range(6):
-        bar = 0
-        for s, _, _ in sorted([r for r in rows if r[1] == t], key=lambda r: (-r[2], r[0])):
-            if bar >= 2:
-                want[(s, t)] = "max_trades_per_bar_reached"
-            elif day >= 7:
-                want[(s, t)] = "max_entries_reached_global"
-            elif per_sym.get(s, 0) >= 2:
-                want[(s, t)] = "max_trades_per_symbol_reached"
-            else:
-                bar, day, per_sym[s], want[(s, t)] = bar + 1, day + 1, per_sym.get(s, 0) + 1, None
-    assert {(r.symbol, r.ts): r.block_reason for r in got.itertuples()} == want
+def _entered(rows, per_bar, per_symbol_day, per_day):
+    """The entry loop over (symbol, ts, score) rows: reasons in order of time, score and symbol."""
+    out, today, bar = [], None, None
+    for s, t, x in sorted(rows, key=lambda r: (r[1], r[2] is None, -(r[2] or 0.0), r[0])):
+        if t // (1440 * MIN) != today:
+            today, day, by = t // (1440 * MIN), 0, {}
+        n = n if t == bar else 0
+        bar = t
+        why = ("max_trades_per_bar_reached" if n >= per_bar else "max_entries_reached_global" if day >= per_day
+               else "max_trades_per_symbol_reached" if by.get(s, 0) >= per_symbol_day else None)
+        if why is None:
+            n, day, by[s] = n + 1, day + 1, by.get(s, 0) + 1
+        out.append((s, t, why or ""))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("caps", [(2, 2, 7), (1, 1, 3), (3, 4, 50), (1, 2, 100)])
+def test_greedy_caps(spark, caps):
+    few = [(s, t, float((i * 7 + t) % 5)) for t in range(6) for i, s in enumerate("ABCD")]
+    # three days: a leader in every bar, ties, repeated rows and a missing score
+    many = [(f"S{i}", (d * 1440 + t) * MIN, float((i * 13 + t * t * 7 + d) % 6) + (9 if i == t % 3 else 0)) for d in range(3) for t in range(30) for i in range(9) if (i + t) % 4]
+    many += many[::7] + [("S0", 5 * MIN, None), ("ONE", 2000 * MIN, None)]
+    for rows in (few, many):
+        df = spark.createDataFrame(rows, "symbol string, ts long, score double").repartition(5)
+        got = sorted((r.symbol, r.ts, r.block_reason or "") for r in signals.greedy_caps(df, *caps).collect())
+        assert got == _entered(rows, *caps)
+    assert signals.greedy_caps(df.limit(0), *caps).count() == 0
 
 
 def test_hysteresis_needs_persistence_and_cooldown(spark):
