@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from conftest import OPEN, frame, make_bars, walk
+from conftest import MIN, OPEN, frame, make_bars, walk
 from pyspark.sql import functions as F
 
 from tapeworks.operators import quality, setops
@@ -202,3 +202,100 @@ def test_window_trim_and_labels(spark, bars):
     assert out.count() == bars.count() and out.where("big_move = 1 AND direction = 0 AND forward_return <> 0").count() == 0
     with pytest.raises(ValueError):
         with_big_move_labels(bars, 3, "atr", 1.0, 0.0)
+
+
+def _daily_bars(spark, days: int = 150, symbols: str = "AB"):
+    day = 1440 * MIN
+    start = OPEN // day * day
+    rows = [(s, start + d * day + k * MIN, 10.0 + k, 11.0 + k, 9.0, 10.5, 100 + d) for s in symbols for d in range(days) for k in range(2)]
+    return spark.createDataFrame(rows, "symbol string, ts long, open double, high double, low double, close double, volume long")
+
+
+def test_overlapping_windows_read_only_new_months(spark, tmp_path):
+    from tapeworks.sources.windows import BarWindows, write_months
+
+    write_months(_daily_bars(spark), str(tmp_path / "m"), files_per_month=2)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        def see(batches):
+            for b in batches:
+                reads.add(len(b))
+                yield b
+
+        return rows.mapInPandas(see, rows.schema)
+
+    cache = BarWindows(spark, str(tmp_path / "m"), keep=2, prepare=counted)
+    with cache.window("2024-01-20", "2024-03-10") as bars:
+        assert bars.count() == 2 * 2 * 51 and bars.agg({"volume": "max"}).first()[0] == 161
+        first = reads.value
+        assert first == 2 * 2 * (23 + 29 + 31)  # whole months, each row once for both actions
+        with cache.window("2024-02-15", "2024-04-05", symbols=["a"]) as more:
+            assert more.count() == 2 * (15 + 31 + 5)
+            assert reads.value - first == 2 * 2 * 30  # April only
+        assert cache.held == ["2024-01", "2024-02", "2024-03", "2024-04"]
+    assert cache.held == ["2024-04"]
+    with cache.slice(OPEN, OPEN + 1) as none:
+        assert none.count() == 0
+    with cache.window("2030-01-01", "2030-02-01") as none:
+        assert none.count() == 0
+    cache.close()
+    assert cache.held == []
+    with pytest.raises(ValueError):
+        cache.window("2024-02-01", "2024-01-01")
+
+
+def test_manifest_rehashes_only_changed_months(spark, tmp_path):
+    from tapeworks.sources import manifest
+    from tapeworks.sources.windows import write_months
+
+    root, cols = str(tmp_path / "m"), ["close", "volume"]
+    bars = _daily_bars(spark)
+    write_months(bars, root)
+    manifest.write_tree(spark, root, str(tmp_path / "t1"), cols)
+    old = manifest.read_tree(spark, str(tmp_path / "t1"))
+    direct = manifest.hash_tree(manifest.leaf_hashes(bars.repartition(3), cols))
+    assert sorted(map(str, old.collect())) == sorted(map(str, direct.collect()))  # files and row order leave no trace
+    assert manifest.refresh_tree(spark, root, str(tmp_path / "t1"), str(tmp_path / "t2"), cols) == []
+
+    march = bars.where(manifest.month_of() == "2024-03").withColumn("close", F.col("close") + F.when(F.col("symbol") == "B", 1.0).otherwise(0.0))
+    march.write.mode("overwrite").parquet(f"{root}/month=2024-03")
+    assert manifest.refresh_tree(spark, root, str(tmp_path / "t2"), str(tmp_path / "t3"), cols) == ["2024-03"]
+    new = manifest.read_tree(spark, str(tmp_path / "t3"))
+    assert manifest.changed_months(old, new).collect() == [("2024-03", "changed")]
+    assert manifest.changed_leaves(old, new).collect() == [("2024-03", "B", "changed")]
+    assert manifest.changed_leaves(old, old).count() == 0
+    kinds = manifest.changed_leaves(old, manifest.hash_tree(manifest.leaf_hashes(bars.where("symbol = 'A'"), cols)))
+    assert {(r.symbol, r.change) for r in kinds.collect()} == {("B", "removed")}
+
+
+def test_leaf_hashes_see_repeats_nulls_and_odd_values(spark):
+    from tapeworks.sources import manifest
+
+    def root(rows):
+        df = spark.createDataFrame(rows, "symbol string, ts long, close double")
+        return manifest.hash_tree(manifest.leaf_hashes(df, ["close"])).where("level = 'root'").first()["hash"]
+
+    seen = [root(r) for r in ([("A", OPEN, 1.0)], [("A", OPEN, 1.0)] * 2, [("A", OPEN, 1.0)] * 3, [("A", OPEN, None)], [("A", OPEN, float("nan"))],
+                              [("A", OPEN, float("inf"))], [(None, OPEN, 1.0)], [("A", OPEN, 1e300)], [])]
+    assert len(set(seen)) == len(seen)
+
+
+def test_full_manifest_changes_with_each_part(spark):
+    from tapeworks.sources.manifest import full_manifest
+
+    bars = _daily_bars(spark, 40)
+    chosen = spark.createDataFrame([("A", 10.5, 100), ("B", 10.5, 100)], "symbol string, close double, volume long")
+    splits = {"train": ("2024-01-09", "2024-01-31"), "oos": ("2024-02-01", "2024-02-10")}
+
+    def of(df=bars, features=("open", "close"), config=None, universe=chosen):
+        return full_manifest(df, list(features), "volume", config or {"b": 1, "a": [1, 2]}, universe, splits).first().asDict()
+
+    base = of()
+    assert (base["rows"], base["symbols"], base["train_rows"], base["oos_rows"], base["train_range"]) == (160, 2, 92, 40, "2024-01-09..2024-01-31")
+    assert of(df=bars.repartition(2), config={"a": [1, 2], "b": 1}) == base
+    hashes = [k for k in base if k.endswith("_hash")]
+    for part, other in (("config_hash", of(config={"a": 1})), ("universe_hash", of(universe=chosen.limit(1)))):
+        assert [k for k in hashes if other[k] != base[k]] == [part]
+    moved = of(df=bars.withColumn("volume", bars["volume"] + 1))
+    assert [k for k in hashes if moved[k] != base[k]] == ["data_hash"]
