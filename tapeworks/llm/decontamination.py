@@ -6,12 +6,16 @@ word that is no common word.  Common words are those that the benchmark begins s
 same ones hold for items and documents.  Windows of ``WIDTH`` template words with at least two plain words
 are hashed; the documents' distinct hashes are joined with the benchmark's.  A pair whose document holds ``SHARE`` of the item's distinct windows
 is then checked word by word: matched windows that lie on one diagonal (equal shift between the two texts) must fill each of the item's slot
-values with one value throughout; diagonals that don't are dropped and the share is taken again.
+values with one value throughout; diagonals that don't are dropped.  What remains is gathered into readings of the item, largest first, that give each slot
+value one value across all their diagonals, so inserted words split no check; the share is taken again within one reading.
+
+Items that windows can't find anywhere in a text, because they have fewer than ``WIDTH`` words or no window with enough plain words, are also searched as
+exact sequences: their words and arithmetic signs in lower case, from ``SHORTEST`` of them on, joined by the hash of the first ``SHORTEST``.
 
 Both sides of the first join are narrow (row key and hash); the benchmark's windows are broadcast when counted small, otherwise shuffled.  The second
 step reads only the texts of candidate pairs.  All DataFrame functions.
 
-Items without a window (fewer than two plain words) match nothing; texts of fewer than ``WIDTH`` words have one window, the whole text.  Null and empty texts
+Items of fewer than ``SHORTEST`` words and signs without a window match nothing; texts of fewer than ``WIDTH`` words have one window, the whole text.  Null and empty texts
 have none.  Rows with equal doc_id and text are one document in the pairs; repeated benchmark items and null ids match like any other;
 an empty table on either side gives an empty result; other columns are ignored (``drop_leaks`` passes them on).
 """
@@ -29,7 +33,11 @@ WIDTH = 5
 SHARE = 0.8
 PLAIN = 2
 BROADCAST_ROWS = 500_000
+SHORTEST = 3
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+#: stands before a capitalised word of which the common words decide whether it is a name
+CAPITAL = "\u0004"
+EXACT = r"[\p{L}\p{M}\p{N}]+|[+*/=<>^%\-]"
 MID_NAME = r"(?<=[\p{Ll},] )\p{Lu}[\p{Ll}]+(?![\p{L}])"
 ANY_NAME = f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}{NAME}])\\p{{Lu}}\\p{{Ll}}+(?!\\p{{L}})"
 #: units of measure and currency that may follow a number
@@ -39,29 +47,39 @@ UNITS = ("mg", "g", "kg", "t", "lb", "lbs", "oz", "mm", "cm", "m", "km", "in", "
 
 
 def common_words(benchmark: DataFrame) -> list[str]:
-    """Capitalised words of the benchmark that are in lower case more often than capitalised after a lower-case word or a comma."""
+    """Capitalised words of the benchmark that are in lower case more often than capitalised after a lower-case word or a comma, in lower case.
+
+    They go to the driver: at most one entry per word that the benchmark writes both ways.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     seen = [F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)) for p in (MID_NAME, ANY_NAME, r"(?<!\p{L})\p{Ll}+(?!\p{L})")]
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), words.alias("words")) for k, words in enumerate(seen)))
     words = benchmark.select(F.inline(kinds)).select("kind", F.explode("words").alias("word"))
     counts = words.groupBy(F.lower("word").alias("word")).agg(*(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(3)))
-    return sorted(r["word"].capitalize() for r in counts.filter("k1 > 0 AND k2 > k0").select("word").collect())
+    return sorted(r["word"] for r in counts.filter("k1 > 0 AND k2 > k0").select("word").collect())
 
 
-def _marked(text: Column, values: bool, common: Sequence[str]) -> Column:
-    """The template as one string, placeholders alone or each followed by the value it stands for."""
+def _marked(text: Column, values: bool) -> Column:
+    """The template as one string, placeholders alone or each followed by the value it stands for; capitals are left to be decided."""
     value = "$0" if values else ""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001\u0002\u0003]", " ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\u0001-\u0004]", " ")
     t = F.regexp_replace(t, r"(?<=[0-9])[.,:/](?=[0-9])", "")
     t = F.regexp_replace(t, MID_NAME, NAME + value)
-    t = F.regexp_replace(t, (f"(?=\\p{{Lu}})(?!(?:{'|'.join(common)})(?!\\p{{L}}))" if common else "") + ANY_NAME, NAME + value)
+    t = F.regexp_replace(t, ANY_NAME, CAPITAL + "$0")
     t = F.regexp_replace(t, "[0-9]+", f" {NUMBER}{value} ")
     after = f"({NUMBER}{'[0-9]+' if values else ''} +)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])"
     return F.regexp_replace(F.lower(t), after, f"$1{UNIT}{'$2' if values else ''}")
 
 
 def template_words(text: Column, values: bool = False, common: Sequence[str] = ()) -> Column:
-    return F.array_remove(F.split(_marked(text, values, common), "[^\\p{L}\\p{M}\\p{N}\u0001\u0002\u0003]+"), "")
+    words = F.array_remove(F.split(_marked(text, values), "[^\\p{L}\\p{M}\\p{N}\u0001-\u0004]+"), "")
+
+    def decided(word: Column) -> Column:
+        bare = F.substr(word, F.lit(2))
+        name = F.concat(F.lit(NAME), bare) if values else F.lit(NAME)
+        return F.when(word.startswith(CAPITAL), F.when(bare.isin(list(common)), bare).otherwise(name) if common else name).otherwise(word)
+
+    return F.transform(words, decided)
 
 
 def _windows(words: Column, of, width: int = WIDTH) -> Column:
@@ -136,12 +154,66 @@ def leaked_pairs(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, wi
     by_shift = hits.groupBy("doc", "item", "n", "shift").agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
     # one value of the item, one value of the document
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item_values"])))
-    changed = F.filter("slots", lambda s: s["item_values"] != s["values"])
-    kept = by_shift.filter(consistent).select("doc", "item", "n", F.explode("hashes").alias("hash"), F.size(changed).alias("changed"))
-    counted = kept.groupBy("doc", "item", "n").agg(F.count_distinct("hash").alias("k"), F.max("changed").alias("changed"))
-    return counted.filter(F.col("k") >= share * F.col("n")).select(
-        "doc.doc_id", "doc.text_hash", "item.item_id", F.col("n").cast("long").alias("n_windows"), F.col("k").cast("long").alias("n_matched"),
-        F.round(F.col("k") / F.col("n"), 4).alias("containment"), F.col("changed").cast("long").alias("n_changed"))
+    alike = by_shift.filter(consistent).groupBy("doc", "item", "n", F.array_sort("slots").alias("slots")).agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"))
+    parts = alike.groupBy("doc", "item", "n").agg(F.array_sort(F.collect_list(F.struct((-F.size("hashes")).alias("order"), "slots", "hashes"))).alias("parts"))
+    readings = parts.select("doc", "item", "n", "parts", F.explode(_readings(F.col("parts"))).alias("reading"))
+    fitting = F.filter("parts", lambda p: ~_clash(F.col("reading"), p["slots"]))
+    matched = F.size(F.array_distinct(F.flatten(F.transform(fitting, lambda p: p["hashes"]))))
+    changed = F.size(F.filter("reading", lambda s: s["item_values"] != s["values"]))
+    counted = readings.groupBy("doc", "item", "n").agg(F.max(F.struct(matched.alias("k"), (-changed).alias("same"))).alias("best"))
+    found = counted.filter(F.col("best.k") >= share * F.col("n")).select(
+        "doc.doc_id", "doc.text_hash", "item.item_id", F.col("n").cast("long").alias("n_windows"), F.col("best.k").cast("long").alias("n_matched"),
+        F.round(F.col("best.k") / F.col("n"), 4).alias("containment"), (-F.col("best.same")).cast("long").alias("n_changed"))
+    short = settle(short_items(benchmark, items, width, common))
+    if short.isEmpty():
+        return found
+    every = found.unionByName(exact_pairs(docs, short)).withColumn("row", F.struct((-F.col("containment")).alias("order"), "n_changed", "n_windows", "n_matched", "containment"))
+    best = every.groupBy("doc_id", "text_hash", "item_id").agg(F.min("row").alias("row"))
+    return best.select("doc_id", "text_hash", "item_id", *[f"row.{c}" for c in ("n_windows", "n_matched", "containment", "n_changed")])
+
+
+def _clash(a: Column, b: Column) -> Column:
+    """Whether two lists of filled slots give one value of the item two values of the document."""
+    return F.exists(a, lambda x: F.exists(b, lambda y: (x["item_values"] == y["item_values"]) & (x["values"] != y["values"])))
+
+
+def _readings(parts: Column) -> Column:
+    """Slot fillings that hold together: each part joins the first reading it doesn't clash with, or begins one."""
+
+    def add(readings: Column, part: Column) -> Column:
+        at = F.array_position(F.transform(readings, lambda r: ~_clash(r, part["slots"])), F.lit(True))
+        joined = F.transform(readings, lambda r, i: F.when(i + 1 == at, F.array_union(r, part["slots"])).otherwise(r))
+        return F.when(at > 0, joined).otherwise(F.concat(readings, F.array(part["slots"])))
+
+    return F.aggregate(parts, F.array(F.filter(parts[0]["slots"], lambda s: F.lit(False))), add)
+
+
+def _exact_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({EXACT})"), F.lit(1))
+
+
+def short_items(benchmark: DataFrame, items: DataFrame, width: int = WIDTH, common: Sequence[str] = ()) -> DataFrame:
+    """(item_id, words, first): items that windows can't find inside a text, as exact words, and the hash of the first ``SHORTEST``."""
+    rows = pick(benchmark, item_id="long", text="string").withColumn("item", F.struct("item_id", F.xxhash64("text").alias("text_hash")))
+    seen = items.select(F.col("item.text_hash").alias("seen")).distinct()
+    few = F.size(template_words(F.col("text"), common=common)) < width
+    rest = rows.join(seen, F.col("item.text_hash") == F.col("seen"), "left").filter(F.col("seen").isNull() | few)
+    words = rest.select("item_id", _exact_words(F.col("text")).alias("words")).filter(F.size("words") >= SHORTEST).distinct()
+    return words.withColumn("first", F.xxhash64(*(F.get("words", F.lit(k)) for k in range(SHORTEST))))
+
+
+def exact_pairs(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """The pairs whose document holds all words of the item in a row, as ``leaked_pairs`` returns them: one window, none changed."""
+    rows = pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("text_hash"), _exact_words(F.col("text")).alias("held"))
+    starts = F.sequence(F.lit(0), F.size("held") - SHORTEST)
+    firsts = F.transform(starts, lambda i: F.xxhash64(*(F.get("held", i + k) for k in range(SHORTEST))))
+    anchors = rows.filter(F.size("held") >= SHORTEST).select("doc_id", "text_hash", "held", F.explode(F.array_distinct(firsts)).alias("first"))
+    near = anchors.join(broadcast_bounded(short, BROADCAST_ROWS), "first")
+    n = F.size("words")
+    holds = F.exists(F.sequence(F.lit(0), F.greatest(F.size("held") - n, F.lit(0))), lambda i: F.slice("held", i + 1, n) == F.col("words"))
+    one = F.lit(1).cast("long")
+    return near.filter(holds).select("doc_id", "text_hash", "item_id", one.alias("n_windows"), one.alias("n_matched"), F.lit(1.0).alias("containment"),
+                                     F.lit(0).cast("long").alias("n_changed")).distinct()
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, width: int = WIDTH) -> DataFrame:

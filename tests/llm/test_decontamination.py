@@ -46,6 +46,47 @@ def test_changed_names_that_begin_a_sentence(spark):
     assert (5, 1) not in got, "Maria stands for Maria and for Jonas"
 
 
+def test_inserted_words_split_no_slot_check(spark):
+    mixed = QUESTION.replace("to Marta", "to Jonas").replace("and then Marta", "and just then Paula").replace("from Marta", "from Paula")
+    same = QUESTION.replace("and then", "and just then").replace("Marta", "Jonas").replace("12", "15")
+    plain = QUESTION.replace("and then", "and just then")
+    # asked twice with other names, each time with a word put in
+    twice = same + ". " + prose(20, 3) + " " + same.replace("Jonas", "Paula").replace("15", "90")
+    got = pairs(spark, [row(1, mixed), row(2, same), row(3, plain), row(4, twice)], [(10, QUESTION)])
+    assert set(got) == {(2, 10), (3, 10), (4, 10)}
+    n = got[2, 10]["n_windows"]
+    assert [(got[i, 10]["n_matched"], got[i, 10]["n_changed"]) for i in (2, 3, 4)] == [(n - 4, 2), (n - 4, 0), (n - 4, 2)]
+
+
+def test_short_items_match_as_exact_words(spark):
+    bench = [(1, "12 + 30 - 4 = ?"), (2, "Who wrote Hamlet?"), (3, "one two"), (4, QUESTION), (5, "7 8 9 10 11 12 13 14")]
+    docs = [row(1, prose(30, 1) + "\nQ: 12 + 30 - 4 = 38\n" + prose(30, 2)), row(2, "and \"who wrote Hamlet\" was asked"), row(3, "12 + 30 - 5 = ? 12 + 30 + 4"),
+            row(4, "who once wrote Hamlet"), row(5, "it is one two"), row(10, "one two"), row(6, "x 7 8 9 10 11 12 13 14 y who wrote hamlet"), row(7, "7 8 9 10 11 12 13 15"), row(8, QUESTION), row(9, "Who wrote Hamlet?")]
+    got = pairs(spark, docs, bench)
+    assert set(got) == {(1, 1), (2, 2), (6, 5), (6, 2), (8, 4), (9, 2), (10, 3)}
+    assert all((r["n_windows"], r["n_matched"], r["n_changed"]) == (1, 1, 0) for k, r in got.items() if k != (8, 4))
+
+
+def test_matched_windows_against_a_direct_count(spark):
+    """Texts without names, numbers and units: n_matched is the number of the item's distinct five-word windows that the document holds."""
+    plain = lambda t: [w.strip(".").lower() for w in t.split()]
+    fives = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    bench = {i: " ".join(plain(prose(45, i))) for i in range(6)}
+    docs = {}
+    for i, text in bench.items():
+        ws = text.split()
+        for k in range(5):
+            docs[10 * i + k] = " ".join(plain(prose(25, 50 + i)) + ws[k * 2 : len(ws) - k] + plain(prose(9, 70 + k)) + ws[:k])
+    want = {}
+    for d_id, text in docs.items():
+        for item, other in bench.items():
+            n, k = len(fives(other.split())), len(fives(other.split()) & fives(text.split()))
+            if k >= 0.8 * n:
+                want[d_id, item] = (n, k)
+    got = pairs(spark, [row(i, t) for i, t in docs.items()], list(bench.items()))
+    assert {k: (r["n_windows"], r["n_matched"]) for k, r in got.items()} == want and len(want) > 12
+
+
 def test_placeholders_alone_match_nothing(spark):
     got = pairs(spark, [row(1, "1 2 3 4 5 6 7 8 9 10 11 12"), row(2, "12 34 56 78 90 12 34 56")], [(1, "9 8 7 6 5 4 3 2 1"), (2, "1 kg 2 kg 3 kg 4 kg")])
     assert got == {}
