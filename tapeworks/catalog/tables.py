@@ -18,7 +18,7 @@ def raw_ticks(spark, sf):
     k = F.col("event_id")
     price = F.when(k % 50 == 0, F.lit("bad")).otherwise(F.col("price").cast("long").cast("string"))
     return t.select(
-        F.when(k % 2 == 0, (F.col("ts") / 1_000_000).cast("long")).otherwise(tc.idiv(F.col("ts"), 1000)).alias("t"),
+        F.when(k % 2 == 0, tc.idiv(F.col("ts"), 1_000_000)).otherwise(tc.idiv(F.col("ts"), 1000)).alias("t"),
         F.lower("symbol").alias("T"), price.alias("o"), F.when(k % 70 == 0, "-1").otherwise(price).alias("h"),
         price.alias("l"), price.alias("c"), F.when(k % 3 != 0, F.col("size")).alias("v"))
 

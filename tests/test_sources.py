@@ -299,3 +299,13 @@ def test_full_manifest_changes_with_each_part(spark):
         assert [k for k in hashes if other[k] != base[k]] == [part]
     moved = of(df=bars.withColumn("volume", bars["volume"] + 1))
     assert [k for k in hashes if moved[k] != base[k]] == ["data_hash"]
+
+
+def test_raw_milliseconds_are_exact(spark, tmp_path):
+    from tapeworks.catalog.tables import raw_ticks
+
+    # through DOUBLE this time would lose a millisecond
+    ms = 1704546846418
+    t = spark.sql(f"SELECT 2L AS event_id, CAST(timestamp_millis({ms}) AS TIMESTAMP_NTZ) AS ts, 1L AS user_id, 'view' AS event_type, 25.31D AS value, '{{\"k\": 1}}' AS props")
+    t.write.parquet(str(tmp_path / "events.parquet"))
+    assert raw_ticks(spark, str(tmp_path)).first().t == ms
