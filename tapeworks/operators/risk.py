@@ -197,7 +197,7 @@ def adjust_prediction(df: DataFrame, factor: float = 0.5, max_score: float = 0.8
 
 
 def sizing_grid(df: DataFrame, grid: dict[str, list], equity: float) -> DataFrame:
-    """Quantity of every row under every (frac, mult) combination."""
+    """Quantity of every row under every (frac, mult) combination; a price of zero sets no bound by equity."""
     g = with_grid(df, grid)
     risk = F.floor(F.col("frac") * equity / F.nullif(F.col("atr") * F.col("mult"), F.lit(0.0)))
-    return g.withColumn("qty", F.greatest(F.least(risk, F.floor(F.lit(equity) / F.col("close"))), F.lit(1)).cast("long"))
+    return g.withColumn("qty", F.greatest(F.least(risk, F.floor(div(F.lit(equity), F.col("close")))), F.lit(1)).cast("long"))
