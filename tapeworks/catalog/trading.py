@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.mathcols import pct_change
 from ..functions.probability import score_predictions
 from ..functions.timecols import to_ns
 from ..operators import equity, experiments, regime, trades
@@ -99,7 +100,7 @@ ev AS (SELECT sl.symbol, sl.ts, sl.ts // 86400000000000 AS trade_day, rk AS rank
 def evaluated(spark, sf):
     b = bars_e(spark, sf)
     f = split_series(b, lookahead=2)
-    realised = f.with_cols(realized_return=(f.lead("close", 2) - F.col("close")) / F.col("close")).finish().where("realized_return is not null")
+    realised = f.with_cols(realized_return=pct_change(f.lead("close", 2), F.col("close"))).finish().where("realized_return is not null")
     sel = trades.select_trades(score_predictions(predictions(b)), trades.Selection(top_k=10, min_prob=0.3))
     return trades.trade_returns(sel, realised, 0.001)
 

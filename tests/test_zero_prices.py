@@ -15,3 +15,29 @@ def test_sizing_grid_without_a_price(spark):
     df = spark.createDataFrame([("A", 0.0, 2.0), ("B", 50.0, 2.0)], "symbol string, close double, atr double")
     got = frame(risk.sizing_grid(df, {"frac": [0.5], "mult": [1.0]}, 1000.0), "symbol")
     assert got["qty"].tolist() == [250, 20]
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """Half-hourly events of one cohort; every seventh bar of a type has price 0."""
+    root = tmp_path_factory.mktemp("zero")
+    i = F.col("id")
+    spark.range(600).select(
+        i.alias("event_id"), F.timestamp_seconds(F.lit(OPEN // 10**9) + F.floor(i / 2) * 1800).cast("timestamp_ntz").alias("ts"), (i % 2).alias("user_id"),
+        F.when(i % 2 == 0, "view").otherwise("click").alias("event_type"), F.when(F.floor(i / 2) % 7 == 3, 0.001).otherwise(5.0 + i % 13).alias("value"),
+        F.concat(F.lit('{"k": '), (i % 97).cast("string"), F.lit("}")).alias("props")).write.parquet(f"{root}/events.parquet")
+    return str(root)
+
+
+def run(spark, events, name):
+    import __spark_entry__ as entry
+
+    return entry.queries()[name](spark, events)
+
+
+def test_trades_at_price_zero_have_no_return(spark, events):
+    rows = run(spark, events, "f07_m01_selected_trades").collect()
+    assert rows and all(math.isfinite(r.gross_return) for r in rows)
+    assert not [r for r in rows if (r.ts - OPEN + 1_800_000_000_000 // 2) // 1_800_000_000_000 % 7 == 3]
+    assert sum(r.trades for r in run(spark, events, "m01_daily_pnl").collect()) == len(rows)
+    assert run(spark, events, "m02_return_metrics").first().total_trades == len(rows)
