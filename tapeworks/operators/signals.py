@@ -259,7 +259,8 @@ def deviation_signals(df: DataFrame, vwap: str = "f__ta__vwap_30", atr: str = "f
         return "long" if d < -sd * enter else "short" if d > sd * enter else ""
 
     def opened(side: str, price: float, a: float, ts: int, day: int) -> str:
-        stop, take = min(a / price, 0.02), min(1.5 * a / price, 0.03)
+        # a price of zero leaves the fixed limits
+        stop, take = (min(a / price, 0.02), min(1.5 * a / price, 0.03)) if price else (0.02, 0.03)
         return f"{side}|{price!r}|{stop!r}|{take!r}|{ts}|{day}|{ts}"
 
     def why_leave(pos: list, price: float, d: float, sd: float, day: int) -> str | None:

@@ -47,3 +47,12 @@ def test_regime_performance_leaves_out_bars_without_a_price(spark, events):
     rows = run(spark, events, "i09_regime_performance").collect()
     # 300 bars a symbol: 43 at price 0 and the last one start no trade
     assert sum(r.trades for r in rows) == 2 * (300 - 43 - 1) and all(math.isfinite(r.total_pnl) for r in rows)
+
+
+def test_deviation_entries_at_price_zero_keep_the_fixed_limits(spark):
+    from tapeworks.operators import signals
+
+    b = make_bars(spark, {"A": [(100 + i % 3, 103, 0, 0 if i % 7 == 3 else 100 + i % 3, 10) for i in range(60)]}, step=10 * 60_000_000_000)
+    df = b.withColumns({"f__ta__vwap_30": F.lit(100.0), "f__vol__atr_14": F.lit(2.0)})
+    got = signals.deviation_signals(df).where("signal_type = 'entry' and close = 0").collect()
+    assert got and all((r.side, r.stop_loss_pct, r.take_profit_pct) == ("buy", 0.02, 0.03) for r in got)
