@@ -55,7 +55,7 @@ def hysteresis(spark, sf):
     e = events(spark, sf)
     v = F.col("value")
     regime = F.when(v > 40, "STRESS").when(v > 20, "BULL").when(v < 3, "BEAR").otherwise("SIDEWAYS")
-    d = e.select("symbol", to_ns("event_time").alias("ts"), regime.alias("regime"), F.lit(0.6).alias("confidence"))
+    d = e.select("symbol", to_ns("event_time").alias("ts"), "seq", regime.alias("regime"), F.lit(0.6).alias("confidence"))
     return fixed(jobs.run_available(jobs.hysteresis_stream(d)))
 
 
@@ -69,7 +69,7 @@ def cooldown(spark, sf):
 @query("q04_stream_bars_held", sql(TK, "", """SELECT symbol, epoch_us(ts) * 1000 AS ts, CAST(list_reduce(list_concat([0], list(CASE WHEN size > 70 THEN 1 ELSE 0 END + CASE WHEN size < 20 THEN 2 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
   lambda h, c: CASE WHEN h > 0 THEN CASE WHEN c >= 2 OR h + 1 >= 6 THEN 0 ELSE h + 1 END WHEN c % 2 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS bars_held FROM tk"""))
 def held(spark, sf):
-    r = events(spark, sf).select("symbol", to_ns("event_time").alias("ts"), (F.col("size") > 70).alias("enter"), (F.col("size") < 20).alias("leave"))
+    r = events(spark, sf).select("symbol", to_ns("event_time").alias("ts"), "seq", (F.col("size") > 70).alias("enter"), (F.col("size") < 20).alias("leave"))
     return jobs.run_available(jobs.bars_held_stream(r, 6))
 
 
