@@ -10,6 +10,7 @@ from ..operators import labels
 from ..operators import modeling as md
 from ..operators.features_core import add_atr
 from ..operators.series import split_series
+from ..streaming.jobs import work_folder
 from . import query
 from .data import bars_l, fixed, sql, table
 
@@ -99,7 +100,11 @@ def training_rows(spark, sf):
     f = fm.returns_trend(f, (1, 5))
     f = fm.price_momentum(f, (1,), (14,), (5, 20))
     df = f.finish().where("forward_return is not null")
-    return df.withColumn("expected_r", F.abs("forward_return") / F.col("big_move_threshold"))
+    df = df.withColumn("expected_r", F.abs("forward_return") / F.col("big_move_threshold"))
+    # training reads its rows many times: they are made once, as a file in the shared folder
+    root = f"{work_folder(spark)}/rows"
+    df.select("symbol", "ts", "big_move", "direction", "expected_r", *FEATURES).write.parquet(root)
+    return spark.read.parquet(root)
 
 
 FEATURES = ["f__ret__simple_1", "f__ret__simple_5", "f__mom__rsi_14", "f__ma__ratio_5", "f__ma__ratio_20"]

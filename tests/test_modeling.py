@@ -63,3 +63,11 @@ def test_robust_scale_keeps_incomplete_rows(spark):
         low, mid, high = np.quantile(v, [0.25, 0.5, 0.75])
         assert all(got[r[0]][f"{c}_scaled"] == (None if r[k] is None else pytest.approx((r[k] - mid) / (high - low))) for r in rows)
     assert len(got) == 40 and all(r["gone_scaled"] is None for r in got.values())
+
+
+def test_training_rows_are_made_once(spark):
+    from tapeworks.catalog.learning import training_rows
+
+    plan = training_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # before, every pass of a fit derived the bars and features anew
+    assert "Window" not in plan and "Exchange" not in plan and "FileScan parquet" in plan
