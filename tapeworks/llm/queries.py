@@ -34,10 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sharding.size_of(F.col("text")).alias("size"),
-                                                    F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    mixed = sharding.shuffle_shards(docs, 40, carry=["doc_id", "size", "text_crc32"])
-    return mixed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(F.col("doc_id"), 41).alias("grown_shard"))
+    # whole records move; the digest columns are taken from the sharded records
+    mixed = sharding.shuffle_shards(table(spark, sf_dir, "documents"), 40)
+    return mixed.select("doc_id", sharding.size_of(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+                        F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(F.col("doc_id"), 41).alias("grown_shard"))
 
 
 @query

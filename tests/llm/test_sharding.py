@@ -59,3 +59,12 @@ def test_empty_table(spark, shards, tmp_path):
     docs = docs_of(spark, awkward(), clash=False)
     sharding.write_shards(docs, str(tmp_path / "out"), shards)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(awkward())
+
+
+def test_query_moves_whole_records(spark):
+    from tapeworks.llm import queries
+
+    plan = queries.QUERIES["op1_sharding"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    gathered = next(line for line in plan.splitlines() if "collect_list" in line)
+    # before, sizes and checksums were taken first and the texts stayed behind
+    assert "crc32" in plan[:plan.index(gathered)] and "crc32" not in plan[plan.index(gathered):]
