@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.labels import shortest_horizon
-from ..operators.series import split_series
+from ..operators.series import settle, split_series
 from ..operators.setops import union_all
 from ..sources import bars as source
 from ..sources import manifest, windows
@@ -82,7 +82,9 @@ def manifest_tree(spark, sf):
 @query("k10_changed_leaves", sql(BARS_L, "", """SELECT month, symbol, CASE WHEN count(*) FILTER (volume % 97 = 5) = count(*) THEN 'removed' ELSE 'changed' END AS change
   FROM (SELECT *, strftime(make_timestamp(ts // 1000), '%Y-%m') AS month FROM bars) GROUP BY month, symbol HAVING count(*) FILTER (volume % 97 = 5 OR volume % 89 = 3) > 0"""))
 def changed_leaves(spark, sf):
-    bars = bars_l(spark, sf).select("symbol", "ts", "close", "volume")
+    root = f"{work_folder(spark)}/bars"
+    bars_l(spark, sf).select("symbol", "ts", "close", "volume").write.parquet(root)
+    bars = spark.read.parquet(root)  # both versions and both levels of their trees read it
     edited = bars.where("volume % 97 <> 5").withColumn("close", F.when(F.col("volume") % 89 == 3, F.col("close") + 1.0).otherwise(F.col("close")))
-    old, new = (manifest.hash_tree(manifest.leaf_hashes(b, ["close", "volume"])) for b in (bars, edited))
+    old, new = (manifest.hash_tree(settle(manifest.leaf_hashes(b, ["close", "volume"]))) for b in (bars, edited))
     return manifest.changed_leaves(old, new)

@@ -309,3 +309,11 @@ def test_raw_milliseconds_are_exact(spark, tmp_path):
     t = spark.sql(f"SELECT 2L AS event_id, CAST(timestamp_millis({ms}) AS TIMESTAMP_NTZ) AS ts, 1L AS user_id, 'view' AS event_type, 25.31D AS value, '{{\"k\": 1}}' AS props")
     t.write.parquet(str(tmp_path / "events.parquet"))
     assert raw_ticks(spark, str(tmp_path)).first().t == ms
+
+
+def test_changed_leaves_derive_the_bars_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["k10_changed_leaves"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # before, each of the two versions derived them anew, once for the months and once for the leaves
+    assert "l_shipdate" not in plan and "Exchange" in plan
