@@ -85,10 +85,10 @@ def return_strength(f: Frame, predicted: str, price: str = "close", floor: float
     ``window`` prices were seen.
     """
     f = f.with_cols(_r=pct_change(F.col(price), f.lag(price)))
-    # 2 * window prices hold 2 * window - 1 returns.
-    n = F.count("_r").over(f.roll(2 * window - 1))
+    # 2 * window prices hold 2 * window - 1 returns, fewer where a price is zero: prices are counted, not returns.
+    n = F.count(price).over(f.roll(2 * window))
     vol = F.stddev_pop("_r").over(f.roll(2 * window - 1))
-    cut = F.when(n >= window - 1, F.greatest(F.lit(floor), vol * 0.5)).otherwise(F.lit(floor))
+    cut = F.when(n >= window, F.greatest(F.lit(floor), vol * 0.5)).otherwise(F.lit(floor))
     p = F.col(predicted)
     return f.with_cols(signal_strength=F.when(F.abs(p) < cut, F.lit(0.0)).otherwise(clip(F.tanh(p / cut), -1, 1))).drop("_r")
 

@@ -56,3 +56,13 @@ def test_deviation_entries_at_price_zero_keep_the_fixed_limits(spark):
     df = b.withColumns({"f__ta__vwap_30": F.lit(100.0), "f__vol__atr_14": F.lit(2.0)})
     got = signals.deviation_signals(df).where("signal_type = 'entry' and close = 0").collect()
     assert got and all((r.side, r.stop_loss_pct, r.take_profit_pct) == ("buy", 0.02, 0.03) for r in got)
+
+
+def test_signal_strength_counts_a_price_of_zero_as_seen(spark):
+    from tapeworks.functions import probability as pr
+    from tapeworks.operators.series import split_series
+
+    b = make_bars(spark, {"A": [(p, p, p, p, 10) for p in (0 if i == 5 else 100 + 50 * (i % 2) for i in range(22))]}).withColumn("pred", F.lit(0.1))
+    got = frame(pr.return_strength(split_series(b, lookback=42), "pred", floor=0.05).finish(), "ts")["signal_strength"]
+    # the 20th price brings the volatility in (about 0.4, halved: above 0.1), though only 18 returns are defined by then
+    assert (got[:19] > 0.9).all() and (got[19:] == 0).all()
