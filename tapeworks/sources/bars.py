@@ -160,7 +160,7 @@ def first_files_sample(spark: SparkSession, root: str, n: int) -> DataFrame:
 def schema_inventory(spark: SparkSession, root: str) -> DataFrame:
     """(family, file count, rows) below a root, plus the merged schema as text."""
     df = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(root)
-    family = F.regexp_extract(F.regexp_replace(F.col("_metadata.file_path"), F.lit(r"^file:"), F.lit("")), r"([^/]+)/[^/]*$", 1)
-    return df.select(family.alias("family"), F.col("_metadata.file_path").alias("f")).groupBy("family").agg(
-        F.countDistinct("f").alias("files"), F.count(F.lit(1)).alias("rows")
-    ).withColumn("schema", F.lit(df.schema.simpleString()))
+    files = df.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("rows"))  # paths are parsed once a file, not once a row
+    family = F.regexp_extract(F.regexp_replace("f", F.lit(r"^file:"), F.lit("")), r"([^/]+)/[^/]*$", 1)
+    return files.groupBy(family.alias("family")).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows")).withColumn(
+        "schema", F.lit(df.schema.simpleString()))

@@ -91,6 +91,16 @@ def test_schema_inventory_and_first_files(spark, bars, tmp_path):
     assert src.first_files_sample(spark, str(tmp_path), 1).select("source_file").distinct().count() == 1
 
 
+def test_inventory_parses_paths_once_a_file(spark, bars, tmp_path):
+    for name, n in (("a", 2), ("b", 3)):
+        bars.repartition(n).write.parquet(str(tmp_path / name))
+    inv = src.schema_inventory(spark, str(tmp_path))
+    assert [(r.family, r.files, r.rows) for r in inv.orderBy("family").collect()] == [("a", 2, bars.count()), ("b", 3, bars.count())]
+    plan = inv._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = max(i for i, line in enumerate(plan) if "Aggregate" in line)  # the aggregation nearest to the files
+    assert not any("regexp" in line for line in plan[first + 1 :])
+
+
 def test_validators(spark, bars):
     assert quality.validate(bars, "bars").where("violations > 0").count() == 0
     with pytest.raises(ValueError):
