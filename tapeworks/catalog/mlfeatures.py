@@ -91,7 +91,7 @@ def _cs(n):
        f"SELECT symbol, ts, {_cs(5)}, {_cs(20)} FROM (SELECT symbol, ts, " + ", ".join(
            f"(close - {lagx('close', n)}) / {lagx('close', n)} AS r{n}" for n in (5, 20)) + " FROM bars)"))
 def cross(spark, sf):
-    df = ml.cross_section(split_series(bars_l(spark, sf), lookback=21))
+    df = ml.cross_section(split_series(bars_l(spark, sf).select("symbol", "ts", "close"), lookback=21))
     return fixed(df.select("symbol", "ts", "f__cross__ret_percentile_5", "f__cross__ret_percentile_20"))
 
 

@@ -12,6 +12,7 @@ width give exactly the rows they would see over the whole series.  Unbounded fra
 from __future__ import annotations
 
 import operator
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -52,6 +53,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from a file in the shared folder: for large tables that are read more than once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    root = f"{df.sparkSession.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(root)
+    return df.sparkSession.read.schema(df.schema).parquet(root)
+
+
 def segment_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.tapeworks.segmentRows", str(SEGMENT_ROWS)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import frame
+from conftest import frame, make_bars
 from pyspark.sql import functions as F
 
 from tapeworks.operators import features_core, features_ml, features_profile, features_regime, features_structure, features_vpa, labels
@@ -164,3 +164,19 @@ def test_affine_scan_equals_a_loop():
                 want.append(y)
             got = np.where(new, offset, slope * start + offset)
             np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9 * np.nanmax(np.abs(np.where(np.isfinite(want), want, 0))) if n > 1 else 0)
+
+
+def test_cross_section_ranks_in_slices(spark, small_segments):
+    from tapeworks.operators.features_ml import cross_section
+
+    n = 240
+    b = make_bars(spark, {f"S{s:03d}": [(p, p, p, p, 1) for p in (100, 100 + (s * 7) % 90, 100 + (s * s) % 50, 100 + s % 3)[: 2 + s % 3]] for s in range(n)})
+    df = cross_section(split_series(b, lookback=3), (1, 2))
+    tasks = df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert tasks < n / 2  # 240 symbols hold the first time
+    got, want = frame(df, "symbol", "ts"), frame(b, "symbol", "ts")
+    for k in (1, 2):
+        r = want.groupby("symbol")["close"].pct_change(k)
+        at = r.groupby(want["ts"])
+        rank = at.rank(method="average") / at.transform("count")
+        pd.testing.assert_series_equal(got[f"f__cross__ret_percentile_{k}"], rank, check_names=False)
