@@ -8,7 +8,7 @@ from ..functions.mathcols import pct_change
 from ..functions.probability import score_predictions
 from ..functions.timecols import to_ns
 from ..operators import equity, experiments, regime, trades
-from ..operators.series import split_series
+from ..operators.series import split_series, stored
 from . import query
 from .data import BARS_E, bars_e, fixed, sql, table
 from .labelling import CFG, PREDS, first_hit_sql, predictions
@@ -123,16 +123,21 @@ def metrics(spark, sf):
     return fixed(trades.return_metrics(evaluated(spark, sf)))
 
 
+def labelled(spark, sf):
+    """Predictions with their labels, stored: both sides of the join read the bars, and every pass that looks for a threshold reads the rows."""
+    from ..operators.labels import first_hit_labels
+
+    b = stored(bars_e(spark, sf))
+    return stored(predictions(b).join(first_hit_labels(b, CFG).select("symbol", "ts", "label"), ["symbol", "ts"])
+                  .select("symbol", "ts", "prob_long", "prob_short", "label"))
+
+
 @query("f08_direction_precision", sql(BARS_E + ",\n" + PREDS + ",\n" + first_hit_sql("0.9", "0.9"), "base_rate hit_rate lift min_prob", """SELECT CAST(1 AS BIGINT) AS direction, days, k, base AS base_rate, hit AS hit_rate, hit / base AS lift, min_prob FROM (
   SELECT any_value(days) AS days, any_value(k) AS k, any_value(base) AS base, avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS hit, min(prob_long) AS min_prob FROM (SELECT *, row_number() OVER (ORDER BY prob_long DESC, ts, symbol) AS rn FROM
   (SELECT p.symbol, p.ts, prob_long, label, (SELECT count(DISTINCT ts // 86400000000000) FROM preds) AS days, 3 * (SELECT count(DISTINCT ts // 86400000000000) FROM preds) AS k, (SELECT avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) FROM lab) AS base
   FROM preds p JOIN lab USING (symbol, ts))) WHERE rn <= k)"""))
 def precision(spark, sf):
-    from ..operators.labels import first_hit_labels
-
-    b = bars_e(spark, sf)
-    df = predictions(b).join(first_hit_labels(b, CFG).select("symbol", "ts", "label"), ["symbol", "ts"])
-    return fixed(trades.direction_precision(df, "prob_long", 1, 3))
+    return fixed(trades.direction_precision(labelled(spark, sf), "prob_long", 1, 3))
 
 
 @query("m12_tail_risk", sql(TRADES, "volatility var_95 var_99 cvar_95 skewness kurtosis", """SELECT policy_id, trades, volatility, var_95, var_99, avg(r) FILTER (r <= var_95) AS cvar_95, avg(power((r - m) / volatility, 3)) AS skewness, avg(power((r - m) / volatility, 4)) - 3 AS kurtosis FROM
@@ -174,10 +179,8 @@ def ranking(spark, sf):
   .replace("SELECT fold, tl", "SELECT CAST(fold AS BIGINT) AS fold, tl"))
 def threshold_policy(spark, sf):
     from ..operators.datasets import fold_rows
-    from ..operators.labels import first_hit_labels
 
-    b = bars_e(spark, sf)
-    df = predictions(b).join(first_hit_labels(b, CFG).select("symbol", "ts", "label"), ["symbol", "ts"])
+    df = labelled(spark, sf)
     folds = [{"fold": 1, "train_from": 19723, "train_to": 19732, "val_from": 19733, "val_to": 19739},
              {"fold": 2, "train_from": 19723, "train_to": 19739, "val_from": 19740, "val_to": 19752}]
     rows = fold_rows(df, folds)

@@ -66,3 +66,10 @@ def test_signal_strength_counts_a_price_of_zero_as_seen(spark):
     got = frame(pr.return_strength(split_series(b, lookback=42), "pred", floor=0.05).finish(), "ts")["signal_strength"]
     # the 20th price brings the volatility in (about 0.4, halved: above 0.1), though only 18 returns are defined by then
     assert (got[:19] > 0.9).all() and (got[19:] == 0).all()
+
+
+@pytest.mark.parametrize("name", ["f08_direction_precision", "f09_n11_threshold_policy"])
+def test_threshold_searches_read_stored_rows(spark, events, name):
+    df = run(spark, events, name)
+    assert df.count() > 0
+    assert df.inputFiles() and not [f for f in df.inputFiles() if "events.parquet" in f]
